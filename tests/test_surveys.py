@@ -127,7 +127,7 @@ def test_report_finds_the_known_bad_rows(raw, responses):
     assert report.where("rule = 'code'").count() == 0
     canopy = canopy_clean(raw["canopy"]).withColumns({"location": F.lit("BP"), "species": F.lit("Fucus")})
     swapped = survey_report(canopy, codes, "2007-12-31").where("rule = 'code'").collect()
-    assert {(r["column"], r["value"], r["date"]) for r in swapped} == {
+    assert {(r["field"], r["value"], r["date"]) for r in swapped} == {
         ("barnacles", "out", dt.date(2006, 6, 12)),
         ("herbivores", "no", dt.date(2006, 6, 12)),
     }

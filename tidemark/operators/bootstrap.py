@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.combine import join_groups
+from tidemark.operators.combine import join_groups, stack_rows
 from tidemark.session import settle
 
 COPY_BLOCK = 100_000
@@ -78,25 +78,32 @@ def bootstrap_total(
     weight: str,
     total: str = "total",
     seed: int = 26,
+    carry: Sequence[str] = (),
     block: int | None = None,
 ) -> DataFrame:
     """Per row of ``counts``, the summed weight of ``count`` draws with replacement from its pool.
 
-    ``keys`` identify a row; ``pool`` comes from :func:`number_pool` and carries ``weight``.
+    ``keys`` and the species identify a row, ``carry`` names further columns to keep; ``pool``
+    comes from :func:`number_pool` and carries ``weight``. A count of 0 totals 0; a missing
+    count, or a species without a pool, totals NULL.
+
     Draws depend on the seed and the row key only, hence neither on order nor on partitions.
-    The numbered pool is a written table: it is broadcast when its files are small, otherwise
-    draws and pool meet on (species, slot), which spreads a dominant species over its slots.
+    The numbered pool is a written table: it is broadcast when its files are small, and then the
+    draws of a row are summed where the row lies. Otherwise draws and pool meet on
+    (species, slot), which spreads a dominant species over its slots.
     """
     pool = settle(pool.select(species, "slot", "pool_n", weight), "pool")
-    sizes = pool.where(F.col("slot") == 0).select(species, "pool_n")
-    rows = counts.select(*keys, species, F.col(count).cast("bigint").alias("units"))
-    draws = with_copies(join_groups(rows, settle(sizes, "pool_sizes"), [species], "inner"), "units", "draw", block)
-    draws = draws.withColumn("slot", draw_slot(seed, keys, "draw", F.col("pool_n")))
-    drawn = draws.join(pool.drop("pool_n"), [species, "slot"])
-    sums = drawn.groupBy(*keys, species).agg(F.sum(weight).alias(total))
-    # rows without units, and rows whose species has no pool, come back with 0 and NULL
-    empty = F.when(F.col(count) == 0, F.lit(0.0))
-    return join_groups(counts, sums, [*keys, species]).withColumn(total, F.coalesce(total, empty))
+    sizes = settle(pool.where(F.col("slot") == 0).select(species, "pool_n"), "pool_sizes")
+    columns = [*keys, *carry, species, count]
+    rows = join_groups(counts.select(*columns).withColumn("units", F.col(count).cast("bigint")), sizes, [species])
+    drawn = F.col("pool_n").isNotNull() & (F.col("units") > 0)
+    draws = with_copies(rows.where(drawn), "units", "draw", block)
+    draws = draws.withColumn("slot", draw_slot(seed, [*keys, species], "draw", F.col("pool_n")))
+    sums = draws.join(pool.drop("pool_n"), [species, "slot"]).groupBy(*columns).agg(F.sum(weight).alias(total))
+    others = rows.where(~F.coalesce(drawn, F.lit(False))).select(
+        *columns, F.when(F.col("units") == 0, F.lit(0.0)).alias(total)
+    )
+    return stack_rows(sums, others)
 
 
 def expected_total(

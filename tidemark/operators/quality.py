@@ -45,7 +45,7 @@ def violations(
     required: Sequence[str] = (),
     rules: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """One row per broken rule: keys, column, rule and offending value. One scan, no shuffle.
+    """One row per broken rule: keys, field, rule and offending value. One scan, no shuffle.
 
     A missing value breaks only the ``required`` rule. ``rules`` maps a name to a condition that
     holds for bad rows.
@@ -64,14 +64,14 @@ def violations(
         *[
             F.when(
                 bad,
-                F.struct(F.lit(c).alias("column"), F.lit(rule).alias("rule"), value.cast("string").alias("value")),
+                F.struct(F.lit(c).alias("field"), F.lit(rule).alias("rule"), value.cast("string").alias("value")),
             )
             for c, rule, value, bad in checks
         ]
     )
     broken = F.explode(F.filter(found, lambda x: x.isNotNull())).alias("broken")
     return df.select(*[F.col(f"`{k}`") for k in keys], broken).select(
-        *[F.col(f"`{k}`") for k in keys], "broken.column", "broken.rule", "broken.value"
+        *[F.col(f"`{k}`") for k in keys], "broken.field", "broken.rule", "broken.value"
     )
 
 

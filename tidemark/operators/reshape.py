@@ -23,9 +23,9 @@ def to_long(
 
 
 def to_long_by_prefix(
-    df: DataFrame, ids: Sequence[str], prefix: str, date: str, value: str
+    df: DataFrame, ids: Sequence[str], prefix: str | tuple[str, ...], date: str, value: str
 ) -> DataFrame:
-    """One row per id and column whose name starts with ``prefix``; the name is an ISO date."""
+    """One row per id and column whose name starts with a prefix; the name is an ISO date."""
     columns = [c for c in df.columns if c.startswith(prefix)]
     long = to_long(df, ids, columns, date, value)
     return long.withColumn(date, F.to_date(F.col(date), "yyyy-MM-dd"))

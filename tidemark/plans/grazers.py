@@ -28,6 +28,7 @@ ROUNDED_CURVES = {
 PUBLISHED_CURVES = {**ROUNDED_CURVES, "Lottia": ROUNDED_CURVES["Siphonaria"]}
 
 ROW_KEYS = ["location", "block", "barnacles", "herbivores", "plot", "date"]
+CARRIED = ["timediff", "days"]
 
 
 def herbivore_abundance(responses: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def published_curves(spark) -> DataFrame:
 def abundance_weights(abundance: DataFrame, pool: DataFrame, seed: int = 26) -> DataFrame:
     """Drawn dry weight of each count."""
     numbered = number_pool(pool, "species", ["size_mm", "copy"])
-    return bootstrap_total(abundance, numbered, ROW_KEYS, "species", "count", "dw_g", "total_dw_g", seed)
+    return bootstrap_total(abundance, numbered, ROW_KEYS, "species", "count", "dw_g", "total_dw_g", seed, CARRIED)
 
 
 def expected_weights(abundance: DataFrame, pool: DataFrame) -> DataFrame:
