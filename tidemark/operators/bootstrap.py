@@ -11,33 +11,35 @@ from tidemark.operators.combine import join_groups, stack_rows
 from tidemark.session import settle
 
 COPY_BLOCK = 100_000
+# Fixed value: the prime 2**31 - 1, so that products stay within 64 bits.
+PRIME = 2147483647
 
 
 def number_pool(pool: DataFrame, by: str, ids: Sequence[str], digits: int = 3) -> DataFrame:
-    """Give the members of each group the numbers 0, 1, ... (``slot``) and the size (``pool_n``).
+    """Number the members of all pools (``slot``): each group's own run starts at ``pool_start``
+    and has ``pool_n`` members.
 
     ``ids`` name columns that identify a member. Members are ordered by the hash of their id, so
     the numbers depend on nothing but the pool itself. A group is cut at its leading hash digits
     into 16**digits even chunks; members are numbered inside a chunk and shifted by the sizes of
-    the chunks before it. No task orders more than one chunk.
+    the chunks before it. No task orders more than one chunk of members, or the chunk sizes of
+    one group, or one row per group.
     """
     keyed = pool.withColumn("member_hash", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids])))
     keyed = keyed.withColumn("chunk", F.substring("member_hash", 1, digits))
-    group = Window.partitionBy(by)
-    chunks = keyed.groupBy(by, "chunk").agg(F.count(F.lit(1)).alias("m"))
-    chunks = settle(
-        chunks.withColumns(
-            {
-                "shift": F.sum("m").over(group.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("m"),
-                "pool_n": F.sum("m").over(group),
-            }
-        ).drop("m"),
-        "chunks",
+    chunks = settle(keyed.groupBy(by, "chunk").agg(F.count(F.lit(1)).alias("m")), "chunks")
+    before = (Window.unboundedPreceding, -1)
+    groups = chunks.groupBy(by).agg(F.sum("m").alias("pool_n"))
+    groups = groups.withColumn(
+        "pool_start", F.coalesce(F.sum("pool_n").over(Window.orderBy(by).rowsBetween(*before)), F.lit(0))
     )
+    inner = Window.partitionBy(by).orderBy("chunk").rowsBetween(*before)
+    shifts = chunks.withColumn("shift", F.coalesce(F.sum("m").over(inner), F.lit(0))).drop("m")
+    shifts = settle(join_groups(shifts, groups, [by], "inner"), "shifts")
     place = Window.partitionBy(by, "chunk").orderBy("member_hash", *ids)
     return (
-        join_groups(keyed, chunks, [by, "chunk"], "inner")
-        .withColumn("slot", F.col("shift") + F.row_number().over(place) - 1)
+        join_groups(keyed, shifts, [by, "chunk"], "inner")
+        .withColumn("slot", F.col("pool_start") + F.col("shift") + F.row_number().over(place) - 1)
         .drop("member_hash", "chunk", "shift")
     )
 
@@ -63,10 +65,31 @@ def pool_from_sizes(sizes: DataFrame, by: str, size: str) -> DataFrame:
     return with_copies(counts, "repeats", "copy", COPY_BLOCK).drop("repeats")
 
 
-def draw_slot(seed: int, keys: Sequence[str], draw: str, pool_n: Column) -> Column:
-    """The pool number of one draw: 60 hash bits of (seed, row key, draw) modulo the pool size."""
-    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("NA")) for k in [*keys, draw]])
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % pool_n
+def with_draw_seeds(df: DataFrame, seed: int, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Add eight whole numbers below PRIME per row, from one hash of the seed and the row key."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("NA")) for k in keys])
+    parts = {
+        name: F.conv(F.substring("row_hash", 8 * i + 1, 8), 16, 10).cast("bigint") % PRIME for i, name in enumerate(names)
+    }
+    return df.withColumn("row_hash", F.sha2(text, 256)).withColumns(parts).drop("row_hash")
+
+
+def draw_slot(seeds: Sequence[Column], draw: Column, pool_n: Column) -> Column:
+    """Pool number of one draw.
+
+    Two cubic polynomials in the draw number over the field of PRIME, with the row's seeds as
+    coefficients, give 62 bits that are uniform and independent for any four draws of a row
+    (Wegman and Carter 1981). A draw costs six multiplications instead of a hash of its own.
+    """
+    high, low = _cubic(seeds[:4], draw), _cubic(seeds[4:], draw)
+    return (high * PRIME + low) % pool_n
+
+
+def _cubic(c: Sequence[Column], d: Column) -> Column:
+    value = c[3]
+    for k in (2, 1, 0):
+        value = (value * d + c[k]) % PRIME
+    return value
 
 
 def bootstrap_total(
@@ -88,18 +111,24 @@ def bootstrap_total(
     count, or a species without a pool, totals NULL.
 
     Draws depend on the seed and the row key only, hence neither on order nor on partitions.
-    The numbered pool is a written table: it is broadcast when its files are small, and then the
-    draws of a row are summed where the row lies. Otherwise draws and pool meet on
-    (species, slot), which spreads a dominant species over its slots.
+    The numbered pool is a written table: it is broadcast when its files are small, and then rows
+    move once, by key, before they are expanded, and are summed where they lie. Otherwise draws
+    and pool meet on the slot, which spreads a dominant species over all its members.
     """
-    pool = settle(pool.select(species, "slot", "pool_n", weight), "pool")
-    sizes = settle(pool.where(F.col("slot") == 0).select(species, "pool_n"), "pool_sizes")
+    pool = settle(pool.select(species, "slot", "pool_start", "pool_n", weight), "pool")
+    runs = settle(pool.where(F.col("slot") == F.col("pool_start")).select(species, "pool_start", "pool_n"), "pool_runs")
     columns = [*keys, *carry, species, count]
-    rows = join_groups(counts.select(*columns).withColumn("units", F.col(count).cast("bigint")), sizes, [species])
+    rows = join_groups(counts.select(*columns).withColumn("units", F.col(count).cast("bigint")), runs, [species])
     drawn = F.col("pool_n").isNotNull() & (F.col("units") > 0)
-    draws = with_copies(rows.where(drawn), "units", "draw", block)
-    draws = draws.withColumn("slot", draw_slot(seed, [*keys, species], "draw", F.col("pool_n")))
-    sums = draws.join(pool.drop("pool_n"), [species, "slot"]).groupBy(*columns).agg(F.sum(weight).alias(total))
+    names = [f"seed{i}" for i in range(8)]
+    # the sums need the rows by key anyway: moving them before they multiply moves least
+    spread = rows.where(drawn).repartition(*keys)
+    seeded = with_draw_seeds(spread, seed, [*keys, species], names)
+    slot = F.col("pool_start") + draw_slot([F.col(n) for n in names], F.col("draw") % PRIME, F.col("pool_n"))
+    draws = with_copies(seeded, "units", "draw", block)
+    # never NULL here: saying so spares the join a second evaluation of the slot as a filter
+    draws = draws.select(*columns, F.coalesce(slot, F.lit(-1)).alias("slot"))
+    sums = draws.join(pool.select("slot", weight), "slot").groupBy(*columns).agg(F.sum(weight).alias(total))
     others = rows.where(~F.coalesce(drawn, F.lit(False))).select(
         *columns, F.when(F.col("units") == 0, F.lit(0.0)).alias(total)
     )

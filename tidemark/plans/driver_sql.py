@@ -243,9 +243,9 @@ WITH l AS (SELECT l_returnflag, ln(l_quantity) AS x, ln(l_extendedprice) AS y FR
 f AS (SELECT l_returnflag, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy,
              regr_sxy(y, x) AS sxy, min(x) AS x0, max(x) AS x1 FROM l GROUP BY 1),
 g AS (SELECT *, sxy / sxx AS b, sqrt((syy - sxy / sxx * sxy) / (n - 2)) AS s, unnest(range(80))::INT AS step FROM f),
-h AS (SELECT *, x0 + (x1 - x0) * step / 79.0::DOUBLE AS at FROM g),
-k AS (SELECT *, my + b * (at - mx) AS fit, s * sqrt(1.0::DOUBLE / n + (at - mx) * (at - mx) / sxx) AS se FROM h)
-SELECT l_returnflag, step, round(at, 8) AS at, round(fit, 8) AS fit, round(se, 8) AS se,
+h AS (SELECT *, x0 + (x1 - x0) * step / 79.0::DOUBLE AS "at" FROM g),
+k AS (SELECT *, my + b * ("at" - mx) AS fit, s * sqrt(1.0::DOUBLE / n + ("at" - mx) * ("at" - mx) / sxx) AS se FROM h)
+SELECT l_returnflag, step, round("at", 8) AS "at", round(fit, 8) AS fit, round(se, 8) AS se,
        round(fit - 1.96::DOUBLE * se, 8) AS lo, round(fit + 1.96::DOUBLE * se, 8) AS hi FROM k"""
 
     sql["expected_totals"] = f"""
@@ -253,14 +253,17 @@ WITH m AS (SELECT p_brand, avg({CURVE_WEIGHT}) AS w FROM part GROUP BY 1)
 SELECT p_brand, l_returnflag, sum(l_quantity)::BIGINT AS animals, round(sum(l_quantity * w), 6) AS expected
 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN m USING (p_brand) GROUP BY ALL"""
 
+    seeds = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT % 2147483647 AS c{i}" for i in range(8))
+    cubics = [f"((((c{k + 3} * d + c{k + 2}) % 2147483647 * d + c{k + 1}) % 2147483647 * d + c{k}) % 2147483647)" for k in (0, 4)]
     sql["bootstrap_totals"] = f"""
 WITH pool AS (SELECT p_brand, {CURVE_WEIGHT} AS weight, count(*) OVER (PARTITION BY p_brand) AS pool_n,
                      row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey::VARCHAR), p_partkey) - 1 AS slot FROM part),
 sizes AS (SELECT p_brand, count(*) AS pool_n FROM part GROUP BY 1),
-draws AS (SELECT l.*, p.p_brand, s.pool_n, unnest(range(1, l_quantity::BIGINT + 1)) AS draw
-          FROM {LINES} l JOIN part p ON p.p_partkey = l.l_partkey JOIN sizes s ON s.p_brand = p.p_brand),
-keyed AS (SELECT p_brand, l_returnflag, ('0x' || substr(md5(concat_ws('|', '26', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-                 ship_date, p_brand, draw)), 1, 15))::BIGINT % pool_n AS slot FROM draws),
+rows AS (SELECT l.*, p.p_brand, s.pool_n, sha256(concat_ws('|', '26', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                ship_date, p.p_brand)) AS h
+         FROM {LINES} l JOIN part p ON p.p_partkey = l.l_partkey JOIN sizes s ON s.p_brand = p.p_brand),
+draws AS (SELECT p_brand, l_returnflag, pool_n, {seeds}, unnest(range(1, l_quantity::BIGINT + 1)) AS d FROM rows),
+keyed AS (SELECT p_brand, l_returnflag, ({cubics[0]} * 2147483647 + {cubics[1]}) % pool_n AS slot FROM draws),
 sums AS (SELECT k.p_brand, k.l_returnflag, sum(weight) AS total
          FROM keyed k JOIN pool ON pool.p_brand = k.p_brand AND pool.slot = k.slot GROUP BY ALL),
 sizes2 AS (SELECT p_brand, l_returnflag, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)

@@ -8,11 +8,12 @@ from pyspark.sql import types as T
 from tidemark.sources.schemas import BIO_RESPONSES
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, mode: str = "PERMISSIVE") -> DataFrame:
     """CSV with a header line that is not trusted; empty fields and ``NA`` are missing.
 
     Columns are matched by position, so repeated or changed headers do no harm, and the types
-    need no extra pass over the data.
+    need no extra pass over the data. A field that is no value of its type is missing, unless
+    ``mode`` is ``FAILFAST``.
     """
     return (
         spark.read.schema(schema)
@@ -20,7 +21,7 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
         .option("enforceSchema", True)
         .option("nullValue", "NA")
         .option("dateFormat", "yyyy-MM-dd")
-        .option("mode", "FAILFAST")
+        .option("mode", mode)
         .csv(path)
     )
 
