@@ -18,7 +18,7 @@ TABLES = Path(os.environ.get("TIDEMARK_TABLES", "/root/testdata")) / "sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, "tidemark-tests", "4g")
-    session.conf.set("spark.sql.shuffle.partitions", "4")
+    session.conf.set("spark.sql.shuffle.partitions", "2")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -218,7 +218,7 @@ def test_tails():
 def test_nine_models(spark, raw, responses, abundance):
     from tidemark.plans import figures as G
     from tidemark.plans import grazers as Z
-    from tidemark.plans.models import fit_plan, model_named
+    from tidemark.plans.models import checked, fit_plan, model_named, simplified
     from tidemark.plans.surveys import canopy_clean
     from tidemark.session import settle
 
@@ -244,3 +244,12 @@ def test_nine_models(spark, raw, responses, abundance):
         total = fit.table.agg(F.sum(F.col("n") * F.col("mean")).alias("y"), F.sum(F.col("n") * fitted_mean(fit)).alias("m")).first()
         if fit.family.name in ("gaussian", "negbin1"):
             assert total["m"] == pytest.approx(total["y"], rel=1e-6), name
+
+    plan = model_named("siphonaria")
+    fit = fit_plan(plan, data["siphonaria"], by_dispersion=True)
+    checks = checked(plan, fit, data["siphonaria"], ["plot", "date", "barnacles"])
+    assert checks["rows"].count() == 132
+    assert checks["time"].first()["n_times"] == 11
+    assert checks["by_barnacles"].agg(F.sum("n")).first()[0] == 132
+    last, record = simplified(fit)
+    assert record.count() >= 1 and len(last.design.terms) >= 1

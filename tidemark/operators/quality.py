@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +60,8 @@ def violations(
         checks.append((c, "required", F.col(f"`{c}`"), F.col(f"`{c}`").isNull()))
     for rule, bad in (rules or {}).items():
         checks.append(("", rule, F.lit(None), bad))
-    # one array entry per rule, kept where the rule is broken
+    # clean rows, the bulk of a table, leave at once; the others get one array entry per broken rule
+    suspect = reduce(lambda a, b: a | b, [F.coalesce(bad, F.lit(False)) for *_, bad in checks])
     found = F.array(
         *[
             F.when(
@@ -70,7 +72,7 @@ def violations(
         ]
     )
     broken = F.explode(F.filter(found, lambda x: x.isNotNull())).alias("broken")
-    return df.select(*[F.col(f"`{k}`") for k in keys], broken).select(
+    return df.where(suspect).select(*[F.col(f"`{k}`") for k in keys], broken).select(
         *[F.col(f"`{k}`") for k in keys], "broken.field", "broken.rule", "broken.value"
     )
 

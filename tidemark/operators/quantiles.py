@@ -18,19 +18,25 @@ from tidemark.session import settle
 BUCKET_BITS = 14
 
 
-def value_bucket(x: Column, bits: int = BUCKET_BITS) -> Column:
-    """A whole number that never decreases as ``x`` grows: sign, power of two, leading bits.
+def with_bucket(df: DataFrame, value: str, bits: int = BUCKET_BITS) -> DataFrame:
+    """Add ``bucket``, a whole number that never decreases as the value grows: sign, power of
+    two, leading bits.
 
     A bucket spans 1/2**bits of its power of two, so there are at most a few thousand times
     2**bits buckets whatever the data.
     """
-    size = F.abs(x)
-    power = F.when(F.isnan(size) | (size == float("inf")), 1024.0).otherwise(F.floor(F.log2(size)).cast("double"))
-    steps = float(2**bits)
-    share = (size / F.pow(F.lit(2.0), power) - 1.0) * steps
-    step = F.when(power < 1024.0, F.least(F.greatest(F.floor(share), F.lit(0)), F.lit(2**bits - 1))).otherwise(F.lit(0))
+    x, size, power = F.col(value), F.abs(F.col(value)), F.col("power")
+    endless = size == float("inf")
+    share = F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * float(2**bits))
+    step = F.when(endless, F.lit(0)).otherwise(F.least(F.greatest(share, F.lit(0)), F.lit(2**bits - 1)))
     rank = (power + 1075.0).cast("bigint") * F.lit(2**bits) + step + 1
-    return F.when(size == 0, F.lit(0)).when(x < 0, -rank).otherwise(rank).cast("bigint")
+    # power and rank are columns of their own, so that each is worked out once per row
+    return (
+        df.withColumn("power", F.when(endless, 1024.0).otherwise(F.floor(F.log2(size)).cast("double")))
+        .withColumn("bucket", F.when(size == 0, F.lit(0)).otherwise(rank).cast("bigint"))
+        .withColumn("bucket", F.when(x < 0, -F.col("bucket")).otherwise(F.col("bucket")))
+        .drop("power")
+    )
 
 
 def percentile_name(prob: float) -> str:
@@ -47,7 +53,7 @@ def exact_percentiles(
     the distinct values of one bucket of one group.
     """
     rows = df.select(*by, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    rows = rows.withColumn("bucket", value_bucket(F.col("v"), bits))
+    rows = with_bucket(rows, "v", bits)
     group = Window.partitionBy(*by)
     counts = (
         rows.groupBy(*by, "bucket")

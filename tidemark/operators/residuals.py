@@ -31,15 +31,23 @@ def pearson_rows(df: DataFrame, fit: Fit, response: str) -> DataFrame:
     return used.withColumn("mu", fitted_mean(fit, on_rows=True)).withColumn("residual", F.col(response) - F.col("mu"))
 
 
-def _uniforms(seeds: np.ndarray, draws: int) -> np.ndarray:
-    """Uniform numbers by row and draw from a 64-bit mixing function of (row seed, draw)."""
+def _random_words(seeds: np.ndarray, draws: int) -> np.ndarray:
+    """32 random bits by row and draw from a 64-bit mixing function of (row seed, place)."""
+    places = (draws + 1) // 2
     with np.errstate(over="ignore"):
-        step = np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        z = seeds.astype(np.uint64)[:, None] + step[None, :]
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        z = z ^ (z >> np.uint64(31))
-    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 9007199254740992.0
+        step = np.arange(1, places + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        z = seeds.view(np.uint64)[:, None] + step[None, :]
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z ^= z >> np.uint64(shift)
+            z *= np.uint64(factor)
+        z ^= z >> np.uint64(31)
+    return z.view(np.uint32)
+
+
+def _share_below(words: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Share of a row's uniforms, held as 32-bit fractions, that lie below its level."""
+    bar = np.minimum(level * 4294967296.0, 4294967295.0).astype(np.uint32)
+    return np.count_nonzero(words < bar[:, None], axis=1) / words.shape[1]
 
 
 def _count_tails(y: np.ndarray, mu: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,13 +84,13 @@ def _tweedie_ranks(
 def _scaled(pdf: pd.DataFrame, family: str, phi: float, power: float, theta: float, draws: int) -> np.ndarray:
     seeds = pdf["row_seed"].to_numpy(dtype=np.int64)
     y, mu = pdf["y"].to_numpy(dtype=float), pdf["mu"].to_numpy(dtype=float)
-    u = _uniforms(seeds, draws + 1)
+    words = _random_words(np.ascontiguousarray(seeds), draws + 2)
+    words, tie = words[:, :draws], words[:, draws] / 4294967296.0
     if family == "tweedie":
         less, same = _tweedie_ranks(seeds, y, mu, power, phi, draws)
     elif family == "gaussian":
         z = (y - mu) / math.sqrt(2 * phi)
-        level = 0.5 * (1 + np.array([math.erf(v) for v in z]))
-        less, same = (u[:, :draws] < level[:, None]).mean(axis=1), 0.0
+        less, same = _share_below(words, 0.5 * (1 + np.array([math.erf(v) for v in z]))), 0.0
     else:
         size = np.full_like(mu, np.inf)
         if family == "negbin2":
@@ -91,9 +99,9 @@ def _scaled(pdf: pd.DataFrame, family: str, phi: float, power: float, theta: flo
             size = mu / (phi - 1)
         below, upto = _count_tails(y, mu, size)
         # a uniform below P(Y < y) stands for a simulated count below y, and so on
-        less = (u[:, :draws] < below[:, None]).mean(axis=1)
-        same = ((u[:, :draws] >= below[:, None]) & (u[:, :draws] < upto[:, None])).mean(axis=1)
-    return less + u[:, draws] * same
+        less = _share_below(words, below)
+        same = _share_below(words, upto) - less
+    return less + tie * same
 
 
 def simulated_residuals(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,27 +11,30 @@ from tidemark.functions.aggregates import max_of, mean_of, sd_of, se_of
 
 
 def cell_summary(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str,
-    na_rm: bool = False,
-    prefix: str = "",
+    df: DataFrame, by: Sequence[str], value: str, na_rm: bool = False, prefix: str = ""
+) -> DataFrame:
+    """Size, mean, deviation, standard error and the bounds mean -/+ error of each cell."""
+    return cell_summaries(df, by, {prefix: value}, na_rm)
+
+
+def cell_summaries(
+    df: DataFrame, by: Sequence[str], values: Mapping[str, str], na_rm: bool = False
 ) -> DataFrame:
-    """Size, mean, deviation, standard error and the bounds mean -/+ error of each cell.
+    """The same for several values, whose columns get the prefix they are listed under.
 
     One partially aggregated pass: a cell that holds most rows is reduced where its rows lie.
     """
-    av, se = f"{prefix}av", f"{prefix}se"
-    return (
-        df.groupBy(*by)
-        .agg(
+    columns, bounds = [], {}
+    for prefix, value in values.items():
+        av, se = f"{prefix}av", f"{prefix}se"
+        columns += [
             F.count(F.lit(1)).alias(f"{prefix}n"),
             mean_of(value, na_rm).alias(av),
             sd_of(value, na_rm).alias(f"{prefix}sd"),
             se_of(value, na_rm).alias(se),
-        )
-        .withColumns({f"{prefix}lo": F.col(av) - F.col(se), f"{prefix}hi": F.col(av) + F.col(se)})
-    )
+        ]
+        bounds |= {f"{prefix}lo": F.col(av) - F.col(se), f"{prefix}hi": F.col(av) + F.col(se)}
+    return df.groupBy(*by).agg(*columns).withColumns(bounds)
 
 
 def peak_per_unit(

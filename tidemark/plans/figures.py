@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.functions.labels import label_of, level_index, recode
 from tidemark.functions.logit import with_logit
 from tidemark.operators.allometry import regression_band
-from tidemark.operators.combine import distinct_values, drop_when, join_groups, keep_matching, keep_unmatched, stack_rows
-from tidemark.operators.summaries import cell_summary, histogram
+from tidemark.operators.combine import distinct_values, drop_when, keep_matching, keep_unmatched, stack_rows
+from tidemark.operators.summaries import cell_summaries, cell_summary, histogram
 
 # Labels and their order.
 HERBIVORE_LABELS = {"con": "Control", "in": "Inclusion", "out": "Exclusion"}
@@ -78,13 +78,10 @@ def ephemeral_cover(responses: DataFrame) -> DataFrame:
 
 
 def perennial_cover(responses: DataFrame) -> DataFrame:
-    """Cover in percent, and the same on the logit scale with prefix ``log_``, from one aggregation pass each."""
+    """Cover in percent, and the same on the logit scale with prefix ``log_``, in one pass."""
     by = ["location", "barnacles", "herbivores", "days", "timediff"]
     rows = with_logit(perennials(responses), "percent_cover", "logit_pc")
-    both = join_groups(
-        cell_summary(rows, by, "percent_cover"), cell_summary(rows, by, "logit_pc", prefix="log_"), by, "inner"
-    )
-    return labelled(both, TREATMENT_ORDER)
+    return labelled(cell_summaries(rows, by, {"": "percent_cover", "log_": "logit_pc"}), TREATMENT_ORDER)
 
 
 def balanus_recruits(responses: DataFrame) -> DataFrame:

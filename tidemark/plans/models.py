@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.logit import with_logit
 from tidemark.operators.design import Design, crossed, model_table
 from tidemark.operators.glm import Family, Fit, fit_glm, refit_by_dispersion, tweedie_power
+from tidemark.operators.residuals import durbin_watson, residual_summary, simulated_residuals
+from tidemark.operators.terms import drop_table, drop_terms
+from tidemark.session import settle
 
 # Factor levels, baseline first.
 LEVELS = {
@@ -75,3 +78,21 @@ def fit_plan(plan: ModelPlan, df: DataFrame, by_dispersion: bool = False) -> Fit
         family = Family("tweedie", power=tweedie_power(table, [*plan.factors, "timediff"]))
     fit = fit_glm(table, design, family)
     return refit_by_dispersion(fit, plan.dispersion) if by_dispersion and plan.dispersion else fit
+
+
+def simplified(fit: Fit) -> tuple[Fit, DataFrame]:
+    """The model after dropping terms while that lowers AIC, and the record of tries."""
+    last, records = drop_terms(fit)
+    return last, drop_table(fit.table.sparkSession, records)
+
+
+def checked(plan: ModelPlan, fit: Fit, df: DataFrame, keys: Sequence[str]) -> dict[str, DataFrame]:
+    """Scaled residuals per row, their autocorrelation in time, and their spread per factor and time."""
+    if plan.response == "logit_pc" and "logit_pc" not in df.columns:
+        df = with_logit(df, "percent_cover", "logit_pc")
+    rows = settle(simulated_residuals(df, fit, plan.response, keys), "residuals")
+    return {
+        "rows": rows,
+        "time": durbin_watson(rows, "scaled", "timediff", []),
+        **{f"by_{v}": residual_summary(rows, "scaled", [v]) for v in [*plan.factors, "timediff"]},
+    }
