@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,27 +106,33 @@ def fitted_mean(fit: Fit, on_rows: bool = False) -> Column:
     return F.exp(eta) if fit.family.log_link else eta
 
 
-def _solve(
-    table: DataFrame, names: Sequence[str], label: str, weight: str, family: Family
-) -> tuple[dict[str, float], dict[str, float]]:
-    """Weighted fit of one family Spark knows: estimates and errors for a dispersion of one."""
+def _assembled(table: DataFrame, names: Sequence[str], weight: str) -> DataFrame:
+    """The cell table with its design columns as one vector, kept in memory for repeated fits."""
+    kept = dict.fromkeys(["n", "mean", "ss", weight])
+    return VectorAssembler(inputCols=list(names), outputCol="x").transform(table).select(*kept, "x").cache()
+
+
+def _glm(label: str, weight: str, family: Family) -> GeneralizedLinearRegression:
     options = {"family": "gaussian"}
     if family.name in ("poisson", "negbin1"):
         options = {"family": "poisson", "link": "log"}
     elif family.name == "tweedie":
         options = {"family": "tweedie", "variancePower": family.power, "linkPower": 0.0}
-    glm = GeneralizedLinearRegression(
-        featuresCol="x", labelCol=label, weightCol=weight, maxIter=100, tol=1e-12, regParam=0.0, **options
+    return GeneralizedLinearRegression(
+        featuresCol="x", labelCol=label, weightCol=weight, linkPredictionCol="eta",
+        maxIter=100, tol=1e-12, regParam=0.0, **options,
     )
-    x = VectorAssembler(inputCols=list(names), outputCol="x").transform(table)
-    model = glm.fit(x.select("x", label, weight))
-    summary = model.summary
-    estimates = {INTERCEPT: model.intercept, **dict(zip(names, map(float, model.coefficients)))}
-    errors = list(summary.coefficientStandardErrors)
-    root = math.sqrt(summary.dispersion)
-    errors = [e / root if root > 0 else float("nan") for e in errors]
-    # Spark lists the intercept last
-    return estimates, {INTERCEPT: errors[-1], **dict(zip(names, errors[:-1]))}
+
+
+def _estimates(model: GeneralizedLinearRegressionModel, names: Sequence[str]) -> dict[str, float]:
+    return {INTERCEPT: model.intercept, **dict(zip(names, map(float, model.coefficients)))}
+
+
+def _unscaled_errors(model: GeneralizedLinearRegressionModel, names: Sequence[str]) -> dict[str, float]:
+    """Standard errors for a dispersion of one. Spark lists the intercept last."""
+    root = math.sqrt(model.summary.dispersion)
+    errors = [e / root if root > 0 else float("nan") for e in model.summary.coefficientStandardErrors]
+    return {INTERCEPT: errors[-1], **dict(zip(names, errors[:-1]))}
 
 
 def _moments(table: DataFrame, family: Family, mu: Column, weight: str) -> tuple[float, float, float]:
@@ -146,10 +152,13 @@ def fit_glm(table: DataFrame, design: Design, family: Family, weight: str = "n")
     if family.name == "negbin2":
         return fit_negbin2(table, design, weight, theta=family.theta)
     names = list(design_columns(design))
-    estimates, errors = _solve(table, names, "mean", weight, family)
-    draft = Fit(table, design, family, weight, estimates, errors, 0.0, 1.0, 0.0)
-    rows, pearson, deviance = _moments(table, family, fitted_mean(draft), weight)
-    return replace(draft, rows=rows, dispersion=pearson / (rows - len(estimates)), deviance=deviance)
+    cells = _assembled(table, names, weight)
+    model = _glm("mean", weight, family).fit(cells)
+    mu = F.exp("eta") if family.log_link else F.col("eta")
+    rows, pearson, deviance = _moments(model.transform(cells), family, mu, weight)
+    estimates, errors = _estimates(model, names), _unscaled_errors(model, names)
+    cells.unpersist()
+    return Fit(table, design, family, weight, estimates, errors, rows, pearson / (rows - len(estimates)), deviance)
 
 
 def fit_negbin2(
@@ -157,44 +166,46 @@ def fit_negbin2(
     design: Design,
     weight: str = "n",
     theta: float | None = None,
-    rounds: int = 60,
-    tol: float = 1e-9,
+    rounds: int = 100,
+    tol: float = 1e-6,
 ) -> Fit:
     """Negative binomial with quadratic variance by iteratively reweighted least squares.
 
     Each round is a weighted linear fit of the working response, written as columns over the
-    same settled cell table with the last estimates as literals, so the plan does not grow.
-    Unless given, theta follows from E[(y - mu)^2] = mu + mu^2 / theta, corrected for the
-    number of estimates.
+    same cell table and the last model's prediction, so the plan does not grow. Unless given,
+    theta follows from E[(y - mu)^2] = mu + mu^2 / theta, corrected for the number of estimates.
     """
     names = list(design_columns(design))
-    fixed = theta is not None
-    # start from the Poisson fit
-    estimates, errors = _solve(table, names, "mean", weight, Family("poisson"))
+    cells = _assembled(table, names, weight)
+    fixed, mu = theta is not None, F.exp("eta")
+    model = _glm("mean", weight, Family("poisson")).fit(cells)  # start from the Poisson fit
+    line = _glm("z", "v", Family("gaussian"))
     done = 0
     for done in range(1, rounds + 1):
-        mu = F.exp(linear_predictor(estimates))
+        before = _estimates(model, names)
+        fitted = model.transform(cells)
         if not fixed:
-            theta = _moment_theta(table, mu, len(estimates))
-        work = table.withColumns(
-            {
-                "z": linear_predictor(estimates) + (F.col("mean") - mu) / mu,
-                "v": F.col(weight) * mu / (1 + mu / F.lit(theta)),
-            }
+            theta = _moment_theta(fitted, mu, len(before))
+        work = fitted.select(
+            "x",
+            (F.col("eta") + (F.col("mean") - mu) / mu).alias("z"),
+            (F.col(weight) * mu / (1 + mu / F.lit(theta))).alias("v"),
         )
-        before = estimates
-        estimates, errors = _solve(work, names, "z", "v", Family("gaussian"))
-        if max(abs(estimates[k] - before[k]) for k in estimates) < tol:
+        model = line.fit(work)
+        after = _estimates(model, names)
+        if max(abs(after[k] - before[k]) for k in after) < tol:
             break
     family = Family("negbin2", theta=theta)
-    draft = Fit(table, design, family, weight, estimates, errors, 0.0, 1.0, 0.0, done)
-    rows, pearson, deviance = _moments(table, family, fitted_mean(draft), weight)
-    return replace(draft, rows=rows, dispersion=pearson / (rows - len(estimates)), deviance=deviance)
+    rows, pearson, deviance = _moments(model.transform(cells), family, mu, weight)
+    estimates, errors = _estimates(model, names), _unscaled_errors(model, names)
+    cells.unpersist()
+    dispersion = pearson / (rows - len(estimates))
+    return Fit(table, design, family, weight, estimates, errors, rows, dispersion, deviance, done)
 
 
-def _moment_theta(table: DataFrame, mu: Column, estimates: int) -> float:
+def _moment_theta(fitted: DataFrame, mu: Column, estimates: int) -> float:
     y, n = F.col("mean"), F.col("n")
-    row = table.agg(
+    row = fitted.agg(
         F.sum(F.col("ss") + n * (y - mu) * (y - mu)).alias("squares"),
         F.sum(n * mu).alias("first"),
         F.sum(n * mu * mu).alias("second"),
