@@ -147,18 +147,24 @@ def _moments(table: DataFrame, family: Family, mu: Column, weight: str) -> tuple
     return row["rows"], row["pearson"], row["deviance"]
 
 
-def fit_glm(table: DataFrame, design: Design, family: Family, weight: str = "n") -> Fit:
-    """Fit a family to a :func:`~tidemark.operators.design.model_table`."""
+def fit_glm(
+    table: DataFrame, design: Design, family: Family, weight: str = "n", errors: bool = True
+) -> Fit:
+    """Fit a family to a :func:`~tidemark.operators.design.model_table`.
+
+    ``errors=False`` leaves the standard errors out and saves the pass they need, for fits that
+    are only compared by deviance.
+    """
     if family.name == "negbin2":
-        return fit_negbin2(table, design, weight, theta=family.theta)
+        return fit_negbin2(table, design, weight, theta=family.theta, errors=errors)
     names = list(design_columns(design))
     cells = _assembled(table, names, weight)
     model = _glm("mean", weight, family).fit(cells)
     mu = F.exp("eta") if family.log_link else F.col("eta")
     rows, pearson, deviance = _moments(model.transform(cells), family, mu, weight)
-    estimates, errors = _estimates(model, names), _unscaled_errors(model, names)
+    estimates, unscaled = _estimates(model, names), _unscaled_errors(model, names) if errors else {}
     cells.unpersist()
-    return Fit(table, design, family, weight, estimates, errors, rows, pearson / (rows - len(estimates)), deviance)
+    return Fit(table, design, family, weight, estimates, unscaled, rows, pearson / (rows - len(estimates)), deviance)
 
 
 def fit_negbin2(
@@ -168,6 +174,7 @@ def fit_negbin2(
     theta: float | None = None,
     rounds: int = 100,
     tol: float = 1e-6,
+    errors: bool = True,
 ) -> Fit:
     """Negative binomial with quadratic variance by iteratively reweighted least squares.
 
@@ -197,10 +204,10 @@ def fit_negbin2(
             break
     family = Family("negbin2", theta=theta)
     rows, pearson, deviance = _moments(model.transform(cells), family, mu, weight)
-    estimates, errors = _estimates(model, names), _unscaled_errors(model, names)
+    estimates, unscaled = _estimates(model, names), _unscaled_errors(model, names) if errors else {}
     cells.unpersist()
     dispersion = pearson / (rows - len(estimates))
-    return Fit(table, design, family, weight, estimates, errors, rows, dispersion, deviance, done)
+    return Fit(table, design, family, weight, estimates, unscaled, rows, dispersion, deviance, done)
 
 
 def _moment_theta(fitted: DataFrame, mu: Column, estimates: int) -> float:

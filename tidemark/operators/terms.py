@@ -22,7 +22,7 @@ def drop_terms(fit: Fit, max_steps: int = 50) -> tuple[Fit, list[tuple]]:
         for term in fit.design.marginal_terms():
             if len(fit.design.terms) == 1:
                 continue
-            smaller = fit_glm(fit.table, fit.design.without(term), family, fit.weight)
+            smaller = fit_glm(fit.table, fit.design.without(term), family, fit.weight, errors=False)
             df, stat, p, delta = compare_nested(smaller, fit, scale)
             tries.append((delta, term, smaller, (df, stat, p)))
         if not tries:
@@ -34,6 +34,8 @@ def drop_terms(fit: Fit, max_steps: int = 50) -> tuple[Fit, list[tuple]]:
         if not falls:
             break
         fit = best[2]
+    if not fit.unscaled_errors:
+        fit = fit_glm(fit.table, fit.design, family, fit.weight)
     return fit, records
 
 
@@ -49,7 +51,7 @@ def type2_tests(spark: SparkSession, fit: Fit) -> DataFrame:
     def fitted(design: Design) -> Fit:
         key = frozenset(design.terms)
         if key not in fits:
-            fits[key] = fit_glm(fit.table, design, family, fit.weight)
+            fits[key] = fit_glm(fit.table, design, family, fit.weight, errors=False)
         return fits[key]
 
     for term in fit.design.terms:
