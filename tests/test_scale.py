@@ -94,3 +94,23 @@ def test_settled_tables_lie_in_the_named_folder(spark):
     df = settle(spark.range(3))
     assert df.count() == 3
     assert scratch_root(spark) in df.inputFiles()[0]
+
+
+def test_scratch_folder_follows_the_cluster():
+    class Session:
+        class sparkContext:
+            applicationId = "app-1"
+
+        class conf:
+            values = {"spark.master": "spark://host"}
+
+            @classmethod
+            def get(cls, key, default=None):
+                return cls.values.get(key, default)
+
+    with pytest.raises(ValueError):
+        scratch_root(Session)
+    Session.conf.values = {"spark.master": "spark://host", "spark.checkpoint.dir": "hdfs://shared/ck/"}
+    assert scratch_root(Session) == "hdfs://shared/ck"
+    Session.conf.values = {"spark.master": "local[2]"}
+    assert scratch_root(Session) == scratch_root(Session) != "hdfs://shared/ck"

@@ -7,6 +7,7 @@ the variance and the size of a negative binomial come from moments.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -202,6 +203,8 @@ def fit_negbin2(
         after = _estimates(model, names)
         if max(abs(after[k] - before[k]) for k in after) < tol:
             break
+    else:
+        warnings.warn(f"estimates still moved by more than {tol} after {rounds} rounds", stacklevel=2)
     family = Family("negbin2", theta=theta)
     rows, pearson, deviance = _moments(model.transform(cells), family, mu, weight)
     estimates, unscaled = _estimates(model, names), _unscaled_errors(model, names) if errors else {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.design import Design, Term, term_name
@@ -10,14 +12,14 @@ from tidemark.operators.glm import Fit, compare_nested, fit_glm
 TEST_SCHEMA = "step int, term string, df int, statistic double, p_value double, delta_aic double, dropped boolean"
 
 
-def drop_terms(fit: Fit, max_steps: int = 50) -> tuple[Fit, list[tuple]]:
+def drop_terms(fit: Fit) -> tuple[Fit, list[tuple]]:
     """Drop marginal terms one by one while that lowers AIC.
 
     Per step every term that no larger remaining term contains is left out in turn. Dispersion,
     power and theta stay those of the first model. Returns the last fit and one record per try.
     """
     scale, family, records = fit.scale, fit.family, []
-    for step in range(1, max_steps + 1):
+    for step in count(1):
         tries: list[tuple[float, Term, Fit, tuple]] = []
         for term in fit.design.marginal_terms():
             if len(fit.design.terms) == 1:

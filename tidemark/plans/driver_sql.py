@@ -118,7 +118,7 @@ FROM orders"""
 SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'Control' WHEN 'SMALL' THEN 'Inclusion' WHEN 'LARGE' THEN 'Exclusion'
                   ELSE p_type END AS label FROM part"""
 
-    sql["composite_keys"] = """
+    sql["composite_key"] = """
 SELECT p_partkey, coalesce(nullif(p_size, 1)::VARCHAR, 'NA') || '_' || p_brand AS key,
        p_type || ' ' || coalesce(nullif(p_size, 1)::VARCHAR, 'NA') AS label FROM part"""
 
@@ -154,7 +154,7 @@ SELECT l_orderkey, l_linenumber, l_returnflag, date_diff('day', d0, ship_date)::
        date_diff('day', d0, ship_date) / 7.0::DOUBLE AS timediff
 FROM {LINES} JOIN s USING (l_returnflag)"""
 
-    sql["anchor_days"] = f"""
+    sql["days_to_anchor"] = f"""
 SELECT l_orderkey, l_linenumber, date_diff('day', CASE l_returnflag WHEN 'A' THEN DATE '1998-06-21'
   WHEN 'N' THEN DATE '1997-12-21' WHEN 'R' THEN DATE '1999-03-20' END, ship_date)::INT AS days FROM {LINES}"""
 
@@ -194,14 +194,14 @@ q AS (SELECT event_type, quantile_cont(cents::DOUBLE, 0.25) AS q1, quantile_cont
 f AS (SELECT r.*, q.q1, q.median, q.q3,
              r.cents BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) AS inside
       FROM {READINGS} r JOIN q USING (event_type))"""
-    sql["box"] = f"""
+    sql["box_summary"] = f"""
 WITH {fences}
-SELECT event_type, count(*) AS n, any_value(q1) / 100 AS q1, any_value(median) / 100 AS median, any_value(q3) / 100 AS q3,
-       min(cents) FILTER (inside) / 100 AS whisker_low, max(cents) FILTER (inside) / 100 AS whisker_high,
+SELECT event_type, count(*) AS n, round(any_value(q1) / 100, 8) AS q1, round(any_value(median) / 100, 8) AS median,
+       round(any_value(q3) / 100, 8) AS q3, round(min(cents) FILTER (inside) / 100, 8) AS whisker_low,
+       round(max(cents) FILTER (inside) / 100, 8) AS whisker_high,
        count(*) FILTER (NOT inside) AS outliers
 FROM f GROUP BY 1"""
-    sql["box"] = sql["box"].replace("any_value(q1) / 100", "round(any_value(q1) / 100, 8)")
-    sql["box_outlier_rows"] = f"WITH {fences} SELECT event_type, user_id, day, value, cents FROM f WHERE NOT inside"
+    sql["box_outliers"] = f"WITH {fences} SELECT event_type, user_id, day, value, cents FROM f WHERE NOT inside"
 
     sql["histogram_fixed"] = """
 SELECT event_type, ceil(value / 10.0::DOUBLE - 0.5)::BIGINT AS bin, count(*) AS n,
@@ -238,7 +238,7 @@ SELECT l_returnflag, n, round(slope, 8) AS slope, round(intercept, 8) AS interce
 WITH f AS (SELECT l_returnflag, {logfit} FROM lineitem GROUP BY 1)
 SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, round(exp(slope * ln(l_quantity) + intercept), 2) AS price
 FROM lineitem JOIN f USING (l_returnflag)"""
-    sql["regression_bands"] = """
+    sql["regression_band"] = """
 WITH l AS (SELECT l_returnflag, ln(l_quantity) AS x, ln(l_extendedprice) AS y FROM lineitem),
 f AS (SELECT l_returnflag, count(*) AS n, avg(x) AS mx, avg(y) AS my, regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy,
              regr_sxy(y, x) AS sxy, min(x) AS x0, max(x) AS x1 FROM l GROUP BY 1),
@@ -248,14 +248,14 @@ k AS (SELECT *, my + b * ("at" - mx) AS fit, s * sqrt(1.0::DOUBLE / n + ("at" -
 SELECT l_returnflag, step, round("at", 8) AS "at", round(fit, 8) AS fit, round(se, 8) AS se,
        round(fit - 1.96::DOUBLE * se, 8) AS lo, round(fit + 1.96::DOUBLE * se, 8) AS hi FROM k"""
 
-    sql["expected_totals"] = f"""
+    sql["expected_total"] = f"""
 WITH m AS (SELECT p_brand, avg({CURVE_WEIGHT}) AS w FROM part GROUP BY 1)
 SELECT p_brand, l_returnflag, sum(l_quantity)::BIGINT AS animals, round(sum(l_quantity * w), 6) AS expected
 FROM lineitem JOIN part ON p_partkey = l_partkey JOIN m USING (p_brand) GROUP BY ALL"""
 
     seeds = ", ".join(f"('0x' || substr(h, {8 * i + 1}, 8))::BIGINT % 2147483647 AS c{i}" for i in range(8))
     cubics = [f"((((c{k + 3} * d + c{k + 2}) % 2147483647 * d + c{k + 1}) % 2147483647 * d + c{k}) % 2147483647)" for k in (0, 4)]
-    sql["bootstrap_totals"] = f"""
+    sql["bootstrap_total"] = f"""
 WITH pool AS (SELECT p_brand, {CURVE_WEIGHT} AS weight, count(*) OVER (PARTITION BY p_brand) AS pool_n,
                      row_number() OVER (PARTITION BY p_brand ORDER BY md5(p_partkey::VARCHAR), p_partkey) - 1 AS slot FROM part),
 sizes AS (SELECT p_brand, count(*) AS pool_n FROM part GROUP BY 1),
@@ -269,7 +269,7 @@ sums AS (SELECT k.p_brand, k.l_returnflag, sum(weight) AS total
 sizes2 AS (SELECT p_brand, l_returnflag, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY ALL)
 SELECT p_brand, l_returnflag, n, round(total, 6) AS total FROM sums JOIN sizes2 USING (p_brand, l_returnflag)"""
 
-    sql["oneway_coefficients"] = f"""
+    sql["oneway_ols"] = f"""
 WITH c AS (SELECT event_type, count(*) AS n, avg(cents) AS m, var_pop(cents) * count(*) AS ss FROM {READINGS} GROUP BY 1),
 g AS (SELECT sum(n * m) / sum(n) AS grand FROM c),
 t AS (SELECT (sum(n) - count(*))::BIGINT AS df, sum(ss) AS w, sum(n * (m - grand) * (m - grand)) AS b FROM c, g),
@@ -280,7 +280,7 @@ e AS (SELECT CASE WHEN event_type = 'click' THEN 'intercept' ELSE event_type END
              df, b / (b + w) AS r2 FROM c, t, z)
 SELECT term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(estimate / se, 6) AS t_value, df, round(r2, 6) AS r2 FROM e"""
 
-    sql["oneway_anova"] = """
+    sql["anova_oneway"] = """
 WITH c AS (SELECT event_type, count(*) AS n, avg(value) AS m, var_pop(value) * count(*) AS ss FROM events GROUP BY 1),
 g AS (SELECT sum(n * m) / sum(n) AS grand FROM c),
 t AS (SELECT (count(*) - 1)::BIGINT AS df_between, (sum(n) - count(*))::BIGINT AS df_within,
@@ -291,28 +291,42 @@ SELECT df_between, df_within, round(ss_between, 3) AS ss_between, round(ss_withi
        round(ss_between / (ss_between + ss_within), 8) AS r2 FROM t"""
 
     n, r, o, q = "(l_returnflag = 'N')::DOUBLE", "(l_returnflag = 'R')::DOUBLE", "(l_linestatus = 'O')::DOUBLE", "l_quantity"
-    sql["design_table"] = f"""
+    sql["design_matrix"] = f"""
 SELECT l_orderkey, l_linenumber, {n} AS "l_returnflag_N", {r} AS "l_returnflag_R", {o} AS "l_linestatus_O", {q} AS quantity,
   {n} * {o} AS "l_returnflag_N_x_l_linestatus_O", {r} * {o} AS "l_returnflag_R_x_l_linestatus_O",
   {n} * {q} AS "l_returnflag_N_x_quantity", {r} * {q} AS "l_returnflag_R_x_quantity", {o} * {q} AS "l_linestatus_O_x_quantity",
   {n} * {o} * {q} AS "l_returnflag_N_x_l_linestatus_O_x_quantity", {r} * {o} * {q} AS "l_returnflag_R_x_l_linestatus_O_x_quantity"
 FROM lineitem"""
 
-    sql["coefficients"] = saturated("lineitem", "l_quantity", "identity", "1.0", True)
+    sql["coef_table"] = saturated("lineitem", "l_quantity", "identity", "1.0", True)
     sql["glm_tweedie_cells"] = saturated("lineitem", "l_discount", "log", "pow(m, 1.5)", True)
     sql["glm_quasipoisson_cells"] = saturated("lineitem", "l_quantity", "log", "m", True)
     sql["glm_negbin2_cells"] = saturated("lineitem", "l_quantity", "log", "m + a * m * m", False, alpha=True)
     sql["glm_logit_gaussian_cells"] = saturated("logits", "y", "identity", "1.0", True, prelude=LOGIT)
 
+    sql["glm_gaussian_slopes"] = f"""
+WITH l AS (SELECT l_returnflag AS k, l_quantity AS y,
+                  (date_diff('day', DATE '1995-01-01', ship_date) // 91) / 4.0::DOUBLE AS x FROM {LINES}),
+f AS (SELECT k, count(*) AS n, avg(x) AS mx, regr_sxx(y, x) AS sxx, regr_slope(y, x) AS b, regr_intercept(y, x) AS a,
+             regr_syy(y, x) - regr_sxy(y, x) * regr_sxy(y, x) / regr_sxx(y, x) AS rss FROM l GROUP BY 1),
+s AS (SELECT sum(rss) / (sum(n) - 6) AS s2 FROM f),
+g AS (SELECT f.*, s2 * (1.0::DOUBLE / n + mx * mx / sxx) AS va, s2 / sxx AS vb FROM f, s),
+z AS (SELECT a AS a0, b AS b0, va AS va0, vb AS vb0 FROM g WHERE k = 'A'),
+e AS (SELECT 'intercept' AS term, a0 AS estimate, sqrt(va0) AS se FROM z
+      UNION ALL SELECT 'years', b0, sqrt(vb0) FROM z
+      UNION ALL SELECT 'l_returnflag_' || k, a - a0, sqrt(va + va0) FROM g, z WHERE k <> 'A'
+      UNION ALL SELECT 'l_returnflag_' || k || '_x_years', b - b0, sqrt(vb + vb0) FROM g, z WHERE k <> 'A')
+SELECT term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(estimate / se, 6) AS statistic FROM e"""
+
     sql["dispersion_cells"] = """
 WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS n, avg(l_quantity) AS m, var_pop(l_quantity) * count(*) AS ss
            FROM lineitem GROUP BY ALL)
 SELECT l_linestatus, sum(n)::BIGINT AS rows, round(sum(ss / m) / sum(n), 6) AS dispersion FROM c GROUP BY 1"""
 
-    sql["dispersion_levels"] = f"""
+    sql["dispersion_by_level"] = f"""
 WITH {RESIDUALS} SELECT l_returnflag, ship_year, count(*) AS rows, round(avg(r * r), 8) AS dispersion FROM res GROUP BY ALL"""
 
-    sql["durbin_watson_series"] = f"""
+    sql["durbin_watson"] = f"""
 WITH {RESIDUALS},
 t AS (SELECT l_returnflag, ship_date, avg(r) AS r FROM res GROUP BY ALL),
 c AS (SELECT l_returnflag, ship_date, r - avg(r) OVER (PARTITION BY l_returnflag) AS r FROM t),
@@ -321,7 +335,7 @@ d AS (SELECT l_returnflag, count(*) AS n_times, sum(gap * gap) / sum(r * r) AS d
 SELECT l_returnflag, n_times, round(dw, 8) AS dw, round(1 - dw / 2, 8) AS r1,
        round((dw - 2) / sqrt(4.0::DOUBLE * (n_times - 2) / ((n_times - 1) * (n_times + 1.0::DOUBLE))), 8) AS z FROM d"""
 
-    sql["residual_boxes"] = f"""
+    sql["residual_summary"] = f"""
 WITH {RESIDUALS},
 q AS (SELECT l_returnflag, ship_year, quantile_cont(r, 0.25) AS q1, quantile_cont(r, 0.5) AS median,
              quantile_cont(r, 0.75) AS q3 FROM res GROUP BY ALL),

@@ -55,9 +55,12 @@ FLAGS, STATUSES = ["A", "N", "R"], ["F", "O"]
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
-def query(build: Query) -> Query:
-    QUERIES[build.__name__] = build
-    return build
+def query(name: str) -> Callable[[Query], Query]:
+    def register(build: Query) -> Query:
+        QUERIES[name] = build
+        return build
+
+    return register
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -89,14 +92,14 @@ def rounded(df: DataFrame, digits: int, *columns: str, scale: float = 1.0) -> Da
 # --- scans, sinks, checks ------------------------------------------------------------------
 
 
-@query
+@query("scan")
 def scan(spark, sf):
     return lines(spark, sf).select(
         *LINE_KEYS, "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "ship_date"
     )
 
 
-@query
+@query("sink_roundtrip")
 def sink_roundtrip(spark, sf):
     path = scratch_path(spark, "lines")
     columns = [*LINE_KEYS, "l_partkey", "l_quantity", "l_returnflag", "l_linestatus", "ship_date"]
@@ -105,7 +108,7 @@ def sink_roundtrip(spark, sf):
     return spark.read.schema(df.schema).parquet(path).select(*columns)
 
 
-@query
+@query("quality_codes")
 def quality_codes(spark, sf):
     df = lines(spark, sf).withColumn("l_tax", F.nullif(F.col("l_tax"), F.lit(0.08)))
     return violations(
@@ -121,7 +124,7 @@ def quality_codes(spark, sf):
 # --- reshape and union -----------------------------------------------------------------------
 
 
-@query
+@query("unpivot_fill")
 def unpivot_fill(spark, sf):
     df = lines(spark, sf).withColumns(
         {"l_discount": F.nullif(F.col("l_discount"), F.lit(0.05)), "l_tax": F.nullif(F.col("l_tax"), F.lit(0.02))}
@@ -129,7 +132,7 @@ def unpivot_fill(spark, sf):
     return R.to_long(df, LINE_KEYS, ["l_discount", "l_tax"], "measure", "amount", fill=0.0)
 
 
-@query
+@query("unpivot_prefix_date")
 def unpivot_prefix_date(spark, sf):
     orders = table(spark, sf, "orders").withColumn("month", F.date_format(F.trunc("o_orderdate", "month"), "yyyy-MM-dd"))
     ends = orders.agg(F.min("month"), F.max("month")).first()
@@ -141,13 +144,13 @@ def unpivot_prefix_date(spark, sf):
     return R.to_long_by_prefix(wide, ["o_orderpriority", "o_orderstatus"], ("19", "20"), "month", "cents")
 
 
-@query
+@query("two_family_union")
 def two_family_union(spark, sf):
     families = {"count": ["l_quantity", "l_linenumber"], "rate": ["l_discount", "l_tax"]}
     return R.families_to_long(table(spark, sf, "lineitem"), [*LINE_KEYS, "l_returnflag"], families, "measure")
 
 
-@query
+@query("pivot_wide")
 def pivot_wide(spark, sf):
     wide = R.to_wide(readings(spark, sf), ["user_id"], "event_type", EVENT_TYPES, "cents", "mean")
     return rounded(wide, 8, *EVENT_TYPES, scale=100.0)
@@ -156,26 +159,26 @@ def pivot_wide(spark, sf):
 # --- labels, keys, levels --------------------------------------------------------------------
 
 
-@query
+@query("relabel_ordered")
 def relabel_ordered(spark, sf):
     # each rule sees what the rules before it made: URGENT ends as "Top"
     rules = {"URGENT": "HIGH", "HIGH": "Top", "[0-9]-": "", "NOT SPECIFIED": "None"}
     return table(spark, sf, "orders").select("o_orderkey", relabel(F.col("o_orderpriority"), rules).alias("label"))
 
 
-@query
+@query("relabel_map")
 def relabel_map(spark, sf):
     codes = {"ECONOMY": "Control", "SMALL": "Inclusion", "LARGE": "Exclusion"}
     return table(spark, sf, "part").select("p_partkey", recode(F.col("p_type"), codes).alias("label"))
 
 
-@query
+@query("composite_key")
 def composite_keys(spark, sf):
     part = table(spark, sf, "part").withColumn("size", F.nullif(F.col("p_size"), F.lit(1)))
     return part.select("p_partkey", composite_key("size", "p_brand").alias("key"), label_of("p_type", "size").alias("label"))
 
 
-@query
+@query("ordered_levels")
 def ordered_levels(spark, sf):
     levels = ["R", "A"]  # N is outside and becomes missing
     df = lines(spark, sf).withColumn("flag", within_levels(F.col("l_returnflag"), levels))
@@ -183,7 +186,7 @@ def ordered_levels(spark, sf):
     return cells.withColumn("place", level_index(F.col("flag"), levels)).orderBy("place", "ship_year")
 
 
-@query
+@query("distinct_levels")
 def distinct_levels(spark, sf):
     return J.distinct_values(table(spark, sf, "part"), "p_type", "p_brand").orderBy("p_type", "p_brand")
 
@@ -191,7 +194,7 @@ def distinct_levels(spark, sf):
 # --- filters ---------------------------------------------------------------------------------
 
 
-@query
+@query("exclude_keep_null")
 def exclude_keep_null(spark, sf):
     orders = table(spark, sf, "orders").select(
         "o_orderkey", F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("notes")
@@ -199,20 +202,20 @@ def exclude_keep_null(spark, sf):
     return J.drop_containing(orders, "notes", "URGENT")
 
 
-@query
+@query("conditional_exclude")
 def conditional_exclude(spark, sf):
     df = lines(spark, sf).select(*LINE_KEYS, "l_returnflag", "l_linestatus", "l_quantity")
     return J.drop_when(df, (F.col("l_returnflag") == "R") & (F.col("l_linestatus") != "O"))
 
 
-@query
+@query("date_set_subset")
 def date_set_subset(spark, sf):
     month = F.month("ship_date")
     keep = ((F.col("l_linestatus") == "F") & month.isin(3, 9)) | ((F.col("l_linestatus") == "O") & month.isin(4, 10))
     return lines(spark, sf).where(keep).select(*LINE_KEYS, "l_linestatus", "ship_date", "l_quantity")
 
 
-@query
+@query("drop_any_null")
 def drop_any_null(spark, sf):
     df = lines(spark, sf).select(
         *LINE_KEYS,
@@ -222,7 +225,7 @@ def drop_any_null(spark, sf):
     return J.drop_incomplete(df)
 
 
-@query
+@query("distinct_rows")
 def distinct_rows(spark, sf):
     df = lines(spark, sf).select(
         "l_returnflag", "l_linestatus", F.nullif(F.col("l_linenumber"), F.lit(7)).alias("line"), "l_suppkey", "ship_year"
@@ -233,13 +236,13 @@ def distinct_rows(spark, sf):
 # --- elapsed time ----------------------------------------------------------------------------
 
 
-@query
+@query("weeks_since_start")
 def weeks_since_start(spark, sf):
     df = since_start(lines(spark, sf), "ship_date", ["l_returnflag"])
     return df.select(*LINE_KEYS, "l_returnflag", "days", "timediff")
 
 
-@query
+@query("days_to_anchor")
 def anchor_days(spark, sf):
     anchors = {"A": "1998-06-21", "N": "1997-12-21", "R": "1999-03-20"}
     return lines(spark, sf).select(
@@ -247,7 +250,7 @@ def anchor_days(spark, sf):
     )
 
 
-@query
+@query("parse_us_date")
 def parse_us_date(spark, sf):
     text = F.date_format("o_orderdate", "M/d/yyyy")
     return table(spark, sf, "orders").select("o_orderkey", us_date(text).alias("order_date"))
@@ -256,7 +259,7 @@ def parse_us_date(spark, sf):
 # --- summaries -------------------------------------------------------------------------------
 
 
-@query
+@query("monthly_mean_range")
 def monthly_mean_range(spark, sf):
     orders = table(spark, sf, "orders").select(
         F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month"), "o_orderstatus", cents("o_totalprice").alias("price")
@@ -265,13 +268,13 @@ def monthly_mean_range(spark, sf):
     return rounded(out, 6, "price", scale=100.0)
 
 
-@query
+@query("cell_mean_se")
 def cell_mean_se(spark, sf):
     cells = cell_summary(lines(spark, sf), ["l_returnflag", "l_linestatus", "ship_year"], "l_quantity")
     return rounded(cells.withColumn("label", label_of("l_returnflag", "l_linestatus")), 8, "av", "sd", "se", "lo", "hi")
 
 
-@query
+@query("cell_mean_missing")
 def cell_mean_missing(spark, sf):
     """Mean and error where a missing value makes a cell's result missing, next to those that skip it."""
     df = lines(spark, sf).withColumn("q", F.when(~((F.col("l_quantity") == 50) & (F.col("l_returnflag") == "R")), F.col("l_quantity")))
@@ -281,41 +284,41 @@ def cell_mean_missing(spark, sf):
     return rounded(J.full_join(strict, loose, by), 8, "av", "se", "rm_av", "rm_se")
 
 
-@query
+@query("daily_max_mean")
 def daily_max_mean(spark, sf):
     out = mean_of_daily_peaks(readings(spark, sf), ["event_type", "user_id"], "day", "cents")
     return rounded(out, 8, "adm", scale=100.0)
 
 
-@query
+@query("daily_series_band")
 def daily_series_band(spark, sf):
     out = daily_peak_band(readings(spark, sf), ["event_type"], "day", "user_id", "cents")
     return rounded(out, 8, "av", "sd", "se", "lo", "hi", scale=100.0)
 
 
-@query
+@query("p99_by_group")
 def p99_by_group(spark, sf):
     out = exact_percentiles(readings(spark, sf), ["event_type", "user_id"], "cents", [0.99])
     return rounded(out, 8, "p99", scale=100.0)
 
 
-@query
+@query("box_summary")
 def box(spark, sf):
     out = box_summary(readings(spark, sf), ["event_type"], "cents")
     return rounded(out, 8, "q1", "median", "q3", "whisker_low", "whisker_high", scale=100.0)
 
 
-@query
+@query("box_outliers")
 def box_outlier_rows(spark, sf):
     return box_outliers(readings(spark, sf), ["event_type"], "cents")
 
 
-@query
+@query("histogram_fixed")
 def histogram_fixed(spark, sf):
     return histogram(readings(spark, sf), ["event_type"], "value", width=10.0)
 
 
-@query
+@query("logit_summary")
 def logit_summary(spark, sf):
     df = with_logit(lines(spark, sf).withColumn("cover", F.col("l_discount") * 1000), "cover", "logit_cover")
     cells = cell_summary(df, ["l_returnflag", "l_linestatus", "ship_year"], "logit_cover")
@@ -325,7 +328,7 @@ def logit_summary(spark, sf):
 # --- joins of summaries ----------------------------------------------------------------------
 
 
-@query
+@query("full_join_summaries")
 def full_join_summaries(spark, sf):
     keys, df = ["event_type", "user_id"], readings(spark, sf)
     both = J.full_join(
@@ -334,7 +337,7 @@ def full_join_summaries(spark, sf):
     return rounded(both, 8, "p99", "adm", scale=100.0)
 
 
-@query
+@query("full_join_nullsafe")
 def full_join_nullsafe(spark, sf):
     def counted(status: str, hidden: str, name: str) -> DataFrame:
         key = F.nullif(F.col("o_orderpriority"), F.lit(hidden)).alias("priority")
@@ -351,13 +354,13 @@ def _monthly_cells(spark, sf):
     return rounded(cells.select("l_returnflag", "l_linestatus", "ship_month", "n", "av"), 8, "av"), months
 
 
-@query
+@query("analysed_semi")
 def analysed_semi(spark, sf):
     cells, months = _monthly_cells(spark, sf)
     return J.keep_matching(cells, months, ["ship_month"])
 
 
-@query
+@query("nonanalysed_anti")
 def nonanalysed_anti(spark, sf):
     cells, months = _monthly_cells(spark, sf)
     return J.keep_unmatched(cells, months, ["ship_month"])
@@ -366,12 +369,12 @@ def nonanalysed_anti(spark, sf):
 # --- size to weight --------------------------------------------------------------------------
 
 
-@query
+@query("loglog_fit")
 def loglog_fit(spark, sf):
     return rounded(fit_loglog(lines(spark, sf), ["l_returnflag"], "l_quantity", "l_extendedprice"), 8, "slope", "intercept", "r2")
 
 
-@query
+@query("loglog_predict")
 def loglog_predict(spark, sf):
     df = lines(spark, sf)
     curves = fit_loglog(df, ["l_returnflag"], "l_quantity", "l_extendedprice")
@@ -379,7 +382,7 @@ def loglog_predict(spark, sf):
     return rounded(out.select(*LINE_KEYS, "l_returnflag", "l_quantity", "price"), 2, "price")
 
 
-@query
+@query("regression_band")
 def regression_bands(spark, sf):
     logs = lines(spark, sf).select("l_returnflag", F.ln("l_quantity").alias("x"), F.ln("l_extendedprice").alias("y"))
     band = regression_band(logs, ["l_returnflag"], "x", "y", critical=1.96)
@@ -400,7 +403,7 @@ def _counts(spark, sf):
     )
 
 
-@query
+@query("expected_total")
 def expected_totals(spark, sf):
     totals = B.expected_total(_counts(spark, sf), _pool(spark, sf), "p_brand", "l_quantity", "weight")
     out = totals.groupBy("p_brand", "l_returnflag").agg(
@@ -409,7 +412,7 @@ def expected_totals(spark, sf):
     return rounded(out, 6, "expected")
 
 
-@query
+@query("bootstrap_total")
 def bootstrap_totals(spark, sf):
     pool = B.number_pool(_pool(spark, sf), "p_brand", ["p_partkey"])
     keys = [*LINE_KEYS, "l_partkey", "l_suppkey", "ship_date"]
@@ -423,13 +426,13 @@ def bootstrap_totals(spark, sf):
 # --- one-factor models -----------------------------------------------------------------------
 
 
-@query
+@query("oneway_ols")
 def oneway_coefficients(spark, sf):
     out = oneway_ols(readings(spark, sf), "event_type", "cents", "click")
     return rounded(out, 6, "estimate", "se", "t_value", "r2")
 
 
-@query
+@query("anova_oneway")
 def oneway_anova(spark, sf):
     out = anova_oneway(readings(spark, sf), "event_type", "value")
     return rounded(rounded(out, 3, "ss_between", "ss_within", "ms_between", "ms_within"), 8, "f_value", "r2")
@@ -461,39 +464,47 @@ def _saturated(spark, sf, family: Family, response: str) -> DataFrame:
     return rounded(out, 6, "estimate", "se", "statistic")
 
 
-@query
+@query("design_matrix")
 def design_table(spark, sf):
     rows = lines(spark, sf).withColumn("quantity", F.col("l_quantity"))
     design = crossed({"l_returnflag": FLAGS, "l_linestatus": STATUSES}, ["quantity"], 3)
     return design_matrix(rows, design, LINE_KEYS)
 
 
-@query
+@query("coef_table")
 def coefficients(spark, sf):
     return _saturated(spark, sf, Family("gaussian"), "l_quantity")
 
 
-@query
+@query("glm_tweedie_cells")
 def glm_tweedie_cells(spark, sf):
     return _saturated(spark, sf, Family("tweedie", power=1.5), "l_discount")
 
 
-@query
+@query("glm_quasipoisson_cells")
 def glm_quasipoisson_cells(spark, sf):
     return _saturated(spark, sf, Family("negbin1"), "l_quantity")
 
 
-@query
+@query("glm_negbin2_cells")
 def glm_negbin2_cells(spark, sf):
     return _saturated(spark, sf, Family("negbin2"), "l_quantity")
 
 
-@query
+@query("glm_logit_gaussian_cells")
 def glm_logit_gaussian_cells(spark, sf):
     return _saturated(spark, sf, Family("gaussian"), "logit_cover")
 
 
-@query
+@query("glm_gaussian_slopes")
+def glm_gaussian_slopes(spark, sf):
+    """A line in time per flag in one model: contrasts of the separate fits."""
+    design = crossed({"l_returnflag": FLAGS}, ["years"])
+    fit = fit_glm(model_table(_model_rows(spark, sf), design, "l_quantity"), design, Family("gaussian"))
+    return rounded(coef_table(spark, fit).drop("p_value"), 6, "estimate", "se", "statistic")
+
+
+@query("glm_tweedie")
 def glm_tweedie(spark, sf):
     design, rows = _design(3), _model_rows(spark, sf)
     cells = model_table(rows, design, "l_discount")
@@ -501,39 +512,39 @@ def glm_tweedie(spark, sf):
     return coef_table(spark, fit_glm(cells, design, Family("tweedie", power=power)))
 
 
-@query
+@query("glm_quasipoisson")
 def glm_quasipoisson(spark, sf):
     return coef_table(spark, _fit(spark, sf, Family("negbin1"), "l_quantity"))
 
 
-@query
+@query("glm_negbin2")
 def glm_negbin2(spark, sf):
     return coef_table(spark, _fit(spark, sf, Family("negbin2"), "l_quantity"))
 
 
-@query
+@query("glm_logit_gaussian")
 def glm_logit_gaussian(spark, sf):
     return coef_table(spark, _fit(spark, sf, Family("gaussian"), "logit_cover"))
 
 
-@query
+@query("drop_terms")
 def term_dropping(spark, sf):
     return drop_table(spark, drop_terms(_fit(spark, sf, Family("negbin1"), "l_quantity", order=2))[1])
 
 
-@query
+@query("type2_tests")
 def type2_table(spark, sf):
     return type2_tests(spark, _fit(spark, sf, Family("gaussian"), "l_quantity", order=2))
 
 
-@query
+@query("dispersion_cells")
 def dispersion_cells(spark, sf):
     """Pearson dispersion of a count model per level, from design cells."""
     fit = _fit(spark, sf, Family("negbin1"), "l_quantity", time=False)
     return rounded(dispersion_by_level(fit, ["l_linestatus"]), 6, "dispersion")
 
 
-@query
+@query("dispersion_refit")
 def dispersion_refit(spark, sf):
     fit = _fit(spark, sf, Family("negbin1"), "l_quantity")
     return coef_table(spark, refit_by_dispersion(fit, ["l_returnflag"]))
@@ -546,24 +557,24 @@ def _residual_rows(spark, sf):
     return cell_residuals(lines(spark, sf), ["l_returnflag", "l_linestatus"], "l_quantity")
 
 
-@query
+@query("dispersion_by_level")
 def dispersion_levels(spark, sf):
     return rounded(dispersion_of_rows(_residual_rows(spark, sf), "residual", ["l_returnflag", "ship_year"]), 8, "dispersion")
 
 
-@query
+@query("durbin_watson")
 def durbin_watson_series(spark, sf):
     out = durbin_watson(_residual_rows(spark, sf), "residual", "ship_date", ["l_returnflag"])
     return rounded(out, 8, "dw", "r1", "z")
 
 
-@query
+@query("residual_summary")
 def residual_boxes(spark, sf):
     out = residual_summary(_residual_rows(spark, sf), "residual", ["l_returnflag", "ship_year"])
     return rounded(out, 8, "q1", "median", "q3", "whisker_low", "whisker_high", "av", "sd")
 
 
-@query
+@query("sim_residuals")
 def simulated_residual_rows(spark, sf):
     fit = _fit(spark, sf, Family("negbin1"), "l_quantity")
     rows = _model_rows(spark, sf).select(*LINE_KEYS, "l_partkey", "l_returnflag", "l_linestatus", "years", "l_quantity")

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def local_session(cores: int | str = "*", app: str = "tidemark", driver_memory: str = "16g") -> SparkSession:
@@ -33,9 +34,10 @@ def scratch_root(spark: SparkSession) -> str:
     master = spark.conf.get("spark.master", "local")
     if not master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL_FOLDERS[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
