@@ -114,3 +114,14 @@ def test_scratch_folder_follows_the_cluster():
     assert scratch_root(Session) == "hdfs://shared/ck"
     Session.conf.values = {"spark.master": "local[2]"}
     assert scratch_root(Session) == scratch_root(Session) != "hdfs://shared/ck"
+
+
+def test_one_row_with_most_units(spark):
+    pool = number_pool(spark.range(50).select(F.lit("a").alias("s"), "id", (F.col("id") % 5 + 1.0).alias("w")), "s", ["id"])
+    counts = spark.createDataFrame([(1, "a", 250_000), (2, "a", 1), (3, "a", 0)], "id int, s string, n int")
+    got = {r["id"]: r["total"] for r in bootstrap_total(counts, pool, ["id"], "s", "n", "w").collect()}
+    # mean 3 and variance 2 per draw; five standard deviations of the sum
+    assert abs(got[1] - 750_000) < 5 * math.sqrt(2 * 250_000)
+    assert 1 <= got[2] <= 5 and got[3] == 0
+    few = bootstrap_total(counts, pool, ["id"], "s", "n", "w", block=1000).collect()
+    assert {r["id"]: r["total"] for r in few} == got

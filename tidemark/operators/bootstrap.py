@@ -44,25 +44,32 @@ def number_pool(pool: DataFrame, by: str, ids: Sequence[str], digits: int = 3) -
     )
 
 
-def with_copies(df: DataFrame, count: str, copy: str, block: int | None = None) -> DataFrame:
-    """One row per unit counted, numbered from 1; rows with no units give none.
+def spread_blocks(df: DataFrame, count: str, by: Sequence[str], block: int = COPY_BLOCK) -> DataFrame:
+    """Cut counts into blocks, nearly always one per row, and spread those over the cluster.
 
-    With ``block``, a large count is first cut into blocks that are spread over the cluster, so
-    that a single row with a huge count is not expanded by a single task.
+    So no task expands more than its share, even when one row counts most units. Rows without
+    units are left out; ``by`` names columns that tell rows apart.
     """
     some = df.where(F.col(count) > 0).withColumn(count, F.col(count).cast("bigint"))
-    if block is None:
-        return some.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(count))))
-    step = F.lit(block).cast("bigint")
-    blocks = some.withColumn("block_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1, step)))
-    first, last = F.col("block_start") + 1, F.least(F.col("block_start") + step, F.col(count))
-    return blocks.repartition("block_start", *df.columns).withColumn(copy, F.explode(F.sequence(first, last))).drop("block_start")
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1, F.lit(block).cast("bigint"))
+    return some.withColumn("block", F.explode(starts)).repartition(*by, "block")
+
+
+def expand_blocks(blocks: DataFrame, count: str, copy: str, block: int = COPY_BLOCK) -> DataFrame:
+    """One row per unit, numbered from 1 over all blocks of a row."""
+    last = F.least(F.col("block") + F.lit(block).cast("bigint"), F.col(count))
+    return blocks.withColumn(copy, F.explode(F.sequence(F.col("block") + 1, last))).drop("block")
+
+
+def with_copies(df: DataFrame, count: str, copy: str, block: int = COPY_BLOCK) -> DataFrame:
+    """One row per unit counted, numbered from 1; rows with no units give none."""
+    return expand_blocks(spread_blocks(df, count, df.columns, block), count, copy, block)
 
 
 def pool_from_sizes(sizes: DataFrame, by: str, size: str) -> DataFrame:
     """A pool with identified members from bare measurements: repeats get copy numbers."""
     counts = sizes.where(F.col(size).isNotNull()).groupBy(by, size).agg(F.count(F.lit(1)).alias("repeats"))
-    return with_copies(counts, "repeats", "copy", COPY_BLOCK).drop("repeats")
+    return with_copies(counts, "repeats", "copy").drop("repeats")
 
 
 def with_draw_seeds(df: DataFrame, seed: int, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
@@ -102,7 +109,7 @@ def bootstrap_total(
     total: str = "total",
     seed: int = 26,
     carry: Sequence[str] = (),
-    block: int | None = None,
+    block: int = COPY_BLOCK,
 ) -> DataFrame:
     """Per row of ``counts``, the summed weight of ``count`` draws with replacement from its pool.
 
@@ -111,9 +118,9 @@ def bootstrap_total(
     count, or a species without a pool, totals NULL.
 
     Draws depend on the seed and the row key only, hence neither on order nor on partitions.
-    The numbered pool is a written table: it is broadcast when its files are small, and then rows
-    move once, by key, before they are expanded, and are summed where they lie. Otherwise draws
-    and pool meet on the slot, which spreads a dominant species over all its members.
+    The numbered pool is a written table: it is broadcast when its files are small, and then the
+    draws of a row are summed where they are made. Otherwise draws and pool meet on the slot,
+    which spreads a dominant species over all its members.
     """
     pool = settle(pool.select(species, "slot", "pool_start", "pool_n", weight), "pool")
     runs = settle(pool.where(F.col("slot") == F.col("pool_start")).select(species, "pool_start", "pool_n"), "pool_runs")
@@ -121,11 +128,10 @@ def bootstrap_total(
     rows = join_groups(counts.select(*columns).withColumn("units", F.col(count).cast("bigint")), runs, [species])
     drawn = F.col("pool_n").isNotNull() & (F.col("units") > 0)
     names = [f"seed{i}" for i in range(8)]
-    # the sums need the rows by key anyway: moving them before they multiply moves least
-    spread = rows.where(drawn).repartition(*keys)
-    seeded = with_draw_seeds(spread, seed, [*keys, species], names)
+    blocks = spread_blocks(rows.where(drawn), "units", keys, block)
+    seeded = with_draw_seeds(blocks, seed, [*keys, species], names)
     slot = F.col("pool_start") + draw_slot([F.col(n) for n in names], F.col("draw") % PRIME, F.col("pool_n"))
-    draws = with_copies(seeded, "units", "draw", block)
+    draws = expand_blocks(seeded, "units", "draw", block)
     # never NULL here: saying so spares the join a second evaluation of the slot as a filter
     draws = draws.select(*columns, F.coalesce(slot, F.lit(-1)).alias("slot"))
     sums = draws.join(pool.select("slot", weight), "slot").groupBy(*columns).agg(F.sum(weight).alias(total))
