@@ -32,7 +32,7 @@ def test_buckets_never_decrease(spark):
     rng = np.random.default_rng(1)
     values = np.unique(np.concatenate([rng.normal(0, 10.0 ** rng.integers(-300, 300, 4000)), 2.0 ** np.arange(-1070, 1023), -(2.0 ** np.arange(-60, 60)), np.nextafter(2.0 ** np.arange(-60, 60), 0), [math.inf, -math.inf, 0.0]]))
     df = spark.createDataFrame([(float(v),) for v in values], "v double").orderBy("v")
-    buckets = [r[0] for r in with_bucket(df, "v").orderBy("v").select("bucket").collect()]
+    buckets = [r[0] for r in with_bucket(df, "v").orderBy("v").select("tm_bucket").collect()]
     assert buckets == sorted(buckets)
 
 

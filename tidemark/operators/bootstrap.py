@@ -25,22 +25,22 @@ def number_pool(pool: DataFrame, by: str, ids: Sequence[str], digits: int = 3) -
     the chunks before it. No task orders more than one chunk of members, or the chunk sizes of
     one group, or one row per group.
     """
-    keyed = pool.withColumn("member_hash", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids])))
-    keyed = keyed.withColumn("chunk", F.substring("member_hash", 1, digits))
-    chunks = settle(keyed.groupBy(by, "chunk").agg(F.count(F.lit(1)).alias("m")), "chunks")
+    keyed = pool.withColumn("tm_hash", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids])))
+    keyed = keyed.withColumn("tm_chunk", F.substring("tm_hash", 1, digits))
+    chunks = settle(keyed.groupBy(by, "tm_chunk").agg(F.count(F.lit(1)).alias("tm_m")), "chunks")
     before = (Window.unboundedPreceding, -1)
-    groups = chunks.groupBy(by).agg(F.sum("m").alias("pool_n"))
+    groups = chunks.groupBy(by).agg(F.sum("tm_m").alias("pool_n"))
     groups = groups.withColumn(
         "pool_start", F.coalesce(F.sum("pool_n").over(Window.orderBy(by).rowsBetween(*before)), F.lit(0))
     )
-    inner = Window.partitionBy(by).orderBy("chunk").rowsBetween(*before)
-    shifts = chunks.withColumn("shift", F.coalesce(F.sum("m").over(inner), F.lit(0))).drop("m")
+    inner = Window.partitionBy(by).orderBy("tm_chunk").rowsBetween(*before)
+    shifts = chunks.withColumn("tm_shift", F.coalesce(F.sum("tm_m").over(inner), F.lit(0))).drop("tm_m")
     shifts = settle(join_groups(shifts, groups, [by], "inner"), "shifts")
-    place = Window.partitionBy(by, "chunk").orderBy("member_hash", *ids)
+    place = Window.partitionBy(by, "tm_chunk").orderBy("tm_hash", *ids)
     return (
-        join_groups(keyed, shifts, [by, "chunk"], "inner")
-        .withColumn("slot", F.col("pool_start") + F.col("shift") + F.row_number().over(place) - 1)
-        .drop("member_hash", "chunk", "shift")
+        join_groups(keyed, shifts, [by, "tm_chunk"], "inner")
+        .withColumn("slot", F.col("pool_start") + F.col("tm_shift") + F.row_number().over(place) - 1)
+        .drop("tm_hash", "tm_chunk", "tm_shift")
     )
 
 
@@ -52,13 +52,13 @@ def spread_blocks(df: DataFrame, count: str, by: Sequence[str], block: int = COP
     """
     some = df.where(F.col(count) > 0).withColumn(count, F.col(count).cast("bigint"))
     starts = F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1, F.lit(block).cast("bigint"))
-    return some.withColumn("block", F.explode(starts)).repartition(*by, "block")
+    return some.withColumn("tm_block", F.explode(starts)).repartition(*by, "tm_block")
 
 
 def expand_blocks(blocks: DataFrame, count: str, copy: str, block: int = COPY_BLOCK) -> DataFrame:
     """One row per unit, numbered from 1 over all blocks of a row."""
-    last = F.least(F.col("block") + F.lit(block).cast("bigint"), F.col(count))
-    return blocks.withColumn(copy, F.explode(F.sequence(F.col("block") + 1, last))).drop("block")
+    last = F.least(F.col("tm_block") + F.lit(block).cast("bigint"), F.col(count))
+    return blocks.withColumn(copy, F.explode(F.sequence(F.col("tm_block") + 1, last))).drop("tm_block")
 
 
 def with_copies(df: DataFrame, count: str, copy: str, block: int = COPY_BLOCK) -> DataFrame:
@@ -76,9 +76,9 @@ def with_draw_seeds(df: DataFrame, seed: int, keys: Sequence[str], names: Sequen
     """Add eight whole numbers below PRIME per row, from one hash of the seed and the row key."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("NA")) for k in keys])
     parts = {
-        name: F.conv(F.substring("row_hash", 8 * i + 1, 8), 16, 10).cast("bigint") % PRIME for i, name in enumerate(names)
+        name: F.conv(F.substring("tm_row_hash", 8 * i + 1, 8), 16, 10).cast("bigint") % PRIME for i, name in enumerate(names)
     }
-    return df.withColumn("row_hash", F.sha2(text, 256)).withColumns(parts).drop("row_hash")
+    return df.withColumn("tm_row_hash", F.sha2(text, 256)).withColumns(parts).drop("tm_row_hash")
 
 
 def draw_slot(seeds: Sequence[Column], draw: Column, pool_n: Column) -> Column:
@@ -125,18 +125,18 @@ def bootstrap_total(
     pool = settle(pool.select(species, "slot", "pool_start", "pool_n", weight), "pool")
     runs = settle(pool.where(F.col("slot") == F.col("pool_start")).select(species, "pool_start", "pool_n"), "pool_runs")
     columns = [*keys, *carry, species, count]
-    rows = join_groups(counts.select(*columns).withColumn("units", F.col(count).cast("bigint")), runs, [species])
-    drawn = F.col("pool_n").isNotNull() & (F.col("units") > 0)
-    names = [f"seed{i}" for i in range(8)]
-    blocks = spread_blocks(rows.where(drawn), "units", keys, block)
+    rows = join_groups(counts.select(*columns).withColumn("tm_units", F.col(count).cast("bigint")), runs, [species])
+    drawn = F.col("pool_n").isNotNull() & (F.col("tm_units") > 0)
+    names = [f"tm_seed{i}" for i in range(8)]
+    blocks = spread_blocks(rows.where(drawn), "tm_units", keys, block)
     seeded = with_draw_seeds(blocks, seed, [*keys, species], names)
-    slot = F.col("pool_start") + draw_slot([F.col(n) for n in names], F.col("draw") % PRIME, F.col("pool_n"))
-    draws = expand_blocks(seeded, "units", "draw", block)
+    slot = F.col("pool_start") + draw_slot([F.col(n) for n in names], F.col("tm_draw") % PRIME, F.col("pool_n"))
+    draws = expand_blocks(seeded, "tm_units", "tm_draw", block)
     # never NULL here: saying so spares the join a second evaluation of the slot as a filter
     draws = draws.select(*columns, F.coalesce(slot, F.lit(-1)).alias("slot"))
     sums = draws.join(pool.select("slot", weight), "slot").groupBy(*columns).agg(F.sum(weight).alias(total))
     others = rows.where(~F.coalesce(drawn, F.lit(False))).select(
-        *columns, F.when(F.col("units") == 0, F.lit(0.0)).alias(total)
+        *columns, F.when(F.col("tm_units") == 0, F.lit(0.0)).alias(total)
     )
     return stack_rows(sums, others)
 
@@ -145,9 +145,9 @@ def expected_total(
     counts: DataFrame, pool: DataFrame, by: str, count: str, weight: str, total: str = "expected"
 ) -> DataFrame:
     """The mean of :func:`bootstrap_total` over all draws: count times the mean pool weight."""
-    means = settle(pool.groupBy(by).agg(F.avg(weight).alias("mean_weight")), "pool_means")
+    means = settle(pool.groupBy(by).agg(F.avg(weight).alias("tm_mean")), "pool_means")
     return (
         join_groups(counts, means, [by])
-        .withColumn(total, F.when(F.col(count) == 0, F.lit(0.0)).otherwise(F.col(count) * F.col("mean_weight")))
-        .drop("mean_weight")
+        .withColumn(total, F.when(F.col(count) == 0, F.lit(0.0)).otherwise(F.col(count) * F.col("tm_mean")))
+        .drop("tm_mean")
     )

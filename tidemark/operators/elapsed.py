@@ -16,10 +16,10 @@ def since_start(df: DataFrame, date: str, by: list[str]) -> DataFrame:
     The first dates come from one partially aggregated pass; rows never move by group, so a
     group that holds most of the data stays spread over its input partitions.
     """
-    starts = settle(df.groupBy(*by).agg(F.min(date).alias("start_date")), "starts")
+    starts = settle(df.groupBy(*by).agg(F.min(date).alias("tm_start")), "starts")
     return (
         join_groups(df, starts, by)
-        .withColumn("days", F.datediff(F.col(date), F.col("start_date")))
+        .withColumn("days", F.datediff(F.col(date), F.col("tm_start")))
         .withColumn("timediff", weeks(F.col("days")))
-        .drop("start_date")
+        .drop("tm_start")
     )

@@ -19,23 +19,23 @@ BUCKET_BITS = 14
 
 
 def with_bucket(df: DataFrame, value: str, bits: int = BUCKET_BITS) -> DataFrame:
-    """Add ``bucket``, a whole number that never decreases as the value grows: sign, power of
+    """Add ``tm_bucket``, a whole number that never decreases as the value grows: sign, power of
     two, leading bits.
 
     A bucket spans 1/2**bits of its power of two, so there are at most a few thousand times
     2**bits buckets whatever the data.
     """
-    x, size, power = F.col(value), F.abs(F.col(value)), F.col("power")
+    x, size, power = F.col(value), F.abs(F.col(value)), F.col("tm_power")
     endless = size == float("inf")
     share = F.floor((size / F.pow(F.lit(2.0), power) - 1.0) * float(2**bits))
     step = F.when(endless, F.lit(0)).otherwise(F.least(F.greatest(share, F.lit(0)), F.lit(2**bits - 1)))
     rank = (power + 1075.0).cast("bigint") * F.lit(2**bits) + step + 1
     # power and rank are columns of their own, so that each is worked out once per row
     return (
-        df.withColumn("power", F.when(endless, 1024.0).otherwise(F.floor(F.log2(size)).cast("double")))
-        .withColumn("bucket", F.when(size == 0, F.lit(0)).otherwise(rank).cast("bigint"))
-        .withColumn("bucket", F.when(x < 0, -F.col("bucket")).otherwise(F.col("bucket")))
-        .drop("power")
+        df.withColumn("tm_power", F.when(endless, 1024.0).otherwise(F.floor(F.log2(size)).cast("double")))
+        .withColumn("tm_bucket", F.when(size == 0, F.lit(0)).otherwise(rank).cast("bigint"))
+        .withColumn("tm_bucket", F.when(x < 0, -F.col("tm_bucket")).otherwise(F.col("tm_bucket")))
+        .drop("tm_power")
     )
 
 
@@ -52,38 +52,38 @@ def exact_percentiles(
     then (group, bucket, value) counts of the hit buckets. The largest unit one task sorts is
     the distinct values of one bucket of one group.
     """
-    rows = df.select(*by, F.col(value).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    rows = with_bucket(rows, "v", bits)
+    rows = df.select(*by, F.col(value).cast("double").alias("tm_v")).where(F.col("tm_v").isNotNull() & ~F.isnan("tm_v"))
+    rows = with_bucket(rows, "tm_v", bits)
     group = Window.partitionBy(*by)
     counts = (
-        rows.groupBy(*by, "bucket")
-        .agg(F.count(F.lit(1)).alias("m"))
-        .withColumn("upto", F.sum("m").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("total", F.sum("m").over(group))
-        .withColumn("below", F.col("upto") - F.col("m"))
+        rows.groupBy(*by, "tm_bucket")
+        .agg(F.count(F.lit(1)).alias("tm_m"))
+        .withColumn("tm_upto", F.sum("tm_m").over(group.orderBy("tm_bucket").rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("tm_total", F.sum("tm_m").over(group))
+        .withColumn("tm_below", F.col("tm_upto") - F.col("tm_m"))
     )
-    ranks = {p: _ranks(F.col("total"), p) for p in probs}
+    ranks = {p: _ranks(F.col("tm_total"), p) for p in probs}
     wanted = F.lit(False)
     for low, high, _ in ranks.values():
-        wanted = wanted | _covers("below", "upto", low) | _covers("below", "upto", high)
-    hits = settle(counts.where(wanted).select(*by, "bucket", "below", "total"), "buckets")
+        wanted = wanted | _covers("tm_below", "tm_upto", low) | _covers("tm_below", "tm_upto", high)
+    hits = settle(counts.where(wanted).select(*by, "tm_bucket", "tm_below", "tm_total"), "buckets")
 
-    inside = Window.partitionBy(*by, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by, "tm_bucket").orderBy("tm_v").rowsBetween(Window.unboundedPreceding, 0)
     values = (
-        join_groups(rows, hits, [*by, "bucket"], "inner")
-        .groupBy(*by, "bucket", "below", "total", "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .withColumn("last", F.col("below") + F.sum("c").over(inside))
-        .withColumn("first", F.col("last") - F.col("c"))
+        join_groups(rows, hits, [*by, "tm_bucket"], "inner")
+        .groupBy(*by, "tm_bucket", "tm_below", "tm_total", "tm_v")
+        .agg(F.count(F.lit(1)).alias("tm_c"))
+        .withColumn("tm_last", F.col("tm_below") + F.sum("tm_c").over(inside))
+        .withColumn("tm_first", F.col("tm_last") - F.col("tm_c"))
     )
-    picks, out = [F.max("total").alias("total")], []
+    picks, out = [F.max("tm_total").alias("tm_total")], []
     for i, p in enumerate(probs):
         low, high, _ = ranks[p]
-        picks.append(F.max(F.when(_covers("first", "last", low), F.col("v"))).alias(f"low{i}"))
-        picks.append(F.max(F.when(_covers("first", "last", high), F.col("v"))).alias(f"high{i}"))
-        share = _ranks(F.col("total"), p)[2]
+        picks.append(F.max(F.when(_covers("tm_first", "tm_last", low), F.col("tm_v"))).alias(f"tm_low{i}"))
+        picks.append(F.max(F.when(_covers("tm_first", "tm_last", high), F.col("tm_v"))).alias(f"tm_high{i}"))
+        share = _ranks(F.col("tm_total"), p)[2]
         out.append(
-            (F.col(f"low{i}") + share * (F.col(f"high{i}") - F.col(f"low{i}"))).alias(percentile_name(p))
+            (F.col(f"tm_low{i}") + share * (F.col(f"tm_high{i}") - F.col(f"tm_low{i}"))).alias(percentile_name(p))
         )
     return values.groupBy(*by).agg(*picks).select(*by, *out)
 
@@ -102,7 +102,7 @@ def box_summary(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5
     """Quartiles, whiskers to the last value within ``reach`` box lengths, and outlier count."""
     fenced = box_fences(df, by, value, reach)
     v = F.col(value)
-    within = v.between(F.col("fence_low"), F.col("fence_high"))
+    within = v.between(F.col("tm_low"), F.col("tm_high"))
     box = [F.max(c).alias(c) for c in ("q1", "median", "q3")]
     return (
         join_groups(df.where(v.isNotNull()).select(*by, value), fenced, by, "inner")
@@ -124,7 +124,7 @@ def box_fences(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5)
     length = F.col("q3") - F.col("q1")
     return settle(
         box.withColumns(
-            {"fence_low": F.col("q1") - reach * length, "fence_high": F.col("q3") + reach * length}
+            {"tm_low": F.col("q1") - reach * length, "tm_high": F.col("q3") + reach * length}
         ),
         "fences",
     )
@@ -132,6 +132,6 @@ def box_fences(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5)
 
 def box_outliers(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
     """The rows that lie outside of their group's fences."""
-    fenced = box_fences(df, by, value, reach).select(*by, "fence_low", "fence_high")
-    outside = ~F.col(value).between(F.col("fence_low"), F.col("fence_high"))
-    return join_groups(df, fenced, by, "inner").where(outside).drop("fence_low", "fence_high")
+    fenced = box_fences(df, by, value, reach).select(*by, "tm_low", "tm_high")
+    outside = ~F.col(value).between(F.col("tm_low"), F.col("tm_high"))
+    return join_groups(df, fenced, by, "inner").where(outside).drop("tm_low", "tm_high")

@@ -21,8 +21,8 @@ CHUNK = 2048
 
 def cell_residuals(df: DataFrame, by: Sequence[str], value: str, name: str = "residual") -> DataFrame:
     """Add the difference from the mean of the row's cell, i.e. residuals of the saturated model."""
-    means = settle(df.groupBy(*by).agg(F.avg(value).alias("cell_mean")), "cell_means")
-    return join_groups(df, means, by).withColumn(name, F.col(value) - F.col("cell_mean")).drop("cell_mean")
+    means = settle(df.groupBy(*by).agg(F.avg(value).alias("tm_mean")), "cell_means")
+    return join_groups(df, means, by).withColumn(name, F.col(value) - F.col("tm_mean")).drop("tm_mean")
 
 
 def pearson_rows(df: DataFrame, fit: Fit, response: str) -> DataFrame:
@@ -82,8 +82,8 @@ def _tweedie_ranks(
 
 
 def _scaled(pdf: pd.DataFrame, family: str, phi: float, power: float, theta: float, draws: int) -> np.ndarray:
-    seeds = pdf["row_seed"].to_numpy(dtype=np.int64)
-    y, mu = pdf["y"].to_numpy(dtype=float), pdf["mu"].to_numpy(dtype=float)
+    seeds = pdf["tm_seed"].to_numpy(dtype=np.int64)
+    y, mu = pdf["tm_y"].to_numpy(dtype=float), pdf["mu"].to_numpy(dtype=float)
     words = _random_words(np.ascontiguousarray(seeds), draws + 2)
     words, tie = words[:, :draws], words[:, draws] / 4294967296.0
     if family == "tweedie":
@@ -114,8 +114,8 @@ def simulated_residuals(
     lie, in small Arrow batches; nothing is shuffled.
     """
     rows = pearson_rows(df, fit, response)
-    rows = rows.withColumn("row_seed", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])).withColumn(
-        "y", F.col(response).cast("double")
+    rows = rows.withColumn("tm_seed", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])).withColumn(
+        "tm_y", F.col(response).cast("double")
     )
     schema = df.schema.add("mu", "double").add("residual", "double").add("scaled", "double")
     family, phi = fit.family.name, fit.dispersion
