@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
@@ -29,7 +30,16 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(table(spark, folder, "documents"), keep=["doc_id"])
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without word runs of smaller documents."""
+    from tidemark.llm.substring_dedup import remove_repeats
+
+    done = remove_repeats(table(spark, folder, "documents"), width=13)
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op6_substring_dedup": op6_substring_dedup,
 }

@@ -1,3 +1,17 @@
 """SQL counterparts of the queries that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM d WHERE len(w) >= 13),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM starts),
+least AS (SELECT win, min(doc_id) AS first_doc FROM wins GROUP BY win),
+gone AS (SELECT doc_id, list(i) AS begins FROM wins JOIN least USING (win) WHERE first_doc < doc_id GROUP BY doc_id),
+covered AS (SELECT doc_id, list_distinct(flatten(list_transform(begins, lambda i: range(i, i + 13)))) AS pos FROM gone),
+kept AS (
+  SELECT d.doc_id, len(w) AS n_words, coalesce(len(pos), 0) AS n_removed,
+    CASE WHEN pos IS NULL THEN w ELSE list_transform(list_sort(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(pos, i))), lambda i: w[i]) END AS left_words
+  FROM d LEFT JOIN covered USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(left_words, ' ')) AS kept_sha256 FROM kept
+"""
+
+ORACLES: dict[str, str] = {"op6_substring_dedup": OP6}
