@@ -38,8 +38,35 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """Shard and place of every document under a map of virtual slots balanced by bytes."""
+    from tidemark.llm.sharding import shard_documents
+
+    placed = shard_documents(table(spark, folder, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the lines that many sites share."""
+    from tidemark.llm.line_dedup import remove_boilerplate
+
+    done = remove_boilerplate(table(spark, folder, "documents"), count_cols=("n_lines", "n_removed"))
+    return done.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Copies of documents so that every source gets the same share, in shuffled order."""
+    from tidemark.llm.mixing import mix_sources
+
+    mixed = mix_sources(table(spark, folder, "documents"), seed=8, result_cols=("copy", "order_key"))
+    return mixed.select("doc_id", "source", "copy", "order_key")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_mixing": op8_mixing,
 }

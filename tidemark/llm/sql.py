@@ -14,4 +14,36 @@ kept AS (
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(left_words, ' ')) AS kept_sha256 FROM kept
 """
 
-ORACLES: dict[str, str] = {"op6_substring_dedup": OP6}
+OP7 = r"""
+WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+each AS (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM d),
+lines AS (SELECT doc_id, source, i, l[i] AS line, coalesce(l[i - 1], chr(1)) AS a, coalesce(l[i + 1], chr(1)) AS b, i > 1 AS has_a,
+  regexp_matches(l[i], '[^\x20\x09-\x0D]') AS word FROM each),
+common AS (SELECT line, min(doc_id) AS first_doc FROM lines WHERE word GROUP BY line
+  HAVING count(DISTINCT source) >= 10 AND count(DISTINCT (a, b, has_a)) >= 0.5 * count(*)),
+marked AS (SELECT lines.*, first_doc IS NOT NULL AND first_doc <> doc_id AS gone FROM lines LEFT JOIN common ON word AND lines.line = common.line)
+SELECT doc_id, count(*) FILTER (word) AS n_lines, count(*) FILTER (gone) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+#: Counts by inversion: one comparison per table entry; a rate above 16 is a sum of equal draws.
+OP8 = r"""
+WITH size AS (SELECT source, sum(strlen(coalesce(text, '')))::DOUBLE AS bytes FROM documents GROUP BY source),
+rates AS (SELECT source, CASE WHEN bytes = 0 THEN 1.0 ELSE 1.0 / (SELECT count(*) FROM size) * (SELECT sum(bytes) FROM size) / bytes END AS rate FROM size),
+drawn AS (SELECT source, rate, ceil(rate / 16)::INT AS draws FROM rates),
+mass AS (SELECT source, k, exp(k * ln(rate / draws) - rate / draws - lgamma(k + 1)) AS p FROM drawn, range(0, 97) t(k) WHERE rate > 0),
+cdf AS (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS c FROM mass),
+tables AS (SELECT source, list(c ORDER BY k) AS table_c FROM cdf GROUP BY source),
+each AS (SELECT doc_id, d.source, unnest(range(1, draws + 1)) AS j, table_c FROM documents d JOIN drawn USING (source) JOIN tables USING (source)),
+numbers AS (SELECT doc_id, source, table_c, (('0x' || substr(sha256('copies:8:' || doc_id || ':' || j), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM each),
+counts AS (SELECT doc_id, source, sum(len(list_filter(table_c, lambda p: p < u))) AS copies FROM numbers GROUP BY doc_id, source)
+SELECT doc_id, source, c::INT AS copy, sha256('order:8:' || doc_id || ':' || c) AS order_key
+FROM (SELECT doc_id, source, unnest(range(1, copies::BIGINT + 1)) AS c FROM counts)
+"""
+
+ORACLES: dict[str, str] = {
+    "op6_substring_dedup": OP6,
+    "op7_line_dedup": OP7,
+    "op8_mixing": OP8,
+}
