@@ -38,6 +38,13 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_near_dup(spark: SparkSession, folder: str) -> DataFrame:
+    """Group of near copies of every document, at a similarity of 0.85."""
+    from tidemark.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), pct=85)
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and place of every document under a map of virtual slots balanced by bytes."""
     from tidemark.llm.sharding import shard_documents
@@ -65,6 +72,7 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op3_near_dup": op3_near_dup,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
