@@ -69,6 +69,13 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "order_key")
 
 
+def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and group of every vector among those of its label, at a cosine of 0.93."""
+    from tidemark.llm.embedding_dedup import near_vectors
+
+    return near_vectors(table(spark, folder, "embeddings"), cosine=0.93)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -77,4 +84,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }

@@ -55,9 +55,22 @@ SELECT doc_id, source, c::INT AS copy, sha256('order:8:' || doc_id || ':' || c)
 FROM (SELECT doc_id, source, unnest(range(1, copies::BIGINT + 1)) AS c FROM counts)
 """
 
+OP10 = r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+  AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM good a JOIN good b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+least AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY x),
+counts AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN counts USING (vec_id)
+"""
+
 ORACLES: dict[str, str] = {
     "op3_near_dup": OP3,
     "op6_substring_dedup": OP6,
     "op7_line_dedup": OP7,
     "op8_mixing": OP8,
+    "op10_embedding_dedup": OP10,
 }
