@@ -45,6 +45,18 @@ def op3_near_dup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"), pct=85)
 
 
+#: The rules that the URL query applies (host, path, verdict).
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    from tidemark.llm.url_filter import filter_urls
+
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return filter_urls(table(spark, folder, "pages"), rules)
+
+
 def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and place of every document under a map of virtual slots balanced by bytes."""
     from tidemark.llm.sharding import shard_documents
@@ -69,6 +81,17 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "order_key")
 
 
+def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality score of every document, learnt from the labels that are not held out."""
+    from tidemark.llm.quality_model import score, train
+
+    docs = table(spark, folder, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = train(docs, table(spark, folder, "labels").where(~held_out))
+    scored = score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Links and group of every vector among those of its label, at a cosine of 0.93."""
     from tidemark.llm.embedding_dedup import near_vectors
@@ -80,9 +103,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_near_dup": op3_near_dup,
+    "op4_url_filter": op4_url_filter,
     "op5_sharding": op5_sharding,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_mixing": op8_mixing,
+    "op9_quality_model": op9_quality_model,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
