@@ -318,11 +318,11 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", text_col: str = "text
     return df.select(F.col(f"`{ids_col}`").alias(ids), *[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
-def digest(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
-    """Per row: number of ids, and SHA-256 of the ids (decimal, joined by commas) and of the decoded text."""
+def digest(encoded: DataFrame, keep: list[str], ids_col: str = "ids", decoded_col: str = "decoded") -> DataFrame:
+    """Columns ``keep``, the number of ids, and SHA-256 of the ids (decimal, joined by commas) and of the decoded text."""
     joined = F.array_join(F.col(ids_col).cast("array<string>"), ",")
     return encoded.select(
-        F.col(id_col),
+        *keep,
         F.size(ids_col).cast("long").alias("n_tokens"),
         F.sha2(joined, 256).alias("ids_sha256"),
         F.sha2(F.col(decoded_col), 256).alias("decoded_sha256"),

@@ -20,7 +20,7 @@ def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     from tidemark.llm.bpe import digest, encode
 
     docs = table(spark, folder, "documents")
-    return digest(encode(docs, VOCABULARY, decoded_col="decoded", keep=["doc_id"]))
+    return digest(encode(docs, VOCABULARY, decoded_col="decoded", keep=["doc_id"]), keep=["doc_id"])
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
