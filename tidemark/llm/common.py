@@ -75,6 +75,12 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def shadowed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under names of our own, all renamed at once, and the name that each column got."""
+    names = {c: f"__in{k}" for k, c in enumerate(df.columns)}
+    return df.select(*[df[f"`{c}`"].alias(n) for c, n in names.items()]), names
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word."""
     return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)

@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import shadowed
 from tidemark.session import settle
 
 STEP = 16.0
@@ -80,11 +81,11 @@ def mix_sources(
     without any text bytes has rate 1. The draw of a document follows from its id (null: from
     its text), so repeated rows are repeated alike. No documents, no rows.
     """
-    names = {c: f"__{k}" for k, c in enumerate(docs.columns)}
+    renamed, names = shadowed(docs)
     text = F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))
     who = F.coalesce(F.col(names[id_col]).cast("string"), F.sha2(text, 256))
     rates = settle(source_rates(docs, weights, source_col, text_col, amount), "rates")
-    joined = docs.withColumnsRenamed(names).join(rates, F.col(names[source_col]).eqNullSafe(F.col("source")))
+    joined = renamed.join(rates, F.col(names[source_col]).eqNullSafe(F.col("source")))
     seeded = F.lit(f"copies:{seed}")
     draw = lambda j: F.size(F.filter("table", lambda p: p < uniform(seeded, who, j.cast("string"))))
     copies = F.when(F.col("draws") > 0, F.aggregate(F.sequence(F.lit(1), F.greatest("draws", F.lit(1))), F.lit(0), lambda n, j: n + draw(j))).otherwise(0)

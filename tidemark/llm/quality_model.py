@@ -129,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     one = usable.groupBy(F.col(id_col).alias("own")).agg(F.min(label_col).cast("double").alias("label")).withColumn("turn", F.xxhash64("own"))
     sample = one.orderBy("turn", "own").limit(max_rows).withColumn("part", F.pmod(F.shiftright("turn", 8), F.lit(PARTS)).cast("int"))
-    joined = docs.join(F.broadcast(sample), docs[id_col] == sample["own"])  # at most max_rows short rows
-    rows = settle(_rows(joined.select("part", "turn", "label", docs[text_col].cast("string").alias("text"))), "features")
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    joined = texts.join(F.broadcast(sample), F.col("doc") == F.col("own"))  # at most max_rows short rows
+    rows = settle(_rows(joined.select("part", "turn", "label", "text")), "features")
     size = (1 << BITS) + 1
     z, n = np.zeros(size), np.zeros(size)
     for _ in range(ROUNDS):

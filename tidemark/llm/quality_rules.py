@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import hash_words, map_texts, windows
+from tidemark.llm.common import hash_words, map_texts, shadowed, windows
 
 SYMBOLS = b"#*$%&|<>"
 SYMBOL_RUN = re.compile(rb"[#*$%&|<>]{2,}")
@@ -136,6 +136,6 @@ def quality_rules(docs: DataFrame, text_col: str = "text", clean_col: str | None
 
 def clean_documents(docs: DataFrame, text_col: str = "text", rules: Rules = Rules()) -> DataFrame:
     """Documents that pass, with their cleaned text; the columns of the input, in their order."""
-    names = {c: f"__{k}" for k, c in enumerate(docs.columns)}
-    judged = quality_rules(docs.withColumnsRenamed(names), names[text_col], "clean", rules)
+    renamed, names = shadowed(docs)
+    judged = quality_rules(renamed, names[text_col], "clean", rules)
     return judged.where("kept").select(*[F.col("clean" if c == text_col else own).alias(c) for c, own in names.items()])
