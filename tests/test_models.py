@@ -253,3 +253,123 @@ def test_nine_models(spark, raw, responses, abundance):
     assert checks["by_barnacles"].agg(F.sum("n")).first()[0] == 132
     last, record = simplified(fit)
     assert record.count() >= 1 and len(last.design.terms) >= 1
+
+
+FAMILIES = [Family("gaussian"), Family("poisson"), Family("negbin1"), Family("negbin2"), Family("tweedie", power=1.5)]
+
+
+@pytest.mark.parametrize("family", FAMILIES, ids=lambda f: f.name)
+def test_errors_of_saturated_designs(spark, family):
+    rng = np.random.default_rng(11)
+    rows = [(a, b, float(rng.poisson(4 + 3 * (a == "v") + 2 * (b == "q")))) for _ in range(500) for a in "uv" for b in "pq"]
+    df = spark.createDataFrame(rows, "a string, b string, y double")
+    design = crossed({"a": ["u", "v"], "b": ["p", "q"]})
+    fit = fit_glm(model_table(df, design, "y"), design, family)
+    cells = {}
+    for a, b, y in rows:
+        cells.setdefault((a, b), []).append(y)
+
+    def information(key):
+        mu = np.mean(cells[key])
+        power, theta = fit.family.power, fit.family.theta
+        by_family = {"gaussian": 1.0, "tweedie": mu ** (2 - (power or 0)), "negbin2": mu / (1 + mu / (theta or 1))}
+        return 500 * by_family.get(family.name, mu)
+
+    expected = {
+        "intercept": [("u", "p")],
+        "a_v": [("u", "p"), ("v", "p")],
+        "b_q": [("u", "p"), ("u", "q")],
+        "a_v_x_b_q": [(a, b) for a in "uv" for b in "pq"],
+    }
+    for name, keys in expected.items():
+        assert fit.unscaled_errors[name] == pytest.approx(math.sqrt(sum(1 / information(k) for k in keys)), rel=1e-6)
+
+
+@pytest.mark.parametrize("family", ["gaussian", "negbin1"])
+def test_refitted_dispersion_reaches_the_residuals(spark, family):
+    rng = np.random.default_rng(12)
+    rows = []
+    for k in range(6000):
+        g = "nxy"[k % 3] if k < 5400 else "n"
+        phi, mu = {"n": 1.5, "x": 9.0, "y": 3.0}[g], 20.0
+        y = rng.normal(mu, math.sqrt(phi)) if family == "gaussian" else rng.negative_binomial(mu / (phi - 1), 1 / phi)
+        rows.append((k, g, float(k % 4), float(y)))
+    df = spark.createDataFrame(rows, "id long, g string, t double, y double")
+    design = crossed({"g": ["n", "x", "y"]}, ["t"], 1)
+    fit = refit_by_dispersion(fit_glm(model_table(df, design, "y"), design, Family(family)), ["g"])
+    first = simulated_residuals(df, fit, "y", ["id"])
+    again = simulated_residuals(df, fit, "y", ["id"])  # the frame itself is as it was
+    assert df.columns == ["id", "g", "t", "y"] and first.columns == again.columns
+    scaled = {}
+    for r in first.collect():
+        scaled.setdefault(r["g"], []).append(r["scaled"])
+    for u in scaled.values():
+        u = np.sort(u)
+        assert np.abs(u - (np.arange(len(u)) + 0.5) / len(u)).max() < 1.63 / math.sqrt(len(u))
+
+
+def test_dispersion_along_a_covariate(spark):
+    rng = np.random.default_rng(13)
+    rows = [("g", float(t), float(rng.normal(0, math.exp(0.2 * t)))) for t in range(6) for _ in range(2000)]
+    rows += [("h", float(t), 1.0) for t in range(6)]
+    df = spark.createDataFrame(rows, "g string, t double, y double")
+    design = crossed({"g": ["g", "h"]}, ["t"], 1)
+    fit = fit_glm(model_table(df, design, "y"), design, Family("gaussian"))
+    again = refit_by_dispersion(fit, ["t"], along="t")
+    spread = {r["t"]: r["dispersion"] for r in again.spread.collect()}
+    assert all(spread[float(t)] == pytest.approx(math.exp(0.4 * t), rel=0.15) for t in range(6))
+
+
+def test_levels_without_spread_do_not_rule_the_refit(spark):
+    rows = [("n", float(k % 3), float(k % 5)) for k in range(300)] + [("y", float(k % 3), 2.0) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, t double, y double")
+    design = crossed({"g": ["n", "y"]}, ["t"])
+    fit = fit_glm(model_table(df, design, "y"), design, Family("gaussian"))
+    assert max(r["dispersion"] for r in refit_by_dispersion(fit, ["g"]).spread.collect()) < 10 * fit.dispersion
+    assert min(r["dispersion"] for r in refit_by_dispersion(fit, ["g"]).spread.collect()) == pytest.approx(fit.dispersion)
+
+
+def test_models_of_one_term(spark):
+    rng = np.random.default_rng(14)
+    rows = [(g, float(rng.normal(5 + (g == "y"), 1))) for _ in range(200) for g in "ny"]
+    df = spark.createDataFrame(rows, "g string, y double")
+    design = crossed({"g": ["n", "y"]})
+    cells = model_table(df, design, "y")
+    fit = fit_glm(cells, design, Family("gaussian"))
+    groups = [np.array([y for g, y in rows if g == k]) for k in "ny"]
+    grand = np.concatenate(groups).mean()
+    f = sum(len(v) * (v.mean() - grand) ** 2 for v in groups) / fit.dispersion
+    (test,) = type2_tests(spark, fit).collect()
+    assert test["term"] == "g" and test["df"] == 1 and test["statistic"] == pytest.approx(f, rel=1e-6)
+    last, records = drop_terms(fit)
+    assert len(records) == 1 and not records[0][-1] and last.estimates == fit.estimates
+    same = spark.createDataFrame([(g, y) for (g, _), (_, y) in zip(rows, rows[1:] + rows[:1])], "g string, y double").sample(1.0)
+    flat = fit_glm(model_table(same.withColumn("y", F.lit(3.0) + F.col("y") * 0), design, "y"), design, Family("poisson"))
+    empty, dropped = drop_terms(flat)
+    assert empty.design.terms == () and empty.estimates["intercept"] == pytest.approx(math.log(3)) and dropped[0][-1]
+
+
+def test_tails_of_large_counts():
+    from tidemark.operators.residuals import _count_tails
+
+    y, mu = np.array([3.0, 100_000.0, 0.0, 3.0]), np.array([2.0, 100_000.0, 1.5, 2.0])
+    below, upto = _count_tails(y, mu, np.array([np.inf, np.inf, 2.0, 4.0]))
+    poisson = [math.exp(-2) * 2**k / math.factorial(k) for k in range(4)]
+    assert below[0] == pytest.approx(sum(poisson[:3])) and upto[0] == pytest.approx(sum(poisson))
+    assert below[1] == pytest.approx(0.5, abs=0.01) and upto[1] > below[1]
+    assert below[2] == 0 and upto[2] == pytest.approx((2 / 3.5) ** 2)
+    binomial = [math.comb(k + 3, k) * (4 / 6) ** 4 * (2 / 6) ** k for k in range(4)]
+    assert below[3] == pytest.approx(sum(binomial[:3])) and upto[3] == pytest.approx(sum(binomial))
+
+
+def test_p_values_of_the_one_factor_model(spark):
+    from tidemark.operators.oneway import anova_oneway, oneway_ols
+
+    rows = [("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 4.0), ("b", 5.0), ("b", 7.0)]
+    df = spark.createDataFrame(rows, "f string, y double")
+    row = anova_oneway(df, "f", "y").first()
+    slope = oneway_ols(df, "f", "y", "a").where("term = 'b'").first()
+    assert row["p_value"] == pytest.approx(slope["p_value"], rel=1e-9)  # F = t squared
+    t, tail = slope["t_value"], slope["p_value"]
+    x = t / math.sqrt(4 + t * t)  # the t distribution with 4 degrees of freedom in closed form
+    assert tail == pytest.approx(1 - 1.5 * (x - x**3 / 3), rel=1e-9)

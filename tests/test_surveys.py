@@ -117,8 +117,8 @@ def test_canopy_means(raw):
 
 def test_report_finds_the_known_bad_rows(raw, responses):
     codes = code_lists(raw["factors"])
-    assert codes["herbivores"] == ["con", "in", "out"]
-    ranges = declared_ranges(raw["variables"])
+    assert {r["code"] for r in codes.where("field = 'herbivores'").collect()} == {"con", "in", "out"}
+    ranges = {r["field"]: (r["low"], r["high"]) for r in declared_ranges(raw["variables"]).collect()}
     assert ranges["%ephem"] == (0, 100) and ranges["plot"] == (0, 36)
     report = survey_report(responses, codes, "2007-12-31")
     late = report.where("rule = 'after the study'")

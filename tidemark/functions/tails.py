@@ -22,9 +22,9 @@ def _gamma_lower(a: float, x: float) -> float:
             term *= x / k
             total += term
         return front * total
-    # upper tail by continued fraction, evaluated backwards from a fixed depth
+    # upper tail by continued fraction, evaluated backwards from a depth that grows with a
     tail = 0.0
-    for k in range(400, 0, -1):
+    for k in range(400 + int(12 * math.sqrt(a)), 0, -1):
         tail = k * (k - a) / (x + 2 * k + 1 - a - tail)
     return 1.0 - front / (x + 1 - a - tail)
 
@@ -41,7 +41,7 @@ def _beta_regular(a: float, b: float, x: float) -> float:
         a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
     )
     tail = 1.0
-    for m in range(300, 0, -1):
+    for m in range(300 + int(12 * math.sqrt(a + b)), 0, -1):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         odd = -(a + m - 1) * (a + b + m - 1) * x / ((a + 2 * m - 2) * (a + 2 * m - 1))
         tail = 1 + odd / (1 + even / tail)

@@ -9,8 +9,9 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,7 @@ from tidemark.operators.design import Design, design_columns
 from tidemark.session import settle
 
 INTERCEPT = "intercept"
+MAX_ROUNDS = 100
 # Candidate powers between a Poisson (1) and a gamma (2) response.
 POWER_GRID = [1.1, 1.2, 1.3, 1.4, 1.5, 1.6, 1.7, 1.8, 1.9]
 
@@ -82,6 +84,9 @@ class Fit:
     dispersion: float
     deviance: float
     rounds: int = 1
+    #: After a refit: the dispersion of each level, as a table, and the columns that name the level.
+    spread: DataFrame | None = None
+    spread_by: tuple[str, ...] = ()
 
     @property
     def residual_df(self) -> float:
@@ -109,8 +114,19 @@ def fitted_mean(fit: Fit, on_rows: bool = False) -> Column:
 
 def _assembled(table: DataFrame, names: Sequence[str], weight: str) -> DataFrame:
     """The cell table with its design columns as one vector, kept in memory for repeated fits."""
-    kept = dict.fromkeys(["n", "mean", "ss", weight])
-    return VectorAssembler(inputCols=list(names), outputCol="x").transform(table).select(*kept, "x").cache()
+    kept = dict.fromkeys(["n", "mean", "ss", weight, *names])
+    return VectorAssembler(inputCols=list(names), outputCol="x").transform(table).select(*[F.col(f"`{c}`") for c in kept], "x").cache()
+
+
+def _fit_mean(table: DataFrame, design: Design, family: Family, weight: str, errors: bool) -> Fit:
+    """The model without any term: one weighted mean, whatever the family."""
+    w = F.col(weight)
+    level = table.agg((F.sum(w * F.col("mean")) / F.sum(w)).alias("m")).first()["m"]
+    mu = F.lit(float(level))
+    rows, pearson, deviance = _moments(table, family, mu, weight)
+    unscaled = _unscaled_errors(table, [], family, mu, weight) if errors else {}
+    estimates = {INTERCEPT: math.log(level) if family.log_link else float(level)}
+    return Fit(table, design, family, weight, estimates, unscaled, rows, pearson / (rows - 1), deviance)
 
 
 def _glm(label: str, weight: str, family: Family) -> GeneralizedLinearRegression:
@@ -121,7 +137,7 @@ def _glm(label: str, weight: str, family: Family) -> GeneralizedLinearRegression
         options = {"family": "tweedie", "variancePower": family.power, "linkPower": 0.0}
     return GeneralizedLinearRegression(
         featuresCol="x", labelCol=label, weightCol=weight, linkPredictionCol="eta",
-        maxIter=100, tol=1e-12, regParam=0.0, **options,
+        maxIter=MAX_ROUNDS, tol=1e-12, regParam=0.0, **options,
     )
 
 
@@ -129,11 +145,27 @@ def _estimates(model: GeneralizedLinearRegressionModel, names: Sequence[str]) ->
     return {INTERCEPT: model.intercept, **dict(zip(names, map(float, model.coefficients)))}
 
 
-def _unscaled_errors(model: GeneralizedLinearRegressionModel, names: Sequence[str]) -> dict[str, float]:
-    """Standard errors for a dispersion of one. Spark lists the intercept last."""
-    root = math.sqrt(model.summary.dispersion)
-    errors = [e / root if root > 0 else float("nan") for e in model.summary.coefficientStandardErrors]
-    return {INTERCEPT: errors[-1], **dict(zip(names, errors[:-1]))}
+def _unscaled_errors(cells: DataFrame, names: Sequence[str], family: Family, mu: Column, weight: str) -> dict[str, float]:
+    """Standard errors for a dispersion of one: root of the diagonal of the inverse of X'WX.
+
+    The sums of products come from one pass over the cells, a column for each pair of estimates;
+    the driver inverts the small matrix. Saturated designs need no dispersion for that.
+    """
+    x = [F.lit(1.0), *[F.col(f"`{n}`") for n in names]]
+    size = len(x)
+    work = F.col(weight) * (mu * mu / variance(family, mu) if family.log_link else F.lit(1.0))
+    pairs = [(i, j) for i in range(size) for j in range(i + 1)]
+    sums = cells.withColumn("tm_w", work).agg(*[F.sum(F.col("tm_w") * x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    information = np.zeros((size, size))
+    for i, j in pairs:
+        information[i, j] = information[j, i] = float("nan") if sums[f"s{i}_{j}"] is None else sums[f"s{i}_{j}"]
+    scale = np.sqrt(np.diag(information))
+    try:
+        inverse = np.linalg.inv(information / np.outer(scale, scale)) / np.outer(scale, scale)
+        errors = np.sqrt(np.diag(inverse))
+    except np.linalg.LinAlgError:  # columns that follow from each other
+        errors = np.full(size, np.nan)
+    return dict(zip([INTERCEPT, *names], map(float, errors)))
 
 
 def _moments(table: DataFrame, family: Family, mu: Column, weight: str) -> tuple[float, float, float]:
@@ -159,11 +191,17 @@ def fit_glm(
     if family.name == "negbin2":
         return fit_negbin2(table, design, weight, theta=family.theta, errors=errors)
     names = list(design_columns(design))
+    if not names:
+        return _fit_mean(table, design, family, weight, errors)
     cells = _assembled(table, names, weight)
     model = _glm("mean", weight, family).fit(cells)
+    if model.summary.numIterations >= MAX_ROUNDS:
+        warnings.warn(f"the fit stopped after {MAX_ROUNDS} rounds without settling", stacklevel=2)
     mu = F.exp("eta") if family.log_link else F.col("eta")
-    rows, pearson, deviance = _moments(model.transform(cells), family, mu, weight)
-    estimates, unscaled = _estimates(model, names), _unscaled_errors(model, names) if errors else {}
+    fitted = model.transform(cells)
+    rows, pearson, deviance = _moments(fitted, family, mu, weight)
+    estimates = _estimates(model, names)
+    unscaled = _unscaled_errors(fitted, names, family, mu, weight) if errors else {}
     cells.unpersist()
     return Fit(table, design, family, weight, estimates, unscaled, rows, pearson / (rows - len(estimates)), deviance)
 
@@ -184,6 +222,8 @@ def fit_negbin2(
     theta follows from E[(y - mu)^2] = mu + mu^2 / theta, corrected for the number of estimates.
     """
     names = list(design_columns(design))
+    if not names:
+        return _negbin2_mean(table, design, weight, theta, errors)
     cells = _assembled(table, names, weight)
     fixed, mu = theta is not None, F.exp("eta")
     model = _glm("mean", weight, Family("poisson")).fit(cells)  # start from the Poisson fit
@@ -206,13 +246,23 @@ def fit_negbin2(
     else:
         warnings.warn(f"estimates still moved by more than {tol} after {rounds} rounds", stacklevel=2)
     family = Family("negbin2", theta=theta)
-    rows, pearson, deviance = _moments(model.transform(cells), family, mu, weight)
-    estimates, unscaled = _estimates(model, names), _unscaled_errors(model, names) if errors else {}
+    fitted = model.transform(cells)
+    rows, pearson, deviance = _moments(fitted, family, mu, weight)
+    estimates = _estimates(model, names)
+    unscaled = _unscaled_errors(fitted, names, family, mu, weight) if errors else {}
     cells.unpersist()
     dispersion = pearson / (rows - len(estimates))
     return Fit(table, design, family, weight, estimates, unscaled, rows, dispersion, deviance, done)
 
 
+def _negbin2_mean(table: DataFrame, design: Design, weight: str, theta: float | None, errors: bool) -> Fit:
+    """The negative binomial without any term."""
+    if theta is None:
+        start = _fit_mean(table, design, Family("poisson"), weight, False)
+        theta = _moment_theta(table, F.lit(math.exp(start.estimates[INTERCEPT])), 1)
+    return _fit_mean(table, design, Family("negbin2", theta=theta), weight, errors)
+
+
 def _moment_theta(fitted: DataFrame, mu: Column, estimates: int) -> float:
     y, n = F.col("mean"), F.col("n")
     row = fitted.agg(
@@ -250,14 +300,30 @@ def dispersion_by_level(fit: Fit, by: Sequence[str]) -> DataFrame:
     )
 
 
-def refit_by_dispersion(fit: Fit, by: Sequence[str]) -> Fit:
-    """Second fit with cells weighted by the inverse dispersion of their level."""
-    levels = dispersion_by_level(fit, by).drop("rows")
+def refit_by_dispersion(fit: Fit, by: Sequence[str], along: str | None = None) -> Fit:
+    """Second fit with cells weighted by the inverse dispersion of their level.
+
+    With ``along``, a covariate among ``by``, ln(dispersion) is a straight line in it instead of a
+    free value per level (a gamma fit of the level dispersions, weighted by their rows). A level
+    without any spread tells nothing about its dispersion and takes that of the first fit. The
+    levels stay with the result, so that residuals can be simulated with them.
+    """
+    levels = dispersion_by_level(fit, by)
+    if along is not None:
+        levels = _dispersion_line(settle(levels, "levels"), along)
+    known = F.col("dispersion") > F.lit(1e-9 * fit.dispersion)
+    levels = settle(levels.select(*by, F.when(known, F.col("dispersion")).otherwise(F.lit(fit.dispersion)).alias("dispersion")), "levels")
     table = join_groups(fit.table, levels, by, "inner")
-    table = settle(
-        table.withColumn("w", F.col("n") / F.greatest(F.col("dispersion"), F.lit(1e-12))).drop("dispersion"), "cells"
-    )
-    return fit_glm(table, fit.design, fit.family, "w")
+    table = settle(table.withColumn("w", F.col("n") / F.col("dispersion")).drop("dispersion"), "cells")
+    return replace(fit_glm(table, fit.design, fit.family, "w"), spread=levels, spread_by=tuple(by))
+
+
+def _dispersion_line(levels: DataFrame, along: str) -> DataFrame:
+    """Level dispersions on a log-linear trend."""
+    rows = VectorAssembler(inputCols=["tm_along"], outputCol="tm_x").transform(levels.withColumn("tm_along", F.col(along).cast("double")))
+    line = GeneralizedLinearRegression(featuresCol="tm_x", labelCol="dispersion", weightCol="tm_rows", family="gamma", link="log", predictionCol="tm_line")
+    model = line.fit(rows.where("dispersion > 0").withColumn("tm_rows", F.col("rows").cast("double")))
+    return model.transform(rows).withColumn("dispersion", F.col("tm_line")).select(*levels.columns)
 
 
 def coef_table(spark: SparkSession, fit: Fit) -> DataFrame:
@@ -265,7 +331,7 @@ def coef_table(spark: SparkSession, fit: Fit) -> DataFrame:
     rows = []
     for name, b in fit.estimates.items():
         se = fit.unscaled_errors[name] * math.sqrt(fit.scale)
-        stat = b / se if se > 0 else float("nan")
+        stat = b / se if se > 0 else float("nan")  # no error without spread
         if math.isnan(stat):
             p = float("nan")
         elif fit.family.free_dispersion:

@@ -11,6 +11,18 @@ from tidemark.functions.tails import f_upper, t_two_sided
 from tidemark.session import settle
 
 
+@F.pandas_udf(DoubleType())
+def f_p_value(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+    """Upper tail of F for the rows of a variance table."""
+    return pd.Series([None if any(map(pd.isna, row)) else f_upper(*row) for row in zip(f, df1, df2)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
+    """Two-sided tail of t for the rows of a coefficient table."""
+    return pd.Series([None if any(map(pd.isna, row)) else t_two_sided(*row) for row in zip(t, df)], dtype=float)
+
+
 def group_moments(df: DataFrame, factor: str, value: str) -> DataFrame:
     """Size, mean and inner sum of squares per level: the only pass over the data."""
     y = F.col(value).cast("double")
@@ -44,12 +56,13 @@ def _variance_table(moments: DataFrame) -> DataFrame:
 
 
 def anova_oneway(df: DataFrame, factor: str, value: str) -> DataFrame:
-    """Sums of squares, degrees of freedom, mean squares, F and R2 in one row."""
-    return _variance_table(group_moments(df, factor, value))
+    """Sums of squares, degrees of freedom, mean squares, F with its p value, and R2 in one row."""
+    table = _variance_table(group_moments(df, factor, value))
+    return table.withColumn("p_value", f_p_value("f_value", F.col("df_between").cast("double"), F.col("df_within").cast("double")))
 
 
 def oneway_ols(df: DataFrame, factor: str, value: str, baseline: str) -> DataFrame:
-    """Coefficients of value ~ factor with treatment contrasts, standard errors, t and R2."""
+    """Coefficients of value ~ factor with treatment contrasts, standard errors, t with its p value, and R2."""
     cells = group_moments(df, factor, value)
     test = _variance_table(cells)
     base = cells.where(F.col("level") == baseline)
@@ -63,17 +76,6 @@ def oneway_ols(df: DataFrame, factor: str, value: str, baseline: str) -> DataFra
         .withColumn("t_value", F.try_divide("estimate", "se"))
         .withColumn("df", test.select("df_within").scalar())
         .withColumn("r2", test.select("r2").scalar())
-        .select("term", "estimate", "se", "t_value", "df", "r2")
+        .withColumn("p_value", t_p_value("t_value", F.col("df").cast("double")))
+        .select("term", "estimate", "se", "t_value", "df", "p_value", "r2")
     )
-
-
-@F.pandas_udf(DoubleType())
-def f_p_value(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
-    """Upper tail of F for the rows of a variance table."""
-    return pd.Series([f_upper(*row) for row in zip(f, df1, df2)])
-
-
-@F.pandas_udf(DoubleType())
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided tail of t for the rows of a coefficient table."""
-    return pd.Series([t_two_sided(*row) for row in zip(t, df)])

@@ -9,33 +9,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.combine import join_groups
+from tidemark.session import settle
 
-MAX_DICTIONARY_ROWS = 100_000
 
+def code_lists(factors: DataFrame, attribute: str = "attributeName", code: str = "code") -> DataFrame:
+    """(field, code) of a data dictionary."""
+    return factors.select(F.col(attribute).alias("field"), F.col(code).cast("string").alias("code")).distinct()
 
-def code_lists(factors: DataFrame, attribute: str = "attributeName", code: str = "code") -> dict[str, list[str]]:
-    """Code lists of a data dictionary, which must be a small table."""
-    rows = factors.select(attribute, code).limit(MAX_DICTIONARY_ROWS + 1).collect()
-    if len(rows) > MAX_DICTIONARY_ROWS:
-        raise ValueError("a data dictionary of this size is a table to join, not a code list")
-    lists: dict[str, list[str]] = {}
-    for row in rows:
-        lists.setdefault(row[attribute], []).append(row[code])
-    return lists
 
-
-def declared_ranges(variables: DataFrame, name: str = "attributeName", text: str = "attributeDefinition") -> dict[str, tuple[float, float]]:
-    """Ranges written as ``Range low-high`` in the definitions of a data dictionary."""
+def declared_ranges(variables: DataFrame, name: str = "attributeName", text: str = "attributeDefinition") -> DataFrame:
+    """(field, low, high) of ranges written as ``Range low-high`` in the definitions of a data dictionary."""
     number = r"Range (\d+(?:\.\d+)?)-(\d+(?:\.\d+)?)"
-    found = variables.where(F.col(text).rlike(number)).select(
-        name,
+    return variables.where(F.col(text).rlike(number)).select(
+        F.col(name).alias("field"),
         F.regexp_extract(text, number, 1).cast("double").alias("low"),
         F.regexp_extract(text, number, 2).cast("double").alias("high"),
     )
-    rows = found.limit(MAX_DICTIONARY_ROWS + 1).collect()
-    if len(rows) > MAX_DICTIONARY_ROWS:
-        raise ValueError("a data dictionary of this size is a table to join, not a list of ranges")
-    return {r[name]: (r["low"], r["high"]) for r in rows}
+
+
+def dictionary_violations(
+    df: DataFrame, keys: Sequence[str], fields: Sequence[str], codes: DataFrame | None = None, ranges: DataFrame | None = None
+) -> DataFrame:
+    """Like :func:`violations`, for code lists and ranges that are tables of any size.
+
+    ``codes`` has columns field and code, ``ranges`` field, low and high. Only declared fields are
+    judged, by their text or number; missing values break no rule. The distinct values of the
+    fields are looked up first, so the rows meet nothing but the table of bad values, whose size
+    is known when they are joined.
+    """
+    cells = df.select(
+        *[F.col(f"`{k}`") for k in keys],
+        F.inline(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("string").alias("value")) for c in fields])),
+    ).where(F.col("value").isNotNull())
+    seen = settle(cells.groupBy("field", "value").count().select("field", "value"), "values")
+    bad = []
+    if codes is not None:
+        listed = seen.join(codes.select("field").distinct(), "field", "left_semi")
+        known = codes.select("field", F.col("code").cast("string").alias("value"))
+        bad.append(listed.join(known, ["field", "value"], "left_anti").withColumn("rule", F.lit("code")))
+    if ranges is not None:
+        number = F.col("value").try_cast("double")
+        outside = seen.join(ranges.select("field", "low", "high"), "field").where(~number.between(F.col("low"), F.col("high")))
+        bad.append(outside.select("field", "value").distinct().withColumn("rule", F.lit("range")))
+    if not bad:
+        return cells.limit(0).withColumn("rule", F.lit("")).select(*keys, "field", "rule", "value")
+    broken = settle(reduce(DataFrame.unionByName, bad), "bad_values")
+    return cells.join(broken, ["field", "value"]).select(*[F.col(f"`{k}`") for k in keys], "field", "rule", "value")
 
 
 def violations(

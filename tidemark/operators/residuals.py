@@ -9,7 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.functions.tails import chi2_upper, f_upper, normal_two_sided
 from tidemark.operators.combine import join_groups
 from tidemark.operators.glm import Fit, fitted_mean
 from tidemark.operators.quantiles import box_summary
@@ -51,22 +53,32 @@ def _share_below(words: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def _count_tails(y: np.ndarray, mu: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(Y < y) and P(Y <= y) of a negative binomial, or of a Poisson where ``size`` is infinite."""
-    poisson = np.isinf(size)
-    theta = np.where(poisson, 1.0, size)
-    log_p = np.where(poisson, -mu, theta * np.log(theta / (theta + mu)))
-    below, upto = np.zeros_like(mu), np.zeros_like(mu)
-    for k in range(int(y.max(initial=0)) + 1):
-        p = np.exp(log_p)
-        below += p * (k < y)
-        upto += p * (k <= y)
-        grow = np.where(poisson, mu, (k + theta) * mu / (theta + mu))
-        log_p = log_p + np.log(grow / (k + 1))
-    return np.minimum(below, 1.0), np.minimum(upto, 1.0)
+    """P(Y < y) and P(Y <= y) of a negative binomial, or of a Poisson where ``size`` is infinite.
+
+    Each distinct (count, mean, size) is worked out once, so the cost follows the distinct cases
+    and not the largest count of a batch.
+    """
+    cases, back = np.unique(np.stack([y, mu, size]), axis=1, return_inverse=True)
+    tails = np.array([_tail(*case) for case in cases.T]).reshape(-1, 2)
+    return tails[back.ravel(), 0], tails[back.ravel(), 1]
+
+
+def _tail(y: float, mu: float, size: float) -> tuple[float, float]:
+    """P(Y < y) and P(Y <= y) of one count, by incomplete gamma and beta functions."""
+    if y < 0:
+        return 0.0, 0.0
+    k = math.floor(y)
+
+    def at_most(m: int) -> float:
+        if m < 0:
+            return 0.0
+        return chi2_upper(2 * mu, 2 * (m + 1)) if math.isinf(size) else f_upper(mu / (m + 1), 2 * (m + 1), 2 * size)
+
+    return at_most(k - 1 if k == y else k), at_most(k)
 
 
 def _tweedie_ranks(
-    seeds: np.ndarray, y: np.ndarray, mu: np.ndarray, power: float, phi: float, draws: int
+    seeds: np.ndarray, y: np.ndarray, mu: np.ndarray, power: float, phi: np.ndarray, draws: int
 ) -> tuple[np.ndarray, np.ndarray]:
     """Simulated values below and equal to the observation, as shares: sums of a Poisson number of gammas."""
     rate = mu ** (2 - power) / (phi * (2 - power))
@@ -81,22 +93,23 @@ def _tweedie_ranks(
     return less, same
 
 
-def _scaled(pdf: pd.DataFrame, family: str, phi: float, power: float, theta: float, draws: int) -> np.ndarray:
+def _scaled(pdf: pd.DataFrame, family: str, power: float, theta: float, draws: int) -> np.ndarray:
     seeds = pdf["tm_seed"].to_numpy(dtype=np.int64)
     y, mu = pdf["tm_y"].to_numpy(dtype=float), pdf["mu"].to_numpy(dtype=float)
+    phi = pdf["tm_phi"].to_numpy(dtype=float)
     words = _random_words(np.ascontiguousarray(seeds), draws + 2)
     words, tie = words[:, :draws], words[:, draws] / 4294967296.0
     if family == "tweedie":
         less, same = _tweedie_ranks(seeds, y, mu, power, phi, draws)
     elif family == "gaussian":
-        z = (y - mu) / math.sqrt(2 * phi)
+        z = (y - mu) / np.sqrt(2 * phi)
         less, same = _share_below(words, 0.5 * (1 + np.array([math.erf(v) for v in z]))), 0.0
     else:
         size = np.full_like(mu, np.inf)
         if family == "negbin2":
             size = np.full_like(mu, theta)
-        elif family == "negbin1" and phi > 1:
-            size = mu / (phi - 1)
+        elif family == "negbin1":
+            size = np.where(phi > 1, mu / np.maximum(phi - 1, 1e-12), np.inf)
         below, upto = _count_tails(y, mu, size)
         # a uniform below P(Y < y) stands for a simulated count below y, and so on
         less = _share_below(words, below)
@@ -110,15 +123,21 @@ def simulated_residuals(
     """Add ``scaled``: the place of each observation among ``draws`` responses simulated from the fit.
 
     Ties of counts and zeros are broken at random (Dunn and Smyth 1996), so residuals of a right
-    model are uniform. Numbers depend on seed and row key only. Rows are processed where they
-    lie, in small Arrow batches; nothing is shuffled.
+    model are uniform. Numbers depend on seed and row key only. After a refit by dispersion, each
+    row is simulated with the dispersion of its level. Rows are processed where they lie, in small
+    Arrow batches; nothing is shuffled.
     """
     rows = pearson_rows(df, fit, response)
+    phi = F.lit(float(fit.dispersion))
+    if fit.spread is not None:
+        rows = join_groups(rows, fit.spread.withColumnRenamed("dispersion", "tm_level"), fit.spread_by, "inner")
+        phi = phi * F.col("tm_level")
+    rows = rows.withColumn("tm_phi", phi)
     rows = rows.withColumn("tm_seed", F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])).withColumn(
         "tm_y", F.col(response).cast("double")
     )
-    schema = df.schema.add("mu", "double").add("residual", "double").add("scaled", "double")
-    family, phi = fit.family.name, fit.dispersion
+    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("mu", "residual", "scaled")]])
+    family = fit.family.name
     power, theta = fit.family.power or 0.0, fit.family.theta or 0.0
     columns = schema.names
 
@@ -126,7 +145,7 @@ def simulated_residuals(
         for batch in batches:
             for start in range(0, len(batch), CHUNK):
                 part = batch.iloc[start : start + CHUNK]
-                yield part.assign(scaled=_scaled(part, family, phi, power, theta, draws))[columns]
+                yield part.assign(scaled=_scaled(part, family, power, theta, draws))[columns]
 
     return rows.mapInPandas(simulate, schema)
 
@@ -135,7 +154,7 @@ def durbin_watson(df: DataFrame, residual: str, time: str, by: Sequence[str]) ->
     """Durbin-Watson statistic of the mean residual per time, centred, for each series.
 
     Rows are reduced to one per series and time before any ordering; ``z`` compares with the
-    moments of the statistic under independence.
+    moments of the statistic under independence, ``p_value`` is its two-sided normal tail.
     """
     series = Window.partitionBy(*by)
     per_time = df.groupBy(*by, time).agg(F.avg(residual).alias("r"))
@@ -153,9 +172,15 @@ def durbin_watson(df: DataFrame, residual: str, time: str, by: Sequence[str]) ->
         .withColumn(
             "z", F.try_divide(F.col("dw") - 2, F.sqrt(F.try_divide(4.0 * (n - 2), (n - 1) * (n + 1.0))))
         )
+        .withColumn("p_value", _normal_p_value("z"))
     )
 
 
+@F.pandas_udf(T.DoubleType())
+def _normal_p_value(z: pd.Series) -> pd.Series:
+    return z.map(normal_two_sided, na_action="ignore").astype(float)
+
+
 def residual_summary(df: DataFrame, residual: str, by: Sequence[str]) -> DataFrame:
     """Mean, deviation and box of the residuals per level of a factor or time."""
     spread = cell_summary(df.where(F.col(residual).isNotNull()), by, residual).select(*by, "av", "sd")

@@ -16,14 +16,12 @@ def drop_terms(fit: Fit) -> tuple[Fit, list[tuple]]:
     """Drop marginal terms one by one while that lowers AIC.
 
     Per step every term that no larger remaining term contains is left out in turn. Dispersion,
-    power and theta stay those of the first model. Returns the last fit and one record per try.
+    power and theta stay those of the first model. The last term is compared with the mean alone. Returns the last fit and one record per try.
     """
     scale, family, records = fit.scale, fit.family, []
     for step in count(1):
         tries: list[tuple[float, Term, Fit, tuple]] = []
         for term in fit.design.marginal_terms():
-            if len(fit.design.terms) == 1:
-                continue
             smaller = fit_glm(fit.table, fit.design.without(term), family, fit.weight, errors=False)
             df, stat, p, delta = compare_nested(smaller, fit, scale)
             tries.append((delta, term, smaller, (df, stat, p)))
@@ -60,8 +58,6 @@ def type2_tests(spark: SparkSession, fit: Fit) -> DataFrame:
         base = fit.design
         for larger in base.contains(term):
             base = base.without(larger)
-        if len(base.terms) == 1:
-            continue
         df, stat, p, _ = compare_nested(fitted(base.without(term)), fitted(base), fit.scale)
         rows.append((term_name(term), df, stat, p))
     return spark.createDataFrame(rows, "term string, df int, statistic double, p_value double")

@@ -82,6 +82,16 @@ FROM l WHERE NOT l_discount BETWEEN 0 AND 0.09::DOUBLE
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'l_tax', 'required', NULL FROM l WHERE l_tax IS NULL
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, '', 'shipped late', NULL FROM l WHERE ship_year > 2000"""
 
+    sql["quality_dictionary"] = f"""
+WITH l AS (SELECT * FROM {LINES}),
+ends AS (SELECT min(l_quantity) AS low, avg(l_quantity) AS high FROM l WHERE l_returnflag < 'R')
+SELECT l_orderkey, l_linenumber, l_partkey, 'l_returnflag' AS field, 'code' AS rule, l_returnflag AS value
+FROM l WHERE l_returnflag NOT IN (SELECT l_returnflag FROM l WHERE l_returnflag < 'R')
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'l_linestatus', 'code', l_linestatus
+FROM l WHERE l_linestatus NOT IN (SELECT l_linestatus FROM l WHERE l_quantity < 2)
+UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, 'l_quantity', 'range', l_quantity::BIGINT::VARCHAR
+FROM l, ends WHERE NOT l_quantity BETWEEN low AND high"""
+
     sql["unpivot_fill"] = """
 SELECT l_orderkey, l_linenumber, 'l_discount' AS measure, coalesce(nullif(l_discount, 0.05), 0) AS amount FROM lineitem
 UNION ALL
@@ -218,7 +228,7 @@ FROM ({p99}) a FULL JOIN ({adm}) b ON a.event_type = b.event_type AND a.user_id
 
     sql["full_join_nullsafe"] = """
 WITH a AS (SELECT nullif(o_orderpriority, '5-LOW') AS priority, count(*) AS open FROM orders WHERE o_orderstatus = 'O' GROUP BY 1),
-b AS (SELECT nullif(o_orderpriority, '1-URGENT') AS priority, count(*) AS closed FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+b AS (SELECT nullif(o_orderpriority, '1-URGENT') AS priority, count(*) AS closed FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1)
 SELECT coalesce(a.priority, b.priority) AS priority, open, closed
 FROM a FULL JOIN b ON a.priority IS NOT DISTINCT FROM b.priority"""
 

@@ -9,7 +9,7 @@ from tidemark.functions.labels import relabel
 from tidemark.functions.dates import iso_date
 from tidemark.operators.combine import distinct_rows, drop_containing, stack_rows
 from tidemark.operators.elapsed import since_start
-from tidemark.operators.quality import violations
+from tidemark.operators.quality import dictionary_violations, violations
 from tidemark.operators.reshape import families_to_long, to_long_by_prefix
 from tidemark.functions.dates import since_anchor
 from tidemark.sources.schemas import BIO_RESPONSES
@@ -105,15 +105,13 @@ def canopy_clean(canopy: DataFrame) -> DataFrame:
     ).drop("location")
 
 
-def survey_report(responses: DataFrame, codes: dict[str, list[str]], last_date: str) -> DataFrame:
-    """Broken codes, covers outside of 0-100, missing plots and impossible dates, by plot and date."""
-    allowed = {c: codes[c] for c in ("block", "barnacles", "herbivores") if c in codes}
+def survey_report(responses: DataFrame, codes: DataFrame, last_date: str) -> DataFrame:
+    """Broken codes, covers outside of 0-100, missing plots and impossible dates, by plot and date.
+
+    ``codes`` is a table of fields and their codes (:func:`~tidemark.operators.quality.code_lists`).
+    """
+    keys = ["location", "plot", "date", "species"]
     late: Column = F.col("date") > F.lit(last_date).cast("date")
-    return violations(
-        responses,
-        ["location", "plot", "date", "species"],
-        codes=allowed,
-        ranges={"percent_cover": (0.0, 100.0)},
-        required=["plot"],
-        rules={"after the study": late},
-    )
+    rules = violations(responses, keys, ranges={"percent_cover": (0.0, 100.0)}, required=["plot"], rules={"after the study": late})
+    fields = [c for c in ("block", "barnacles", "herbivores") if c in responses.columns]
+    return rules.unionByName(dictionary_violations(responses, keys, fields, codes))
