@@ -7,9 +7,10 @@ by maximum and are equal in two sketches with about the sets' Jaccard similarity
 1. Texts with the same set form one class. One sketch per class.
 2. Bands of registers are hashed. The smallest class of each band bucket is its hub, and every
    member is compared with its hubs: first by the likelihood of the two sketches, then on full sets.
-3. Links are contracted to components. Within each bucket that still holds several components,
-   members of different components are compared by likelihood in blocks, and the pairs that could
-   reach the threshold on full sets. So no link is lost to the choice of hubs.
+3. Links are contracted to components. Among the members of a hub that still belong to several
+   components, those that the likelihood puts near a member of another one are compared with each
+   other on full sets, in blocks, and links between components are kept. So no link is lost to the
+   choice of hubs, and what leaves a block is never more than its members.
 
 The number of bands follows from the threshold: a pair at the threshold shares no bucket with a
 probability below ``MISS``. Blocks bound what a task holds, however large a bucket is.
@@ -36,8 +37,10 @@ TOP = 65535
 ROWS = 5  # registers in a band
 MISS = 1e-8
 SIGMAS = 5.0  # estimates may be so many standard errors below the threshold
-BLOCK = 256  # members of a bucket in a block
+BLOCK = 512  # members of a hub in a block
 GROUP_PAIRS = 1000
+GROUP_ROWS = 4000
+CHUNK = 8192  # pairs whose likelihood is worked out at once
 
 
 def bands_for(similarity: float) -> int:
@@ -157,39 +160,111 @@ def _likely(similarity: float, size: int):
     return run
 
 
-def _across(similarity: float, size: int):
-    """Pairs of a bucket's two blocks that lie in different components and may be similar."""
+def _blocks(rows: pa.Table, which: np.ndarray):
+    """(left, right) members of the two blocks of each hub's pair of blocks, by number."""
+    block = rows.column("block").to_numpy()
+    members: dict[tuple, list[int]] = {}
+    for k, place in enumerate(zip(*(rows.column(c).to_pylist() for c in ("hub", "i", "j")))):
+        members.setdefault(place, []).append(k)
+    for (hub, i, j), at in members.items():
+        own = np.array(at)
+        yield hub, which[own[block[own] == i]], which[own[block[own] == j]]
+
+
+def _distinct(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values, the first row of each, and the number of each row's value."""
+    values, first, which = np.unique(np.array(column.to_pylist(), dtype=object), return_index=True, return_inverse=True)
+    return values, first, which
+
+
+def _active(similarity: float, size: int):
+    """(hub, node) of members that may be similar to a member of another component.
+
+    A call holds the blocks of many small groups, or a few large ones; each pair is looked at once.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        registers, n = _numbers(rows.column("registers"), "<u2", size), rows.column("n").to_numpy()
-        node, root, block = (rows.column(c).to_pylist() for c in ("node", "root", "block"))
-        first, second = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
-        left = [k for k, x in enumerate(block) if x == first]
-        right = [k for k, x in enumerate(block) if x == second]
+        node, first, which = _distinct(rows.column("node"))
+        registers = _numbers(rows.column("registers").take(pa.array(first)), "<u2", size)
+        n = rows.column("n").to_numpy()[first]
+        root = _distinct(rows.column("root"))[2][first]
+        hubs, nodes = [], []
+        for hub, left, right in _blocks(rows, which):
+            x, y = np.nonzero(root[left][:, None] != root[right][None, :])
+            x, y = left[x], right[y]
+            found = [np.empty(0, np.int64)]
+            for at in range(0, len(x), CHUNK):
+                p, q = x[at : at + CHUNK], y[at : at + CHUNK]
+                near = estimate(registers[p], registers[q], n[p], n[q]) >= worth(similarity, size)
+                found += [p[near], q[near]]
+            own = node[np.unique(np.concatenate(found))].tolist()
+            hubs += [hub] * len(own)
+            nodes += own
+        return pa.table([pa.array(hubs, pa.binary()), pa.array(nodes, pa.binary())], names=["hub", "node"])
+
+    return run
+
+
+def _bridges(pct: int, width: int):
+    """Links between members of different components, on full sets: at most one less than there are members.
+
+    The intersections of a set with all sets of a block come from one look at their shingles.
+    """
+
+    def run(rows: pa.Table, bodies: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table([pa.array([], pa.binary())] * 2, names=["a", "b"])
+        node, first, which = _distinct(rows.column("node"))
+        above = list(_distinct(rows.column("root"))[2][first])
+        sets = _sets(bodies, width)
+        every, codes = np.unique(np.concatenate([sets[x] for x in node]), return_inverse=True)
+        cuts = np.cumsum([len(sets[x]) for x in node])[:-1]
+        coded = np.split(codes, cuts)
+        sizes = np.array([len(c) for c in coded])
+        parent = {r: r for r in above}
+
+        def top(r):
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
         out_a, out_b = [], []
-        for k in left:
-            others = np.array([m for m in right if root[m] != root[k] and (first != second or node[m] > node[k])], np.int64)
-            if len(others):
-                found = estimate(np.broadcast_to(registers[k], (len(others), size)), registers[others], np.full(len(others), n[k]), n[others])
-                for m in others[found >= worth(similarity, size)]:
-                    out_a.append(min(node[k], node[m]))
-                    out_b.append(max(node[k], node[m]))
+        mark = np.zeros(len(every), bool)
+        for _, left, right in _blocks(rows, which):
+            joined = np.concatenate([coded[k] for k in right])
+            starts = np.cumsum(np.append(0, sizes[right][:-1]))
+            for x in left:
+                mark[coded[x]] = True
+                common = np.add.reduceat(mark[joined].astype(np.int64), starts)
+                mark[coded[x]] = False
+                for y in right[100 * common >= pct * (sizes[x] + sizes[right] - common)]:
+                    p, q = top(above[x]), top(above[y])
+                    if p != q:
+                        parent[p] = q
+                        out_a.append(node[x])
+                        out_b.append(node[y])
         return pa.table([pa.array(out_a, pa.binary()), pa.array(out_b, pa.binary())], names=["a", "b"])
 
     return run
 
 
+def _sets(bodies: pa.Table, width: int) -> dict[bytes, np.ndarray]:
+    """The shingle set of each class whose text came along."""
+    sets: dict[bytes, np.ndarray] = {}
+    if bodies.num_rows:
+        for fp, text in zip(bodies.column("fp").to_pylist(), texts_of(bodies.column("text").combine_chunks())):
+            if fp not in sets:
+                found = shingles(text, width)
+                if fingerprint(found) == fp:  # another text under the same id and hash is not it
+                    sets[fp] = found
+    return sets
+
+
 def _linked(pct: int, width: int):
     """Pairs of a group whose full sets reach the threshold."""
 
     def run(pairs: pa.Table, bodies: pa.Table) -> pa.Table:
-        sets = {}
-        if bodies.num_rows and pairs.num_rows:
-            for fp, text in zip(bodies.column("fp").to_pylist(), texts_of(bodies.column("text").combine_chunks())):
-                if fp not in sets:
-                    found = shingles(text, width)
-                    if fingerprint(found) == fp:
-                        sets[fp] = found
+        sets = _sets(bodies, width) if pairs.num_rows else {}
         kept = []
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
             x, y = sets[a], sets[b]
@@ -200,24 +275,51 @@ def _linked(pct: int, width: int):
     return run
 
 
-def _confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, pct: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold.
-
-    Only texts of classes in a pair move on. Pairs are dealt to groups of about GROUP_PAIRS by
-    their first member; a first member with many pairs is split over several groups.
-    """
-    pairs = settle(pairs, "pairs")
-    count = pairs.count()
-    groups = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // GROUP_PAIRS)
-    many = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / GROUP_PAIRS * 2).cast("int").alias("parts"))
-    dealt = settle(pairs.join(many, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts"))).select("a", "b", F.pmod(F.xxhash64("a", "part"), F.lit(groups)).alias("group")), "dealt")
-    needed = settle(dealt.select("group", F.col("a").alias("fp")).union(dealt.select("group", F.col("b").alias("fp"))).distinct(), "needed")
-    one_of = classes.join(needed.select("fp").distinct(), "fp").select("fp", "rep.doc", "rep.text_hash")
-    text = F.col(text_col).cast("string")
-    texts = docs.select(F.col(id_col).cast("long").alias("own"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("own_hash"), text.alias("text"))
-    bodies = settle(texts.join(one_of, F.col("own").eqNullSafe(F.col("doc")) & (F.col("own_hash") == F.col("text_hash"))).select("fp", "text"), "bodies")
-    brought = needed.join(bodies, "fp").select("group", "fp", "text")
-    return dealt.groupBy("group").cogroup(brought.groupBy("group")).applyInArrow(_linked(pct, width), "a binary, b binary")
+class _Corpus:
+    """Classes of documents, and the way to their texts."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, pct: int, width: int):
+        text = F.col(text_col).cast("string")
+        self.texts = docs.select(F.col(id_col).cast("long").alias("own"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("own_hash"), text.alias("text"))
+        self.classes, self.pct, self.width = classes, pct, width
+        self.parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def brought(self, needed: DataFrame) -> DataFrame:
+        """(group, fp, text) of the needed (group, fp): only texts of these classes move."""
+        one_of = self.classes.join(needed.select("fp").distinct(), "fp").select("fp", "rep.doc", "rep.text_hash")
+        same = F.col("own").eqNullSafe(F.col("doc")) & (F.col("own_hash") == F.col("text_hash"))
+        bodies = settle(self.texts.join(one_of, same).select("fp", "text"), "bodies")
+        return needed.join(bodies, "fp").select("group", "fp", "text")
+
+    def confirmed(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose full sets reach the threshold.
+
+        Pairs are dealt to groups of about GROUP_PAIRS by their first member; a first member with
+        many pairs is split over several groups.
+        """
+        pairs = settle(pairs, "pairs")
+        groups = max(self.parts, pairs.count() // GROUP_PAIRS)
+        many = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / GROUP_PAIRS * 2).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("b"), F.col("parts"))
+        dealt = settle(pairs.join(many, "a").withColumn("part", part).select("a", "b", F.pmod(F.xxhash64("a", "part"), F.lit(groups)).alias("group")), "dealt")
+        needed = settle(dealt.select("group", F.col("a").alias("fp")).union(dealt.select("group", F.col("b").alias("fp"))).distinct(), "needed")
+        return dealt.groupBy("group").cogroup(self.brought(needed).groupBy("group")).applyInArrow(_linked(self.pct, self.width), "a binary, b binary")
+
+    def bridged(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) between the components of each hub's members (hub, node, root)."""
+        dealt = _paired(members, self.parts)
+        needed = settle(dealt.select("group", F.col("node").alias("fp")).distinct(), "needed")
+        return dealt.groupBy("group").cogroup(self.brought(needed).groupBy("group")).applyInArrow(_bridges(self.pct, self.width), "a binary, b binary")
+
+
+def _paired(members: DataFrame, parts: int) -> DataFrame:
+    """The members of each hub in blocks of BLOCK, each block next to every other and itself, dealt to groups."""
+    blocks = members.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = settle(met.select("hub", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "paired")
+    groups = max(2 * parts, rows.count() // GROUP_ROWS)
+    return rows.withColumn("group", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(groups)))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 80, width: int = 5) -> DataFrame:
@@ -241,28 +343,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = F.array(*[F.xxhash64(F.lit(k), F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS)) for k in range(bands)])
     banded = classes.select(F.col("fp").alias("node"), F.explode(keys).alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    inside = settle(banded.join(buckets, "key").select("key", "node", "hub", "members"), "inside")
+    stars = settle(banded.join(buckets, "key").where("node <> hub").select("hub", "node").distinct(), "stars")
 
     known = classes.select("fp", "n", "registers")
-    stars = inside.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    corpus = _Corpus(docs, classes, id_col, text_col, pct, width)
 
     def likely(pairs: DataFrame) -> DataFrame:
         one = pairs.join(known.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")), "a")
         two = one.join(known.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "b")
         return two.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(_likely(similarity, size), "a binary, b binary")
 
-    first = settle(_confirm(likely(stars), classes, docs, id_col, text_col, pct, width), "links")
+    first = settle(corpus.confirmed(likely(stars.select(F.col("hub").alias("a"), F.col("node").alias("b")))), "links")
     roots = components(first)
 
-    labelled = inside.select("key", "node", "members").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    open_rows = labelled.join(mixed, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    # A row meets the rows of every block of its bucket, its own included, once.
-    met = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    compared = met.select("key", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    across = compared.join(known.withColumnRenamed("fp", "node"), "node").groupBy("key", "i", "j").applyInArrow(_across(similarity, size), "a binary, b binary")
-    more = settle(_confirm(across.distinct(), classes, docs, id_col, text_col, pct, width), "links")
+    # All members of a bucket share its hub, so every pair of a bucket is one of its hub's group.
+    together = stars.union(stars.select("hub", F.col("hub").alias("node")).distinct())
+    labelled = settle(together.join(roots, "node", "left").select("hub", "node", F.coalesce("root", "node").alias("root")), "labelled")
+    mixed = labelled.groupBy("hub").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("hub")
+    paired = _paired(labelled.join(mixed, "hub"), corpus.parts).join(known.withColumnRenamed("fp", "node"), "node")
+    active = settle(paired.groupBy("group").applyInArrow(_active(similarity, size), "hub binary, node binary").distinct(), "active")
+    more = settle(corpus.bridged(active.join(labelled, ["hub", "node"])), "links")
     roots = components(first.union(more))
 
     own = classes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
