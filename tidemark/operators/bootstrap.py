@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.combine import join_groups, stack_rows
+from tidemark.operators.combine import join_groups
 from tidemark.session import settle
 
 COPY_BLOCK = 100_000
@@ -16,30 +16,26 @@ PRIME = 2147483647
 
 
 def number_pool(pool: DataFrame, by: str, ids: Sequence[str], digits: int = 3) -> DataFrame:
-    """Number the members of all pools (``slot``): each group's own run starts at ``pool_start``
-    and has ``pool_n`` members.
+    """Number the members of each pool from 0 (``slot``); ``pool_n`` is the size of the group's pool.
 
     ``ids`` name columns that identify a member. Members are ordered by the hash of their id, so
     the numbers depend on nothing but the pool itself. A group is cut at its leading hash digits
     into 16**digits even chunks; members are numbered inside a chunk and shifted by the sizes of
     the chunks before it. No task orders more than one chunk of members, or the chunk sizes of
-    one group, or one row per group.
+    one group.
     """
     keyed = pool.withColumn("tm_hash", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ids])))
     keyed = keyed.withColumn("tm_chunk", F.substring("tm_hash", 1, digits))
     chunks = settle(keyed.groupBy(by, "tm_chunk").agg(F.count(F.lit(1)).alias("tm_m")), "chunks")
     before = (Window.unboundedPreceding, -1)
     groups = chunks.groupBy(by).agg(F.sum("tm_m").alias("pool_n"))
-    groups = groups.withColumn(
-        "pool_start", F.coalesce(F.sum("pool_n").over(Window.orderBy(by).rowsBetween(*before)), F.lit(0))
-    )
     inner = Window.partitionBy(by).orderBy("tm_chunk").rowsBetween(*before)
     shifts = chunks.withColumn("tm_shift", F.coalesce(F.sum("tm_m").over(inner), F.lit(0))).drop("tm_m")
     shifts = settle(join_groups(shifts, groups, [by], "inner"), "shifts")
     place = Window.partitionBy(by, "tm_chunk").orderBy("tm_hash", *ids)
     return (
         join_groups(keyed, shifts, [by, "tm_chunk"], "inner")
-        .withColumn("slot", F.col("pool_start") + F.col("tm_shift") + F.row_number().over(place) - 1)
+        .withColumn("slot", F.col("tm_shift") + F.row_number().over(place) - 1)
         .drop("tm_hash", "tm_chunk", "tm_shift")
     )
 
@@ -118,27 +114,30 @@ def bootstrap_total(
     count, or a species without a pool, totals NULL.
 
     Draws depend on the seed and the row key only, hence neither on order nor on partitions.
-    The numbered pool is a written table: it is broadcast when its files are small, and then the
-    draws of a row are summed where they are made. Otherwise draws and pool meet on the slot,
-    which spreads a dominant species over all its members.
+    Rows are expanded where they lie, in one pass with those that draw nothing; only rows with more
+    than ``block`` units are set aside first and spread over the cluster. The numbered pool is a
+    written table: it is broadcast when its files are small, and then the draws of a row are summed
+    where they are made. Otherwise draws and pool meet on species and slot, which spreads a
+    dominant species over all its members.
     """
-    pool = settle(pool.select(species, "slot", "pool_start", "pool_n", weight), "pool")
-    runs = settle(pool.where(F.col("slot") == F.col("pool_start")).select(species, "pool_start", "pool_n"), "pool_runs")
+    pool = settle(pool.select(species, "slot", "pool_n", weight), "pool")
+    runs = settle(pool.where("slot = 0").select(species, "pool_n"), "pool_runs")
     columns = [*keys, *carry, species, count]
     rows = join_groups(counts.select(*columns).withColumn("tm_units", F.col(count).cast("bigint")), runs, [species])
-    drawn = F.col("pool_n").isNotNull() & (F.col("tm_units") > 0)
+    draws_any = F.coalesce(F.col("pool_n").isNotNull() & (F.col("tm_units") > 0), F.lit(False))
+    many = draws_any & (F.col("tm_units") > block)
     names = [f"tm_seed{i}" for i in range(8)]
-    blocks = spread_blocks(rows.where(drawn), "tm_units", keys, block)
-    seeded = with_draw_seeds(blocks, seed, [*keys, species], names)
-    slot = F.col("pool_start") + draw_slot([F.col(n) for n in names], F.col("tm_draw") % PRIME, F.col("pool_n"))
-    draws = expand_blocks(seeded, "tm_units", "tm_draw", block)
-    # never NULL here: saying so spares the join a second evaluation of the slot as a filter
-    draws = draws.select(*columns, F.coalesce(slot, F.lit(-1)).alias("slot"))
-    sums = draws.join(pool.select("slot", weight), "slot").groupBy(*columns).agg(F.sum(weight).alias(total))
-    others = rows.where(~F.coalesce(drawn, F.lit(False))).select(
-        *columns, F.when(F.col("tm_units") == 0, F.lit(0.0)).alias(total)
-    )
-    return stack_rows(sums, others)
+    heavy = spread_blocks(settle(rows.where(many), "heavy"), "tm_units", keys, block)
+    heavy = expand_blocks(with_draw_seeds(heavy, seed, [*keys, species], names), "tm_units", "tm_draw", block)
+    none = F.array(F.lit(0).cast("bigint"))
+    numbers = F.when(draws_any, F.sequence(F.lit(1).cast("bigint"), F.greatest("tm_units", F.lit(1)))).otherwise(none)
+    light = with_draw_seeds(rows.where(~many), seed, [*keys, species], names).withColumn("tm_draw", F.explode(numbers))
+    slot = draw_slot([F.col(n) for n in names], F.col("tm_draw") % PRIME, F.col("pool_n"))
+    # -1 is no member: a row without draws passes the join with a missing weight
+    found = F.coalesce(F.when(F.col("tm_draw") > 0, slot), F.lit(-1)).alias("slot")
+    draws = light.unionByName(heavy).select(*columns, "tm_units", found)
+    sums = join_groups(draws, pool.select(species, "slot", weight), [species, "slot"]).groupBy(*columns, "tm_units").agg(F.sum(weight).alias("tm_sum"))
+    return sums.select(*columns, F.when(F.col("tm_units") == 0, F.lit(0.0)).otherwise(F.col("tm_sum")).alias(total))
 
 
 def expected_total(

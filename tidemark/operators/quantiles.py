@@ -48,6 +48,8 @@ def exact_percentiles(
 ) -> DataFrame:
     """Percentiles by linear interpolation between order statistics; missing values are skipped.
 
+    Values are taken as double precision, so whole numbers beyond 2**53 are rounded to it first.
+
     Two scans of the needed columns, each reduced before it is shuffled: (group, bucket) counts,
     then (group, bucket, value) counts of the hit buckets. The largest unit one task sorts is
     the distinct values of one bucket of one group.
@@ -98,14 +100,23 @@ def _covers(first: str, last: str, rank: Column) -> Column:
     return (F.col(first) <= rank) & (rank < F.col(last))
 
 
-def box_summary(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5) -> DataFrame:
-    """Quartiles, whiskers to the last value within ``reach`` box lengths, and outlier count."""
+def _present(value: str) -> Column:
+    """Neither missing nor not-a-number: what quartiles, counts and outliers are about."""
+    return F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
+
+
+def box_summary(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5, moments: bool = False) -> DataFrame:
+    """Quartiles, whiskers to the last value within ``reach`` box lengths, and outlier count.
+
+    ``moments`` adds mean ``av`` and deviation ``sd`` of the same rows in the same pass.
+    """
     fenced = box_fences(df, by, value, reach)
     v = F.col(value)
+    extra = [F.avg(v).alias("av"), F.stddev_samp(v).alias("sd")] if moments else []
     within = v.between(F.col("tm_low"), F.col("tm_high"))
     box = [F.max(c).alias(c) for c in ("q1", "median", "q3")]
     return (
-        join_groups(df.where(v.isNotNull()).select(*by, value), fenced, by, "inner")
+        join_groups(df.where(_present(value)).select(*by, value), fenced, by, "inner")
         .groupBy(*by)
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -113,6 +124,7 @@ def box_summary(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.5
             F.min(F.when(within, v)).alias("whisker_low"),
             F.max(F.when(within, v)).alias("whisker_high"),
             F.count(F.when(~within, v)).alias("outliers"),
+            *extra,
         )
     )
 
@@ -134,4 +146,4 @@ def box_outliers(df: DataFrame, by: Sequence[str], value: str, reach: float = 1.
     """The rows that lie outside of their group's fences."""
     fenced = box_fences(df, by, value, reach).select(*by, "tm_low", "tm_high")
     outside = ~F.col(value).between(F.col("tm_low"), F.col("tm_high"))
-    return join_groups(df, fenced, by, "inner").where(outside).drop("tm_low", "tm_high")
+    return join_groups(df.where(_present(value)), fenced, by, "inner").where(outside).drop("tm_low", "tm_high")

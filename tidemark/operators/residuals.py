@@ -15,7 +15,6 @@ from tidemark.functions.tails import chi2_upper, f_upper, normal_two_sided
 from tidemark.operators.combine import join_groups
 from tidemark.operators.glm import Fit, fitted_mean
 from tidemark.operators.quantiles import box_summary
-from tidemark.operators.summaries import cell_summary
 from tidemark.session import settle
 
 CHUNK = 2048
@@ -183,8 +182,7 @@ def _normal_p_value(z: pd.Series) -> pd.Series:
 
 def residual_summary(df: DataFrame, residual: str, by: Sequence[str]) -> DataFrame:
     """Mean, deviation and box of the residuals per level of a factor or time."""
-    spread = cell_summary(df.where(F.col(residual).isNotNull()), by, residual).select(*by, "av", "sd")
-    return join_groups(box_summary(df, by, residual), spread, by, "inner")
+    return box_summary(df, by, residual, moments=True)
 
 
 def dispersion_of_rows(df: DataFrame, residual: str, by: Sequence[str]) -> DataFrame:
