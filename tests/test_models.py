@@ -349,6 +349,18 @@ def test_models_of_one_term(spark):
     assert empty.design.terms == () and empty.estimates["intercept"] == pytest.approx(math.log(3)) and dropped[0][-1]
 
 
+def test_power_at_the_end_of_the_grid_is_told(spark):
+    rng = np.random.default_rng(15)
+    rows = [(g, float(5 * (k + 1) + rng.normal())) for k, g in enumerate("pqr") for _ in range(300)]
+    design = crossed({"g": ["p", "q", "r"]})
+    cells = model_table(spark.createDataFrame(rows, "g string, y double"), design, "y")
+    with pytest.warns(UserWarning, match="end of the grid"):
+        assert tweedie_power(cells, ["g"]) == 1.1
+    flat = model_table(spark.createDataFrame([("p", 2.0), ("p", 2.0)], "g string, y double"), design, "y")
+    with pytest.warns(UserWarning, match="no group"):
+        tweedie_power(flat, ["g"])
+
+
 def test_tails_of_large_counts():
     from tidemark.operators.residuals import _count_tails
 

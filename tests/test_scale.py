@@ -1,6 +1,7 @@
 """Percentiles, pools and settled tables where a group is large, skewed or awkward."""
 
 import math
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -131,3 +132,14 @@ def test_bootstrap_reads_its_counts_once(spark, tables):
 
     plan = E.queries()["bootstrap_total"](spark, tables)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1
+
+
+def test_scratch_scope_removes_its_tables(spark, tmp_path):
+    from tidemark.session import scratch_scope
+
+    with scratch_scope(spark):
+        inner = settle(spark.range(5), "inner")
+        folder = inner.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+        assert Path(folder).exists()
+        inner.write.parquet(str(tmp_path / "kept"))
+    assert not Path(folder).exists() and spark.read.parquet(str(tmp_path / "kept")).count() == 5

@@ -273,22 +273,38 @@ def _moment_theta(fitted: DataFrame, mu: Column, estimates: int) -> float:
     ).first()
     spread = row["squares"] * row["rows"] / (row["rows"] - estimates)
     excess = (spread - row["first"]) / row["second"]
+    if excess < 1e-8:
+        warnings.warn("counts spread no more than a Poisson; theta is taken as 1e8", stacklevel=3)
     return 1.0 / max(excess, 1e-8)
 
 
 def tweedie_power(table: DataFrame, by: Sequence[str]) -> float:
-    """Power of the variance as the slope of ln(variance) on ln(mean) over groups of cells, on a grid."""
+    """Power of the variance, by a grid search over the profile likelihood of the group variances.
+
+    The variance of a group with m rows and mean a is taken as gamma with mean phi * a**p and
+    m - 1 degrees of freedom; phi is profiled out. All powers are judged in one pass over the
+    groups. A best power at an end of the grid, or groups without spread, give a warning.
+    """
     groups = table.groupBy(*by).agg(
         F.sum("n").alias("rows"),
         F.sum(F.col("n") * F.col("mean")).alias("total"),
         F.sum(F.col("ss") + F.col("n") * F.col("mean") * F.col("mean")).alias("squares"),
     ).where((F.col("rows") > 1) & (F.col("total") > 0))
     mean = F.col("total") / F.col("rows")
-    var = (F.col("squares") - F.col("total") * mean) / (F.col("rows") - 1)
-    slope = groups.where(var > 0).agg(F.regr_slope(F.ln(var), F.ln(mean)).alias("slope")).first()["slope"]
-    if slope is None or math.isnan(slope):
+    squares = F.greatest(F.col("squares") - F.col("total") * mean, F.lit(0.0))
+    free = F.col("rows") - 1
+    row = groups.agg(
+        F.sum(free).alias("free"),
+        F.sum(free * F.ln(mean)).alias("logs"),
+        *[F.sum(squares / F.pow(mean, F.lit(p))).alias(f"p{k}") for k, p in enumerate(POWER_GRID)],
+    ).first()
+    if not row["free"] or not row["p0"]:
+        warnings.warn("no group shows any spread; the power is taken as 1.5", stacklevel=2)
         return 1.5
-    return min(POWER_GRID, key=lambda p: abs(p - slope))
+    best = min(range(len(POWER_GRID)), key=lambda k: row["free"] * math.log(row[f"p{k}"]) + POWER_GRID[k] * row["logs"])
+    if best in (0, len(POWER_GRID) - 1):
+        warnings.warn(f"the best power, {POWER_GRID[best]}, is at the end of the grid", stacklevel=2)
+    return POWER_GRID[best]
 
 
 def dispersion_by_level(fit: Fit, by: Sequence[str]) -> DataFrame:

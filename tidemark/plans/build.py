@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.operators.allometry import curve_table
 from tidemark.plans import climate as C
@@ -31,6 +32,12 @@ def build_products(
         done[name] = spark.read.schema(df.schema).parquet(f"{out}/{name}")
         return done[name]
 
+    def contrast(name: str, df: DataFrame, value: str) -> None:
+        """The one-factor model of a value by site: coefficients and variance table."""
+        coefs, variances = C.site_contrast(df.where(F.col(value).isNotNull()), value, C.NATIVE_REGION)
+        keep(f"{name}_model", coefs)
+        keep(f"{name}_anova", variances)
+
     write_responses(bio_responses(raw["native"], raw["community"], raw["adults"], raw["start"]), f"{out}/bio_responses")
     responses = done["bio_responses"] = read_responses(spark, f"{out}/bio_responses")
     canopy = keep("canopy_clean", canopy_clean(raw["canopy"]))
@@ -44,6 +51,7 @@ def build_products(
 
     keep("size_weight_curves", fitted)
     keep("humidity_box", C.humidity_box(humidity))
+    contrast("humidity", humidity, "humidity")
     keep("littorina_abundance", G.littorina_abundance(abundance))
     keep("limpet_abundance", G.limpet_abundance(abundance))
     keep("biomass", G.biomass(biomass))
@@ -65,5 +73,7 @@ def build_products(
     if "native_temperature" in raw and "invaded_temperature" in raw:
         temperature = keep("temperature_clean", C.temperature_clean(raw["native_temperature"], raw["invaded_temperature"]))
         keep("temperature_band", C.temperature_band(temperature))
-        keep("logger_summary", C.logger_summary(temperature))
+        loggers = keep("logger_summary", C.logger_summary(temperature))
+        for value in [c for c in loggers.columns if c not in ("site", "number")]:
+            contrast(f"temperature_{value}", loggers, value)
     return done

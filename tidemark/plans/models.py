@@ -46,6 +46,7 @@ MODELS = [
     ModelPlan("littorina", "count", ["barnacles", "herbivores"], 3, "negbin1", dispersion=["barnacles"]),
     ModelPlan("siphonaria", "count", ["barnacles"], 2, "negbin1", blocks=False),
     ModelPlan("ephemerals", "percent_cover", ["herbivores", "barnacles", "location"], 2, "tweedie"),
+    ModelPlan("perennials_first", "percent_cover", ["barnacles", "location", "herbivores"], 3, "tweedie", dispersion=["location"]),
     ModelPlan("perennials", "logit_pc", ["barnacles", "location", "herbivores"], 3, "gaussian", dispersion=["location", "barnacles"]),
     ModelPlan("canopy", "percent_cover", ["barnacles", "herbivores"], 3, "tweedie"),
     ModelPlan("balanus", "count", ["location", "barnacles", "herbivores"], 3, "negbin2", dispersion=["location", "herbivores"]),
@@ -77,7 +78,10 @@ def fit_plan(plan: ModelPlan, df: DataFrame, by_dispersion: bool = False) -> Fit
     if plan.family == "tweedie":
         family = Family("tweedie", power=tweedie_power(table, [*plan.factors, "timediff"]))
     fit = fit_glm(table, design, family)
-    return refit_by_dispersion(fit, plan.dispersion) if by_dispersion and plan.dispersion else fit
+    if not (by_dispersion and plan.dispersion):
+        return fit
+    # a dispersion that follows time is a trend, not a level for each date
+    return refit_by_dispersion(fit, plan.dispersion, along="timediff" if "timediff" in plan.dispersion else None)
 
 
 def simplified(fit: Fit) -> tuple[Fit, DataFrame]:

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _LOCAL_FOLDERS: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
-def local_session(cores: int | str = "*", app: str = "tidemark", driver_memory: str = "16g") -> SparkSession:
+def local_session(cores: int | str = "*", app: str = "tidemark", driver_memory: str = "8g") -> SparkSession:
     """A session for tests and the bench. On a cluster, submit with its own settings instead."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
@@ -54,5 +57,20 @@ def settle(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    for scope in _SCOPES[-1:]:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables settled inside it at its end, when what follows from them has been written."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _SCOPES.pop():
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
