@@ -1,5 +1,31 @@
 """SQL counterparts of the queries that SQL can express."""
 
+OP2 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
+twice AS (SELECT doc_id, unnest(list(i)) AS i FROM wins GROUP BY doc_id, win HAVING count(*) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM twice) GROUP BY doc_id),
+cut AS (SELECT doc_id, string_split(t, chr(10)) AS l FROM d),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM cut),
+words AS (SELECT doc_id, line, i, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+facts AS (SELECT *, len(w) AS n, len(list_filter(range(1, len(w)), lambda k: w[k] = w[k + 1])) AS same,
+  len(regexp_extract_all(line, '[#*$%&|<>]{2,}')) AS runs,
+  len(list_filter(w, lambda x: x IN ('|', '»', '›', '·', '•', '::', '>', '<', '/'))) AS seps,
+  length(regexp_replace(line, '[^A-Z]', '', 'g')) AS capitals, length(regexp_replace(line, '[^A-Za-z]', '', 'g')) AS letters,
+  row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS nth FROM words),
+judged AS (SELECT doc_id, n, nth, (n < 4 AND NOT regexp_matches(w[-1], '[.!?:;…。！？"'')\]”’»]$'))
+  OR (n >= 8 AND 100 * same > 30 * n) OR 100 * runs >= 30 * n OR (seps >= 3 AND 100 * seps >= 20 * n)
+  OR (n <= 15 AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'all rights reserved|cookie policy|privacy policy|terms of use|terms of service|click here|read more|sign up|log in|enable javascript|subscribe to our newsletter|skip to content|back to top'))
+  OR (letters >= 20 AND 100 * capitals > 60 * letters AND 2 * capitals > strlen(line) // 4) AS fails FROM facts),
+sums AS (SELECT doc_id, sum(n) FILTER (fails) AS lost, count(*) FILTER (nth > 1) AS again FROM judged GROUP BY doc_id),
+base AS (SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(again, 0)::BIGINT AS n_dup_lines,
+  coalesce(covered.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN sums USING (doc_id)),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT * EXCLUDE (lost), NOT base_failed AND 100 * lost <= 50 * n_words AS kept FROM failed
+"""
+
 OP3 = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
@@ -68,6 +94,7 @@ SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = c
 """
 
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": OP2,
     "op3_near_dup": OP3,
     "op6_substring_dedup": OP6,
     "op7_line_dedup": OP7,
