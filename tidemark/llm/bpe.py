@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from tidemark.llm.common import map_texts
 
 #: The splitting rule of byte-level vocabularies, with white space as Unicode lists it.
-SPACE = r"\t-\r \x85\xa0  -     　"
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 
 #: A space next to white space or at either end.
