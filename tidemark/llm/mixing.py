@@ -52,12 +52,10 @@ def source_rates(docs: DataFrame, weights: DataFrame | None, source_col: str, te
     else:
         wanted = weights.select(F.col("source").alias("named"), F.col("weight").cast("double").alias("weight"))
         weighted = held.join(wanted, F.col("source").eqNullSafe(F.col("named")), "left").select("source", "bytes", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    sums = weighted.agg(F.sum("weight").alias("w"), F.sum("bytes").alias("b"))
-    total = F.lit(float(amount)) if amount is not None else F.col("b")
-    rated = weighted.crossJoin(sums).select(  # one row of sums
-        "source",
-        F.when(F.col("weight") <= 0, 0.0).when(F.col("bytes") == 0, 1.0).otherwise(F.col("weight") / F.col("w") * total / F.col("bytes")).alias("rate"),
-    )
+    all_weights = weighted.agg(F.sum("weight").alias("w")).scalar()
+    total = F.lit(float(amount)) if amount is not None else weighted.agg(F.sum("bytes").alias("b")).scalar()
+    rate = F.col("weight") / all_weights * total / F.col("bytes")
+    rated = weighted.select("source", F.when(F.col("weight") <= 0, 0.0).when(F.col("bytes") == 0, 1.0).otherwise(rate).alias("rate"))
     drawn = rated.withColumn("draws", F.ceil(F.col("rate") / STEP).cast("int"))
     return drawn.withColumn("table", F.when(F.col("rate") > 0, poisson_table(F.col("rate") / F.col("draws"))))
 
