@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import digest, encode
 from tidemark.llm.line_dedup import remove_boilerplate
 from tidemark.llm.mixing import mix_sources
-from tidemark.llm.near_dup import near_duplicates
+from tidemark.llm.near_dup import one_of_each
 from tidemark.llm.quality_rules import clean_documents
 from tidemark.llm.queries import VOCABULARY
 from tidemark.session import settle
@@ -36,8 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8) stays: the smallest id."""
-    kept = near_duplicates(docs, pct=80, width=5).where("kept").select(F.col("doc_id").alias("own")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("own")), "left_semi")
+    return one_of_each(docs, pct=80, width=5)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,3 +53,25 @@ def test_line_stage_takes_furniture_of_several_lines_and_hot_copies(make):
     left = {r["doc_id"]: r["text"] for r in P.lines(None, make(rows, clash=False), "").collect()}
     assert [k for k, text in left.items() if "of three" in text] == [0]
     assert [k for k, text in left.items() if "hot line" in text] == [100]
+
+
+def test_near_copies_stage_leaves_one_row_of_each_group(make):
+    page = lambda t, k=0: " ".join(f"{t}{j}" for j in range(60)) + f" end{k}"
+    rows = [(None, page("a", k)) for k in range(5)]  # a group without ids
+    rows += [(None, page("b"))] * 4 + [(7, page("b", 1)), (7, page("b", 2)), (9, page("b"))]  # null and repeated ids
+    rows += [(8, page("c"))] * 3 + [(8, page("d")), (5, page("e")), (5, page("e", 1))]  # repeated rows, one id with several texts
+    rows += [(None, None), (None, ""), (None, " "), (20, " "), (20, " ")]  # no words: linked with nothing
+    left = P.near_copies(None, make(rows), "")
+    assert left.columns == make(rows).columns
+    found = [(r["doc_id"], r["text"]) for r in left.collect()]
+    by = {t: [x for x in found if (x[1] or "").startswith(f"{t}0 ")] for t in "abcde"}
+    assert {t: len(x) for t, x in by.items()} == dict.fromkeys("abcde", 1)
+    assert [by[t][0][0] for t in "abcde"] == [None, 7, 8, 8, 5]
+    assert sorted((x for x in found if not (x[1] or "").strip()), key=str) == sorted(rows[-5:], key=str)
+    assert len(found) == 10
+
+
+def test_near_copies_stage_chooses_the_same_repeated_row(spark):
+    rows = [(1, "some words here", "en", f"s{k}", 15) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert len({tuple(P.near_copies(None, docs.repartition(n), "").collect()[0]) for n in (1, 3)}) == 1

@@ -19,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 #: Texts are handed to Python code in slices of about so many bytes, so memory follows neither
 #: the Arrow batch size nor the size of the other texts. A longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: A byte of a word, as a pattern for Spark.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def texts_of(column: pa.Array) -> list[bytes]:

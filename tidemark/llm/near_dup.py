@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import hash_words, map_texts, mix, texts_of, windows
+from tidemark.llm.common import WORD, hash_words, map_texts, mix, shadowed, texts_of, windows
 from tidemark.llm.components import components
 from tidemark.session import settle
 
@@ -322,21 +322,14 @@ def _paired(members: DataFrame, parts: int) -> DataFrame:
     return rows.withColumn("group", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(groups)))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 80, width: int = 5) -> DataFrame:
-    """Per document its id (long), ``n_shingles``, ``component_id`` and ``kept``.
-
-    Documents are linked when 100 * intersection >= pct * union of their shingle sets, and
-    ``component_id`` is the smallest id that links reach, ``kept`` whether it is the own id. Texts
-    without words are linked with nothing. Rows with the same id and text (repeated rows) are all
-    kept or all not. A null id is never the smallest; where no document of a group has an id,
-    ``component_id`` is null and all are kept. Columns other than these two are not read.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, pct: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """The sketch of every document, and the classes (fp, least, rep) with the ``root`` of their group."""
     similarity = pct / 100
     bands = bands_for(similarity)
     size = bands * ROWS
     sketches = settle(_sketches(docs, id_col, text_col, width, size), "sketches")
     classes = settle(
-        sketches.where("n > 0").groupBy("fp").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers")),
+        sketches.where("n > 0").groupBy("fp").agg(F.min("doc").alias("least"), F.min(F.struct(F.col("doc").isNull().alias("no_id"), "doc", "text_hash")).alias("rep"), F.first("n").alias("n"), F.first("registers").alias("registers")),
         "classes",
     )
     # Registers are 2 bytes; substring counts from 1.
@@ -365,9 +358,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = settle(corpus.bridged(active.join(labelled, ["hub", "node"])), "links")
     roots = components(first.union(more))
 
-    own = classes.select("fp", "least").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return sketches, classes.select("fp", "least", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 80, width: int = 5) -> DataFrame:
+    """Per document its id (long), ``n_shingles``, ``component_id`` and ``kept``.
+
+    Documents are linked when 100 * intersection >= pct * union of their shingle sets, and
+    ``component_id`` is the smallest id that links reach, ``kept`` whether it is the own id. Texts
+    without words are linked with nothing. Rows with the same id and text (repeated rows) are all
+    kept or all not. A null id is never the smallest; where no document of a group has an id,
+    ``component_id`` is null and all are kept. Columns other than these two are not read.
+    """
+    sketches, own = _grouped(docs, id_col, text_col, pct, width)
     smallest = own.groupBy("root").agg(F.min("least").alias("component_id"))
     found = own.join(smallest, "root").select("fp", "component_id")
     labelled_docs = sketches.select("doc", "n", "fp").join(found, "fp", "left")
     component = F.when(F.col("n") == 0, F.col("doc")).otherwise(F.col("component_id"))
     return labelled_docs.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc").eqNullSafe(component).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 80, width: int = 5) -> DataFrame:
+    """The documents, all columns, without near copies: exactly one row of each group that ``near_duplicates`` finds.
+
+    It is the row with the smallest id, of these the one with the smallest text hash; a null id
+    counts as larger than any other. Of repeated rows with this id and text one stays, whichever
+    columns they differ in. Texts without words have no copies and all stay.
+    """
+    sketches, own = _grouped(docs, id_col, text_col, pct, width)
+    rows = sketches.where("n > 0").groupBy("doc", "text_hash").agg(F.count("*").alias("rows"))
+    first = own.groupBy("root").agg(F.min("rep").alias("rep")).select("rep.doc", "rep.text_hash")
+    same = F.col("doc").eqNullSafe(F.col("one_doc")) & (F.col("text_hash") == F.col("one_hash"))
+    kept = settle(rows.join(first.select(F.col("doc").alias("one_doc"), F.col("text_hash").alias("one_hash")), same).select("one_doc", "one_hash", "rows"), "kept")
+
+    renamed, names = shadowed(docs)
+    body = F.coalesce(F.col(names[text_col]).cast("string"), F.lit(""))
+    keyed = renamed.withColumns({"doc": F.col(names[id_col]).cast("long"), "text_hash": F.xxhash64(body)})
+    worded = keyed.where(body.rlike(WORD))
+    single = worded.join(kept.where("rows = 1"), same, "left_semi").select(*names.values())
+    # Only repeated rows are aggregated; the hash makes the choice the same in every run. Their list
+    # is a table of its own, so that Spark knows its size: where it is small, no text moves for it.
+    again = worded.join(settle(kept.where("rows > 1"), "repeated"), same, "left_semi")
+    one = again.groupBy("doc", "text_hash").agg(F.min_by(F.struct(*names.values()), F.xxhash64(*names.values())).alias("row")).select("row.*")
+    left = single.unionByName(one).unionByName(keyed.where(~body.rlike(WORD)).select(*names.values()))
+    return left.select(*[F.col(own_name).alias(c) for c, own_name in names.items()])
