@@ -84,3 +84,27 @@ def test_components(spark):
     path = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7)]
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(path, "a long, b long")).collect()}
     assert found == {k: 0 for k in range(1, 41)} | {100 + k: 100 for k in range(1, 30)}
+
+
+def test_likelihood_drops_no_more_than_the_bands_miss():
+    from math import lgamma
+
+    for limit in (0.8, 0.85):
+        size = N.bands_for(limit) * N.ROWS
+        for larger in (1.0, (1 / limit) ** 0.5, 1 / limit):  # sets of sizes 1 and this, similarity at the limit
+            u = 1 / (1 + larger)
+            chance = lambda x: -np.log1p(-x * (N.BASE - 1) / N.BASE) / np.log(N.BASE)
+            p, q = max(chance(u - (1 - u) * limit), 0.0), max(chance(1 - u - u * limit), 0.0)
+            above, below = (x.ravel() for x in np.meshgrid(np.arange(size + 1), np.arange(size + 1)))
+            fits = above + below <= size
+            above, below = above[fits], below[fits]
+            ways = np.vectorize(lgamma)
+            log = lambda n, x: np.where(n == 0, 0.0, n * np.log(max(x, 1e-300)))
+            level = size - above - below
+            mass = np.exp(lgamma(size + 1) - ways(above + 1) - ways(below + 1) - ways(level + 1) + log(above, p) + log(below, q) + log(level, 1 - p - q))
+            some = mass > 1e-16
+            above, below, mass = above[some], below[some], mass[some]
+            at = np.arange(size)
+            a = np.where(at < above[:, None], 2, np.where(at < (above + below)[:, None], 0, 1))
+            found = N.estimate(a, np.ones_like(a), np.full(len(a), 1.0), np.full(len(a), larger))
+            assert abs(mass.sum() - 1) < 1e-9 and mass[found < N.worth(limit, size)].sum() <= N.MISS

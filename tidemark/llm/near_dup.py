@@ -13,7 +13,7 @@ by maximum and are equal in two sketches with about the sets' Jaccard similarity
    choice of hubs, and what leaves a block is never more than its members.
 
 The number of bands follows from the threshold: a pair at the threshold shares no bucket with a
-probability below ``MISS``. Blocks bound what a task holds, however large a bucket is.
+probability below ``MISS``, and the likelihood drops it with a probability below ``MISS``. Blocks bound what a task holds, however large a bucket is.
 """
 
 from __future__ import annotations
@@ -36,7 +36,6 @@ RATE = 20.0
 TOP = 65535
 ROWS = 5  # registers in a band
 MISS = 1e-8
-SIGMAS = 5.0  # estimates may be so many standard errors below the threshold
 BLOCK = 512  # members of a hub in a block
 GROUP_PAIRS = 1000
 GROUP_ROWS = 4000
@@ -121,8 +120,18 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def worth(similarity: float, size: int) -> float:
-    """Estimates below this cannot come from a pair that reaches the similarity."""
-    return similarity - SIGMAS * math.sqrt(similarity * (1 - similarity) / size)
+    """Estimates below this come from a pair that reaches the similarity with a probability below MISS.
+
+    Level registers of a pair at the threshold are binomial; the cut lies half a register below
+    the exact quantile.
+    """
+    low, level = 0.0, 0
+    while True:
+        ways = math.lgamma(size + 1) - math.lgamma(level + 1) - math.lgamma(size - level + 1)
+        low += math.exp(ways + level * math.log(similarity) + (size - level) * math.log1p(-similarity))
+        if low > MISS:
+            return (level - 0.5) / size
+        level += 1
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, size: int) -> DataFrame:
