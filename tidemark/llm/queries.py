@@ -1,4 +1,4 @@
-"""The ten operators as queries over the driver's tables, each over its whole table."""
+"""The operators as queries over the driver's tables, each over its whole table."""
 
 from __future__ import annotations
 
@@ -99,6 +99,20 @@ def op10_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_vectors(table(spark, folder, "embeddings"), cosine=0.93)
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Code and error of every vector under codebooks of eight parts after six rounds."""
+    from tidemark.llm.vector_codes import vector_codes
+
+    return vector_codes(table(spark, folder, "embeddings"), positions=8, entries=16, rounds=6, scale=4096)
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The strongest phrases of two to five words of every language."""
+    from tidemark.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"), threshold=100, longest=5, top=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -110,4 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_model": op9_quality_model,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_collocations": op12_collocations,
 }

@@ -93,6 +93,49 @@ counts AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
 SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM least LEFT JOIN counts USING (vec_id)
 """
 
+def _vector_codes(rounds: int = 6) -> str:
+    """Every round spelt out: distances to all entries, nearest by (distance, index), means rounded down."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""near{r} AS MATERIALIZED (SELECT vec_id, p, any_value(x) AS x, min({{'d': d, 'k': k}}) AS best
+  FROM (SELECT vec_id, a.p, k, a.x, list_sum(list_transform(range(1, 9), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i]))) AS d FROM parts a JOIN book{r} b ON a.p = b.p) GROUP BY vec_id, p)""")
+        if r < rounds:
+            steps.append(f"""mean{r} AS (SELECT p, best.k AS k, list_transform(range(1, 9), lambda i: list_sum(list_transform(list(x), lambda y: y[i]))) AS s, count(*) AS n FROM near{r} GROUP BY ALL),
+book{r + 1} AS MATERIALIZED (SELECT b.p, b.k, CASE WHEN n IS NULL THEN x ELSE list_transform(s, lambda t: ((t - ((t % n) + n) % n) // n)::BIGINT) END AS x FROM book{r} b LEFT JOIN mean{r} m ON b.p = m.p AND b.k = m.k)""")
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, p, list_slice(e, 8 * p + 1, 8 * p + 8) AS x FROM v, range(8) t(p)),
+firsts AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v ORDER BY vec_id LIMIT 16),
+book0 AS MATERIALIZED (SELECT p, k, x FROM parts JOIN firsts USING (vec_id)),
+{",".join(steps)},
+codes AS (SELECT vec_id, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY vec_id),
+labelled AS (SELECT codes.*, label FROM codes JOIN v USING (vec_id)),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, k)) AS h FROM book{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM labelled, books
+"""
+
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+words AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+runs AS (SELECT lang, width, unnest(list_transform(range(1, len(w) - width + 2), lambda i: array_to_string(w[i:i + width - 1], ' '))) AS phrase
+  FROM words, range(1, 6) t(width) WHERE len(w) >= width),
+f AS MATERIALIZED (SELECT lang, width, phrase, count(*) AS a FROM runs GROUP BY ALL HAVING count(*) >= 100),
+inner_ones AS (SELECT DISTINCT s.lang, s.phrase FROM f s JOIN f q ON s.lang = q.lang AND q.width = s.width + 1 AND q.a = s.a
+  AND (array_to_string(string_split(q.phrase, ' ')[:-2], ' ') = s.phrase OR array_to_string(string_split(q.phrase, ' ')[2:], ' ') = s.phrase)),
+own AS (SELECT * FROM f WHERE width > 1 AND NOT EXISTS (SELECT 1 FROM inner_ones i WHERE i.lang = f.lang AND i.phrase = f.phrase)),
+cuts AS (SELECT lang, phrase, a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS head, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, width)) AS k FROM own)),
+scored AS (SELECT cuts.lang, cuts.phrase, cuts.a, k, h.a AS l, t.a AS r, n, ((1000::HUGEINT * cuts.a * n) // (h.a::HUGEINT * t.a))::BIGINT AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail JOIN totals ON totals.lang = cuts.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM lowest)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2,
     "op3_near_dup": OP3,
@@ -100,4 +143,6 @@ ORACLES: dict[str, str] = {
     "op7_line_dedup": OP7,
     "op8_mixing": OP8,
     "op10_embedding_dedup": OP10,
+    "op11_vector_codes": _vector_codes(),
+    "op12_collocations": OP12,
 }
