@@ -113,6 +113,16 @@ def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations(table(spark, folder, "documents"), threshold=100, longest=5, top=2000)
 
 
+def op13_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    """Log-probability of every document under a suffix tree learnt from the documents that are not held out; a null id is held out."""
+    from tidemark.llm.suffix_tree import learn, score
+
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
+    scored = score(docs, learn(docs.where(~held_out)), keep=["doc_id"])
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -126,4 +136,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_vector_codes": op11_vector_codes,
     "op12_collocations": op12_collocations,
+    "op13_lm_score": op13_lm_score,
 }
