@@ -9,12 +9,17 @@ activates nothing more.
 What has reached the threshold is sent to the scans as a filter of bounded size; a phrase is active
 where the filter holds both subphrases, and has had its cycle where the filter of one cycle ago held
 both. The filter only grows, so each phrase is counted in each shard exactly once. Its false
-positives are counted in vain and change no result; counts are grouped by the phrases themselves.
+positives are counted in vain and change no result.
+
+In the cycle phrases are 64-bit hashes, and their counts are packed columns of a bucket of hashes;
+those that have had their cycle leave them. A last scan spells the frequent phrases and takes their
+counts from the phrases themselves, so that no count rests on a hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,12 +28,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix, slices
-from tidemark.llm.ngrams import Filter, Words, longer, room, words_of
-from tidemark.session import settle
+from tidemark.llm.ngrams import SLICE_BYTES, Filter, Words, added, buckets_for, count_keys, heads, longer, pack, pack_sorted, room, unpack, unpack_sorted, words_of
+from tidemark.session import scratch_path, settle
 
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
 SHARDS = 3
-SLICE_BYTES = 4 << 20
 #: Rows of a language are ranked within so many groups, then the best of those within fewer.
 RANK_GROUPS = (4096, 64, 1)
 COUNTED = "lang string, width int, phrase string, n long"
@@ -48,76 +52,123 @@ def _word_keys(words: Words, langs: list[str]) -> np.ndarray:
     return mix(words.hashes + seeds[words.text])
 
 
-def active_runs(words: Words, langs: list[str], longest: int, now: Filter, past: Filter, first_cycle: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(width, positions, keys) of the occurrences of phrases that are to be counted in this step."""
+def _tagged(run: np.ndarray, width: int) -> np.ndarray:
+    """The key of a run: its hash with the number of its words in the last three bits."""
+    return run & np.uint64(2**64 - 8) | np.uint64(width)
+
+
+def active_runs(words: Words, langs: list[str], longest: int, now: Filter, past: Filter | None, first_cycle: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(width, positions, keys) of the occurrences of phrases whose subphrases ``now`` holds and ``past`` does not."""
     word = _word_keys(words, langs)
     run, at = word, np.arange(len(word))
     if first_cycle:
-        yield 1, at, word
-    here, before = now.holds(word), past.holds(word)
+        yield 1, at, _tagged(word, 1)
     for width in range(2, longest + 1):
-        frequent, old = np.zeros(len(word) + 1, bool), np.zeros(len(word) + 1, bool)
+        here = now.holds(run)
+        frequent = np.zeros(len(word) + 1, bool)
         frequent[at[here]] = True
-        old[at[before]] = True
-        fits = (at + width <= len(word)) & here & frequent[at + 1]
+        fits = here & frequent[at + 1] & (at + width <= len(word))
+        known = past.holds(run[here]) if past else None
+        if past:
+            old = np.zeros(len(word) + 1, bool)
+            old[at[here]] = known
         at, run = at[fits], run[fits]
         inside = words.piece[at + width - 1] == words.piece[at]
         at, run = at[inside], run[inside]
         run = longer(run, word[at + width - 1])
-        new = ~(old[at] & old[at + 1])
-        yield width, at[new], run[new]
-        if width < longest:
-            here, before = now.holds(run), past.holds(run)
+        if past:
+            new = ~(old[at] & old[at + 1])
+            yield width, at[new], _tagged(run[new], width)
+        else:
+            yield width, at, _tagged(run, width)
+
+
+def _scan(texts: DataFrame, buckets: int, longest: int, now: Filter, past: Filter | None, first_cycle: bool):
+    """Packed counts of what is active in these texts, and the broadcast that they need."""
+    shared = texts.sparkSession.sparkContext.broadcast((now, past))
+
+    def build():
+        own, old = shared.value
+
+        def take(batch: pa.RecordBatch, first: int, texts: list[bytes]) -> Iterator[np.ndarray]:
+            langs = batch.column("lang").slice(first, len(texts)).to_pylist()
+            words = words_of(texts, BLANKS, BREAKS)
+            for _, _, keys in active_runs(words, langs, longest, own, old, first_cycle):
+                yield keys
+
+        return take
 
+    return count_keys(texts.select("text", "lang"), buckets, build), shared
 
-def _scan(texts: DataFrame, longest: int, now: Filter, past: Filter, first_cycle: bool) -> DataFrame:
-    """Counts per slice of texts: (lang, width, phrase, n); width 0 has the number of words."""
-    context = texts.sparkSession.sparkContext
-    shared = context.broadcast((now.bits, now.words, past.words))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, old = Filter(6), Filter(6)
-        own.bits, own.words, old.words = shared.value
-        old.bits = own.bits
+STATE = "bucket int, keys binary, n binary, first binary, passed binary"
+
+
+def _merge(step: int, shards: int, threshold: int):
+    """Adds the counts of a step to those of a bucket: what has had its cycle leaves, what has just reached the threshold is named."""
+
+    def run(table: pa.Table) -> pa.Table:
+        old = table.filter(table.column("first").is_valid())
+        keys, n = added(table.filter(table.column("first").is_null()))
+        first = np.full(len(keys), step, np.int64)
+        before = np.zeros(len(keys), np.int64)
+        for row in old.to_pylist():
+            was = unpack(row["n"], "<i8")
+            keys, n, before = np.concatenate([keys, unpack_sorted(row["keys"])]), np.concatenate([n, was]), np.concatenate([before, was])
+            first = np.concatenate([first, unpack(row["first"], "<u2").astype(np.int64)])
+        order = np.argsort(keys)
+        at = heads(keys[order])
+        keys = keys[order][at]
+        if len(at):
+            n, before, first = np.add.reduceat(n[order], at), np.add.reduceat(before[order], at), np.minimum.reduceat(first[order], at)
+        passed = keys[(n >= threshold) & (before < threshold)]
+        stay = first > step - shards + 1
+        packed = [pack_sorted(keys[stay]), pack(n[stay]), pack(first[stay].astype("<u2")), pack_sorted(passed)]
+        return pa.table([table.column("bucket").slice(0, 1), *[pa.array([p], pa.binary()) for p in packed]], names=["bucket", "keys", "n", "first", "passed"])
+
+    return run
+
+
+def _passed(state: DataFrame, widest: int) -> DataFrame:
+    """The keys named in a step, of phrases of up to ``widest`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            for first, part in slices(batch.column("text"), SLICE_BYTES):
-                names = langs[first : first + len(part)]
-                words = words_of(part, BLANKS, BREAKS)
-                if not len(words.start):
-                    continue
-                if first_cycle:
-                    totals: dict[str, int] = {}
-                    for lang, n in zip(names, np.bincount(words.text, minlength=len(names)).tolist()):
-                        totals[lang] = totals.get(lang, 0) + n
-                    yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals)), pa.array(list(totals.values()), pa.int64())], names=["lang", "width", "phrase", "n"])
-                for width, at, keys in active_runs(words, names, longest, own, old, first_cycle):
-                    if not len(at):
-                        continue
-                    _, where, n = np.unique(keys, return_index=True, return_counts=True)
-                    seen = at[where]
-                    which = pa.DictionaryArray.from_arrays(pa.array(words.text[seen].astype(np.int32)), pa.array(names)).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([which, pa.array(np.full(len(seen), width, np.int32)), pa.array(words.spelt(seen, width), pa.binary()).cast(pa.string()), pa.array(n)], names=["lang", "width", "phrase", "n"])
+            for packed in batch.column("passed").to_pylist():
+                keys = unpack_sorted(packed)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[(keys & np.uint64(7)) <= np.uint64(widest)].view(np.int64))], names=["key"])
 
-    return texts.select("lang", "text").mapInArrow(count, COUNTED)
+    return state.select("passed").mapInArrow(run, "key long")
 
 
-def _keys(phrases: DataFrame, longest: int) -> DataFrame:
-    """Filter keys of phrases, as the scans compute them."""
+def _spelt(texts: DataFrame, longest: int, frequent: Filter) -> DataFrame:
+    """Counts per slice of the phrases that the filter holds: (lang, width, phrase, n); width 0 has the number of words."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    names = ["lang", "width", "phrase", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, widths = batch.column("lang").to_pylist(), batch.column("width").to_numpy()
-            words = words_of([p.encode() for p in batch.column("phrase").to_pylist()], BLANKS, BREAKS)
-            word = _word_keys(words, langs)
-            first = np.cumsum(widths) - widths
-            key = word[first]
-            for k in range(1, longest):
-                more = widths > k
-                key[more] = longer(key[more], word[first[more] + k])
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+            for first, part in slices(batch.column("text"), SLICE_BYTES):
+                langs = batch.column("lang").slice(first, len(part)).to_pylist()
+                words = words_of(part, BLANKS, BREAKS)
+                if not len(words.start):
+                    continue
+                totals: dict[str, int] = {}
+                for lang, n in zip(langs, np.bincount(words.text, minlength=len(langs)).tolist()):
+                    totals[lang] = totals.get(lang, 0) + n
+                yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals)), pa.array(list(totals.values()), pa.int64())], names=names)
+                for width, at, keys in active_runs(words, langs, longest, shared.value, None, True):
+                    held = shared.value.holds(keys)
+                    at, keys = at[held], keys[held]
+                    if not len(at):
+                        continue
+                    order = np.argsort(keys)
+                    where = heads(keys[order])
+                    seen, n = at[order[where]], np.diff(where, append=len(at))
+                    lang = pa.DictionaryArray.from_arrays(pa.array(words.text[seen].astype(np.int32)), pa.array(langs)).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(seen), width, np.int32)), pa.array(words.spelt(seen, width), pa.binary()).cast(pa.string()), pa.array(n)], names=names)
 
-    return phrases.select("lang", "width", "phrase").mapInArrow(run, "key long")
+    return texts.select("lang", "text").mapInArrow(run, COUNTED)
 
 
 def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, threshold: int, longest: int, shards: int = SHARDS) -> DataFrame:
@@ -125,48 +176,34 @@ def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, threshold: i
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).cast("string").alias("text")).where("text <> ''")
     dealt = texts.withColumn("shard", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int"))
-    path = f"{settle_shards(dealt)}"
+    path = scratch_path(spark, "shards")
+    dealt.write.option("compression", "zstd").partitionBy("shard").parquet(path)
     stored = spark.read.schema("lang string, text string, shard int").parquet(path)
     size = stored.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    # Of each width below the longest, at most words / threshold phrases are frequent; words of text take some 5 bytes.
-    empty = Filter(room((longest - 1) * size / 5 / threshold))
-    filters = [empty]
-    known = [spark.createDataFrame([], COUNTED)]
-    running = spark.createDataFrame([], COUNTED + ", first int, marked boolean")
+    buckets = buckets_for(size)
+    # Of each width at most words / threshold phrases are frequent; a word of text takes some 5 bytes.
+    bits = room(longest * size / 5 / threshold)
+    filters: list[Filter | None] = [Filter(bits)]
+    states: list[DataFrame] = []
     step, grew = 0, []
     while True:
-        past = filters[step - shards] if step >= shards else empty
-        scanned = _scan(stored.where(F.col("shard") == step % shards), longest, filters[step], past, step < shards)
-        both = running.unionByName(scanned.withColumns({"first": F.lit(step), "marked": F.lit(False)}))
-        merged = settle(both.groupBy("lang", "width", "phrase").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("marked").alias("marked")), f"counts{step}")
-        passed = F.col("n") >= threshold
-        fresh = merged.where(passed & ~F.col("marked") & F.col("width").between(1, longest - 1))
-        after = filters[step].with_keys(_keys(fresh, longest))
-        grew.append(not np.array_equal(after.words, filters[step].words))
-        filters.append(after)
+        past = filters[step - shards] if step >= shards else Filter(bits)
+        scanned, shared = _scan(stored.where(F.col("shard") == step % shards), buckets, longest, filters[step], past, step < shards)
+        both = scanned.withColumn("first", F.lit(None).cast("binary"))
+        if states:
+            both = both.unionByName(states[-1].select(*both.columns))
+        states.append(settle(both.groupBy("bucket").applyInArrow(_merge(step, shards, threshold), STATE), f"counts{step}"))
+        shared.unpersist()
+        filters.append(filters[step].with_keys(_passed(states[-1], longest - 1)))
+        grew.append(not np.array_equal(filters[-1].words, filters[-2].words))
         if step >= shards:
             filters[step - shards] = None
-        reported = passed | (F.col("width") == 0)
-        over = F.col("first") <= step - shards + 1
         if step >= shards - 1 and not any(grew[-shards:]):
-            known.append(merged.where(reported).select(*known[0].columns))
             break
-        known.append(merged.where(over & reported).select(*known[0].columns))
-        running = merged.where(~over).withColumn("marked", F.col("marked") | passed)
         step += 1
-    result = known[0]
-    for part in known[1:]:
-        result = result.unionByName(part)
-    return settle(result.groupBy("lang", "width", "phrase").agg(F.sum("n").alias("n")), "phrases")
-
-
-def settle_shards(dealt: DataFrame) -> str:
-    """Write the texts once, a folder per shard; returns the path."""
-    from tidemark.session import scratch_path
-
-    path = scratch_path(dealt.sparkSession, "shards")
-    dealt.write.partitionBy("shard").parquet(path)
-    return path
+    every = Filter(bits).with_keys(_passed(reduce(DataFrame.unionByName, states), longest))
+    counted = _spelt(stored, longest, every).groupBy("lang", "width", "phrase").agg(F.sum("n").alias("n"))
+    return settle(counted.where((F.col("n") >= threshold) | (F.col("width") == 0)), "phrases")
 
 
 def _best(ranked: DataFrame, order: list[Column], top: int) -> DataFrame:
