@@ -54,13 +54,13 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha25
 """
 
 OP7 = r"""
-WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
-each AS (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM d),
-lines AS (SELECT doc_id, source, i, l[i] AS line, coalesce(l[i - 1], chr(1)) AS a, coalesce(l[i + 1], chr(1)) AS b, i > 1 AS has_a,
-  regexp_matches(l[i], '[^\x20\x09-\x0D]') AS word FROM each),
-common AS (SELECT line, min(doc_id) AS first_doc FROM lines WHERE word GROUP BY line
-  HAVING count(DISTINCT source) >= 10 AND count(DISTINCT (a, b, has_a)) >= 0.5 * count(*)),
-marked AS (SELECT lines.*, first_doc IS NOT NULL AND first_doc <> doc_id AS gone FROM lines LEFT JOIN common ON word AND lines.line = common.line)
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+firsts AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY t ORDER BY doc_id) = 1),
+common AS (SELECT line, min(doc_id) AS first_doc FROM (SELECT doc_id, source, unnest(l) AS line FROM firsts)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 10),
+lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM d),
+marked AS (SELECT lines.*, regexp_matches(lines.line, '[^\x20\x09-\x0D]') AS word, first_doc IS NOT NULL AND first_doc <> doc_id AS gone
+  FROM lines LEFT JOIN common ON lines.line = common.line)
 SELECT doc_id, count(*) FILTER (word) AS n_lines, count(*) FILTER (gone) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
