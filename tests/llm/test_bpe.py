@@ -54,3 +54,34 @@ def test_documents(spark, make, library):
 def test_broken_bytes_decode_as_replacements(own, library):
     ids = own.encode("日")[:1]
     assert own.decode(ids).decode() == library.decode(ids.tolist())
+
+
+def test_long_texts_without_spaces(own, library):
+    rnd = random.Random(2)
+    for text in ("".join(rnd.choice("日本語文字列天地人") for _ in range(30_000)), "ab" * 40_000, "".join(rnd.choice("abcdefgh") for _ in range(50_000))):
+        before = own.units.size
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.units.size - before < 100_000  # long units are not remembered
+
+
+def test_tables_are_bounded(own, library, monkeypatch):
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 50_000)
+    monkeypatch.setattr(bpe, "TOGETHER", 100)
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choice("abcdeéß日'1.") for _ in range(rnd.randint(1, 12))) for _ in range(200)) for _ in range(30)]
+    for k in range(0, 30, 5):
+        own.prepare(texts[k : k + 5])
+        for text in texts[k : k + 5]:
+            assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+            assert own.units.size <= 50_000
+
+
+def test_side_by_side_equals_one_by_one(own):
+    rnd = random.Random(4)
+    pieces = ["".join(rnd.choice("aabcdehinorst Ġé日🙂0") for _ in range(rnd.randint(1, 30))) for _ in range(2000)] + ["a" * 200]
+    assert own.side_by_side.encode([p.encode() for p in pieces]) == [own.encode_piece(p) for p in pieces]
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="byte-level"):
+        bpe.Codec(b'{"model": {"vocab": {}, "merges": []}, "pre_tokenizer": {"type": "Whitespace"}}')
