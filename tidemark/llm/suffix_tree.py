@@ -20,33 +20,33 @@ the page, and its texts stream past them. Nothing of the corpus or the model is
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.common import slices
-from tidemark.llm.ngrams import Filter, longer, room, words_of
-from tidemark.session import settle
+from tidemark.llm.ngrams import (
+    HELD, SLICE_BYTES, Filter, added, bucket_of, buckets_for, count_keys, distinct, heads, longer, pack, pack_sorted, ranges, room, unpack, unpack_sorted, words_of,
+)
+from tidemark.session import scratch_path, settle
 
 BLANKS = b" \t\n\x0b\x0c\r"
-DEPTH = 3
-CONTEXT_MIN = 32
+DEPTH = 2
+CONTEXT_MIN = 64
 SYMBOL_MIN = 8
 MASS = 4.0
 #: Log-likelihood (nats) that a retained context gains for each word it stores.
 GAIN = 2.0
 PAGE_BYTES = 32 << 20
-BUCKET_BYTES = 16 << 20
-HELD = 1 << 21  # distinct runs that a task gathers before it sends them
-SLICE_BYTES = 4 << 20
+MOST_PAGE_BUCKETS = 50_000
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -78,88 +78,99 @@ def _signed(keys: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(keys).view(np.int64))
 
 
-class Gathered:
-    """Counts of (context, word) pairs, and the run that the pair's shorter context and word make; bounded by flushing."""
-
-    def __init__(self, buckets: int):
-        self.buckets, self.parts, self.size = buckets, [], 0
-
-    def add(self, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        self.parts.append(_merged(columns + [np.ones(len(columns[0]), np.int64)]))
-        self.size += len(self.parts[-1][0])
-        if self.size >= HELD:
-            joined = _merged([np.concatenate(c) for c in zip(*self.parts)])
-            self.parts, self.size = [joined], len(joined[0])
-            if self.size >= HELD // 2:
-                yield from self.flush()
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        if not self.parts:
-            return
-        *keys, n = _merged([np.concatenate(c) for c in zip(*self.parts)])
-        self.parts, self.size = [], 0
-        bucket = ((keys[0] ^ keys[1]) >> np.uint64(20)) % np.uint64(self.buckets)
-        order = np.lexsort((keys[0], bucket))
-        keys, n, bucket = [k[order] for k in keys], n[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket, prepend=bucket[:1] + np.uint64(1)))
-        names = ["bucket", "context", "shorter", "length", "word", "n"]
-        rows: list[list] = [[] for _ in names]
-        for a, b in zip(cuts, [*cuts[1:], len(n)]):
-            heads = np.flatnonzero(np.diff(keys[0][a:b], prepend=~keys[0][a : a + 1]))
-            size = np.diff(heads, append=b - a)
-            own = [int(bucket[a]), keys[0][a:b][heads].tobytes(), keys[2][a:b][heads].tobytes() if len(keys) > 2 else b"", size.astype("<u4").tobytes(), keys[1][a:b].tobytes(), n[a:b].astype("<u4").tobytes()]
-            for r, x in zip(rows, own):
-                r.append(x)
-        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=names)
-
-
 def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
     """Equal pairs (first two columns) drawn together, counts (last column) summed."""
     pair = longer(columns[0], columns[1])
     order = np.argsort(pair)
-    pair = pair[order]
-    head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(order) else np.empty(0, np.int64)
-    total = np.add.reduceat(columns[-1][order], head) if len(head) else columns[-1]
-    return [*[c[order[head]] for c in columns[:-1]], total]
+    at = heads(pair[order])
+    total = np.add.reduceat(columns[-1][order], at) if len(at) else columns[-1]
+    return [*[c[order[at]] for c in columns[:-1]], total]
+
+
+PAIRS = "bucket int, context binary, length binary, word binary, n binary"
+
+
+def _packed_pairs(columns: list[np.ndarray], buckets: int, hot: Filter) -> pa.RecordBatch:
+    """(context, word, n) per bucket. A context's pairs lie in its own bucket, or, if it is hot, in those of the pairs."""
+    spread = hot.holds(columns[0])
+    rows: list[list] = [[] for _ in range(5)]
+    for some, place in ((~spread, columns[0]), (spread, longer(columns[0], columns[1]))):
+        bucket = bucket_of(place[some], buckets)
+        own = [c[some] for c in columns]
+        order = np.lexsort((own[0], bucket))
+        own, bucket = [c[order] for c in own], bucket[order]
+        cuts = heads(bucket)
+        for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
+            context, word, n = (c[a:b] for c in own)
+            at = heads(context)
+            made = (int(bucket[a]), pack_sorted(context[at]), pack(np.diff(at, append=b - a).astype("<u4")), pack(word), pack(n.astype("<u4")))
+            for column, x in zip(rows, made):
+                column.append(x)
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "context", "length", "word", "n"])
 
 
-def _gather(texts: DataFrame, buckets: int, pick: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
-    """Counts of the pairs that ``pick`` takes from the tokens of a slice, as packed columns per bucket."""
+def _deeper(texts: DataFrame, buckets: int, k: int, contexts: Filter, words: Filter, hot: Filter) -> DataFrame:
+    """Packed counts of the runs of k + 1 tokens whose first k are a frequent run and whose last is a frequent word."""
+    shared = texts.sparkSession.sparkContext.broadcast((contexts, words, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Gathered(buckets)
+        often, common, spread = shared.value
+        parts, size = [], 0
         for batch in batches:
-            for _, part in slices(batch.column(0), SLICE_BYTES):
+            for _, part in slices(batch.column("text"), SLICE_BYTES):
                 word, _, place = tokens(part)
-                yield from found.add(pick(word, place))
-        yield from found.flush()
-
-    return texts.mapInArrow(run, "bucket int, context binary, shorter binary, length binary, word binary, n binary")
+                before = runs(word, place, k - 1)
+                at = np.flatnonzero(place >= k)
+                at = at[often.holds(before[k - 1][at - 1])]
+                at = at[common.holds(word[at])]
+                parts.append(_merged([before[k - 1][at - 1], word[at], np.ones(len(at), np.uint32)]))
+                size += len(parts[-1][0])
+                if size >= HELD:
+                    parts = [_merged([np.concatenate(c) for c in zip(*parts)])]
+                    size = len(parts[0][0])
+                    if size >= HELD // 2:
+                        yield _packed_pairs(parts.pop(), buckets, spread)
+                        size = 0
+        if size:
+            yield _packed_pairs(_merged([np.concatenate(c) for c in zip(*parts)]), buckets, spread)
+
+    return texts.mapInArrow(run, PAIRS)
 
 
 def _totals(gathered: DataFrame, least: int) -> DataFrame:
-    """(key, context, shorter, lower, n) of the pairs with ``least`` occurrences; key is the run of context and word, lower that of the shorter context and word."""
+    """(key, context, word, n) of the pairs with ``least`` occurrences; key is the run of context and word."""
 
     def merge(table: pa.Table) -> pa.Table:
-        unpack = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        length, word = unpack("length", "<u4"), unpack("word", "<u8")
-        columns = [np.repeat(unpack("context", "<u8"), length), word]
-        shorter = unpack("shorter", "<u8")
-        if len(shorter):
-            columns.append(np.repeat(shorter, length))
-        *found, n = _merged([*columns, unpack("n", "<u4").astype(np.int64)])
+        parts = []
+        for row in table.to_pylist():
+            context = np.repeat(unpack_sorted(row["context"]), unpack(row["length"], "<u4"))
+            parts.append([context, unpack(row["word"], "<u8"), unpack(row["n"], "<u4").astype(np.int64)])
+        context, word, n = _merged([np.concatenate(c) for c in zip(*parts)])
         often = n >= least
-        context, word, *rest = [c[often] for c in found]
-        short = rest[0] if rest else np.zeros(len(context), np.uint64)
-        lower = longer(short, word) if rest else word
-        return pa.table([_signed(longer(context, word)), _signed(context), _signed(short), _signed(lower), pa.array(n[often])], names=["key", "context", "shorter", "lower", "n"])
+        context, word = context[often], word[often]
+        return pa.table([_signed(longer(context, word)), _signed(context), _signed(word), pa.array(n[often])], names=["key", "context", "word", "n"])
+
+    return gathered.groupBy("bucket").applyInArrow(merge, "key long, context long, word long, n long")
+
 
-    return gathered.groupBy("bucket").applyInArrow(merge, "key long, context long, shorter long, lower long, n long")
+def _lowered(level: DataFrame, below: DataFrame | None) -> DataFrame:
+    """(key, context, shorter, lower, n): the context without its first word, and the run of that and the word."""
+    if below is None:
+        return level.select("key", "context", F.lit(0).cast("long").alias("shorter"), F.col("word").alias("lower"), "n")
+    joined = level.join(below.select(F.col("key").alias("context"), F.col("lower").alias("shorter")), "context")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shorter, word = (batch.column(c).to_numpy().view(np.uint64) for c in ("shorter", "word"))
+            columns = [batch.column("key"), batch.column("context"), batch.column("shorter"), _signed(longer(shorter, word)), batch.column("n")]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "context", "shorter", "lower", "n"])
+
+    return joined.mapInArrow(run, "key long, context long, shorter long, lower long, n long")
 
 
 @dataclass
 class Model:
-    """A suffix tree as a table (key, n, rest): occurrences of a run, and, where the run is a retained context, how many of its next words are not stored."""
+    """A suffix tree as a table (key, n, rest): occurrences of a run, and, where the run is a retained context, how many of its next words are not stored (else -1). A run may have a row of either kind."""
 
     rows: DataFrame
     held: Filter
@@ -170,30 +181,13 @@ class Model:
 
 def _word_counts(texts: DataFrame, buckets: int) -> DataFrame:
     """(key, n) of every distinct token."""
-    gathered = _gather(texts, buckets, lambda word, place: [word, np.zeros(len(word), np.uint64)])
 
     def merge(table: pa.Table) -> pa.Table:
-        unpack = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
-        key = np.repeat(unpack("context", "<u8"), unpack("length", "<u4"))
-        key, _, n = _merged([key, np.zeros(len(key), np.uint64), unpack("n", "<u4").astype(np.int64)])
+        key, n = added(table)
         return pa.table([_signed(key), pa.array(n)], names=["key", "n"])
 
-    return gathered.groupBy("bucket").applyInArrow(merge, "key long, n long")
-
-
-def _deeper(texts: DataFrame, buckets: int, k: int, contexts: Filter, words: Filter) -> DataFrame:
-    """Counts of the runs of k + 1 tokens whose first k are a frequent run and whose last is a frequent word."""
-    shared = texts.sparkSession.sparkContext.broadcast((contexts, words))
-
-    def pick(word: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
-        often, common = shared.value
-        before = runs(word, place, k - 1)
-        at = np.flatnonzero(place >= k)
-        at = at[often.holds(before[k - 1][at - 1])]
-        at = at[common.holds(word[at])]
-        return [before[k - 1][at - 1], word[at], *([before[k - 2][at - 1]] if k > 1 else [])]
-
-    return _gather(texts, buckets, pick)
+    counted = count_keys(texts, buckets, lambda: lambda batch, first, part: iter([tokens(part)[0]]))
+    return counted.groupBy("bucket").applyInArrow(merge, "key long, n long")
 
 
 def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, context_min: int = CONTEXT_MIN, symbol_min: int = SYMBOL_MIN, gain: float = GAIN) -> Model:
@@ -203,57 +197,48 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, context_m
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    buckets = buckets_for(size)
     words = settle(_word_counts(texts, buckets), "words")
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    train_tokens = sums["n"] or 0
     # Of each length, at most tokens / minimum runs are frequent; a token takes some 6 bytes.
-    common = Filter(room(size / 6 / symbol_min)).with_keys(words.where(F.col("n") >= symbol_min))
-    level = words
-    counts: list[DataFrame] = []
+    frequent = words.where(F.col("n") >= symbol_min)
+    common = Filter(room(size / 6 / symbol_min)).with_keys(frequent)
+    level, counts = frequent, []
     for k in range(1, depth + 1):
         contexts = Filter(room(size / 6 / context_min)).with_keys(level.where(F.col("n") >= context_min))
-        level = settle(_totals(_deeper(texts, buckets, k, contexts, common), symbol_min), f"runs{k}")
+        hot = Filter(room(4 * buckets)).with_keys(level.where(F.col("n") >= max(1000, train_tokens // (4 * buckets))))
+        level = settle(_lowered(_totals(_deeper(texts, buckets, k, contexts, common, hot), symbol_min), counts[-1] if counts else None), f"runs{k}")
         counts.append(level)
     # Divergence of each context from the shorter one, over the words it stores and all others together.
     tested: list[DataFrame] = []
     for k, level in enumerate(counts, 1):
-        below = words if k == 1 else counts[k - 2]
-        whole = below.where(F.col("n") >= context_min).select(F.col("key").alias("context"), F.col("n").alias("all"))
+        below = frequent if k == 1 else counts[k - 2]
         lower = below.select(F.col("key").alias("lower"), F.col("n").alias("lower_n"))
-        total: DataFrame | Column
+        whole = below.where(F.col("n") >= context_min).select(F.col("key").alias("context"), F.col("n").alias("all"))
+        gained = F.sum(F.col("n") * F.ln(F.col("n") / F.col("lower_n"))).alias("gained")
+        sides = level.join(lower, "lower").groupBy("context", "shorter").agg(F.sum("n").alias("stored"), F.sum("lower_n").alias("lower_stored"), F.count("*").alias("symbols"), gained).join(whole, "context")
         if k == 1:
-            shorter_all = F.lit(float(sums["n"] or 0))
-            per_word = level.join(lower, "lower")
+            sides = sides.withColumn("shorter_all", F.lit(float(train_tokens)))
         else:
-            two_below = words if k == 2 else counts[k - 3]
-            per_word = level.join(lower, "lower")
-            shorter_all = F.col("shorter_all").cast("double")
-        sides = per_word.groupBy("context", "shorter").agg(
-            F.sum("n").alias("stored"), F.sum("lower_n").alias("lower_stored"), F.count("*").alias("symbols"), F.sum(F.col("n") * F.ln(F.col("n") / F.col("lower_n"))).alias("gained")
-        ).join(whole, "context")
-        if k > 1:
-            short = two_below.select(F.col("key").alias("shorter"), F.col("n").alias("shorter_all"))
-            sides = sides.join(short, "shorter")
-        rest = (F.col("all") - F.col("stored")).cast("double")
-        lower_rest = F.greatest(shorter_all - F.col("lower_stored"), F.lit(0.5))
+            short = frequent if k == 2 else counts[k - 3]
+            sides = sides.join(short.select(F.col("key").alias("shorter"), F.col("n").cast("double").alias("shorter_all")), "shorter")
+        rest = F.col("all") - F.col("stored")
+        lower_rest = F.greatest(F.col("shorter_all") - F.col("lower_stored"), F.lit(0.5))
         others = F.when(rest > 0, rest * F.ln(rest / lower_rest)).otherwise(0.0)
-        divergence = F.col("gained") + others - F.col("all") * F.ln(F.col("all") / shorter_all)
-        tested.append(settle(sides.select("context", "shorter", rest.cast("long").alias("rest"), (divergence >= gain * F.col("symbols")).alias("kept")), f"contexts{k}"))
+        divergence = F.col("gained") + others - F.col("all") * F.ln(F.col("all") / F.col("shorter_all"))
+        tested.append(settle(sides.select("context", "shorter", "all", rest.alias("rest"), (divergence >= gain * F.col("symbols")).alias("kept")), f"contexts{k}"))
     kept: list[DataFrame] = []
-    needed: DataFrame | None = None
     for own in reversed(tested):  # what a longer retained context ends in is retained as well
-        if needed is not None:
-            own = own.join(needed.select(F.col("shorter").alias("context"), F.lit(True).alias("ends")).distinct(), "context", "left").withColumn("kept", F.col("kept") | F.coalesce("ends", F.lit(False)))
-        needed = settle(own.where("kept").select("context", "shorter", "rest"), "retained")
-        kept.insert(0, needed)
-    retained = _union([x.select(F.col("context").alias("key"), "rest") for x in kept])
-    stored = _union([c.join(x.select("context"), "context", "left_semi").select("key", "n") for c, x in zip(counts, kept)])
-    longer_contexts = _union([c.select("key", "n") for c in counts[:-1]] or [stored.limit(0)])
-    useful = stored.unionByName(longer_contexts.join(retained.select("key"), "key", "left_semi")).unionByName(words).groupBy("key").agg(F.max("n").alias("n"))
-    rows = settle(useful.join(retained, "key", "left"), "model")
-    deep = stored.select("key").unionByName(retained.select("key")).distinct()
-    held = Filter(room(depth * size / 6 / symbol_min)).with_keys(deep)
-    return Model(rows, held, sums["n"] or 0, sums["v"], depth)
+        if kept:
+            ends = kept[0].select(F.col("shorter").alias("context"), F.lit(True).alias("ends")).distinct()
+            own = own.join(ends, "context", "left").withColumn("kept", F.col("kept") | F.coalesce("ends", F.lit(False)))
+        kept.insert(0, settle(own.where("kept").select("context", "shorter", "all", "rest"), "retained"))
+    retained = _union([x.select(F.col("context").alias("key"), F.col("all").alias("n"), "rest") for x in kept])
+    stored = settle(_union([c.join(x.select("context"), "context", "left_semi").select("key", "n") for c, x in zip(counts, kept)]), "stored")
+    plain = stored.unionByName(words).withColumn("rest", F.lit(-1).cast("long"))
+    held = Filter(room(size / 6 / symbol_min)).with_keys(stored.select("key").unionByName(retained.select("key")))
+    return Model(plain.unionByName(retained), held, train_tokens, sums["v"], depth)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -263,22 +248,24 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _wanted(word: np.ndarray, place: np.ndarray, model_depth: int, held: Filter) -> np.ndarray:
-    """Keys of the model rows that the tokens may need."""
-    every = runs(word, place, model_depth)
-    found = [np.unique(word)]
-    for k in range(1, model_depth + 1):
-        own = every[k][place >= k]
-        found.append(np.unique(own[held.holds(own)]))
-    return np.concatenate(found)
+def _wanted(body: bytes, depth: int, held: Filter) -> np.ndarray:
+    """Sorted keys of the model rows that a page may need: its words, and the longer runs that the model may hold."""
+    found = []
+    for _, texts in _unpacked(body):
+        word, _, place = tokens(texts)
+        every = runs(word, place, depth)
+        found.append(distinct(word))
+        for k in range(1, depth + 1):
+            own = every[k][place >= k]
+            found.append(distinct(own[held.holds(own)]))
+    return distinct(np.concatenate(found))
 
 
 class Page:
     """The model rows that a page has asked for, sorted by key."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray, rest: np.ndarray, model_tokens: int, distinct: int, depth: int):
-        order = np.argsort(key, kind="stable")
-        self.key, self.n, self.rest = key[order], n[order], rest[order]
+        self.key, self.n, self.rest = key, n, rest
         self.tokens, self.distinct, self.depth = model_tokens, distinct, depth
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -309,13 +296,13 @@ class Page:
         return [sums[0].astype(np.int64), sums[1].astype(np.int64), *sums[2:]]
 
 
-def _pages(rows: DataFrame) -> DataFrame:
+def _pages(rows: DataFrame, buckets: int) -> DataFrame:
     """(page, body): consecutive rows with some ``PAGE_BYTES`` of texts in one compressed body."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         page, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for first, texts in slices(batch.column("__text"), PAGE_BYTES):
+            for first, texts in slices(batch.column("__text"), SLICE_BYTES):
                 held.append(batch.slice(first, len(texts)))
                 size += sum(map(len, texts))
                 if size >= PAGE_BYTES:
@@ -324,13 +311,18 @@ def _pages(rows: DataFrame) -> DataFrame:
         if held:
             yield _packed(page, held)
 
-    return settle(rows.mapInArrow(run, "page long, body binary"), "pages")
+    # Bucketed by page, so that the replies come to the pages and no text is shuffled.
+    path, name = scratch_path(rows.sparkSession, "pages"), f"pages_{uuid.uuid4().hex}"
+    paged = rows.mapInArrow(run, "page long, body binary")
+    paged.write.option("path", path).bucketBy(buckets, "page").saveAsTable(name)
+    return rows.sparkSession.table(name)
 
 
 def _packed(page: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(pa.Table.from_batches(held).combine_chunks())
+        for batch in held:
+            out.write_batch(batch)
     return pa.RecordBatch.from_arrays([pa.array([page]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["page", "body"])
 
 
@@ -353,52 +345,54 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     spark = docs.sparkSession
     kept = [c for c in (docs.columns if keep is None else keep) if c not in RESULTS.fieldNames()]
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    pages = _pages(docs.select(*[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(kept)], text.alias("__text")))
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
-    buckets = max(1, math.ceil(size / BUCKET_BYTES))
+    buckets = buckets_for(size)
+    pages = _pages(docs.select(*[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(kept)], text.alias("__text")), min(buckets, MOST_PAGE_BUCKETS))
     shared = spark.sparkContext.broadcast(model.held)
-    depth, train_tokens, distinct = model.depth, model.train_tokens, model.distinct
+    depth, train_tokens, vocabulary = model.depth, model.train_tokens, model.distinct
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, body in zip(batch.column("page").to_pylist(), batch.column("body")):
-                keys = np.empty(0, np.uint64)
-                for _, texts in _unpacked(body.as_py()):
-                    word, _, place = tokens(texts)
-                    keys = np.union1d(keys, _wanted(word, place, depth, shared.value))
-                bucket = (keys >> np.uint64(20)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                some = np.flatnonzero(np.diff(cuts))
-                packed = [keys[order[cuts[b] : cuts[b + 1]]].tobytes() for b in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), page)), pa.array(packed, pa.binary())], names=["bucket", "page", "keys"])
+                keys = _wanted(body.as_py(), depth, shared.value)
+                cut = ranges(keys, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cut], pa.int32()), pa.array([page] * len(cut), pa.int64()), pa.array([pack_sorted(keys[x:y]) for _, x, y in cut], pa.binary())], names=["bucket", "page", "keys"])
 
     def answer(model_rows: pa.Table, requests: pa.Table) -> pa.Table:
         key = model_rows.column("key").to_numpy().view(np.uint64)
         order = np.argsort(key)
-        key, n, rest = key[order], model_rows.column("n").to_numpy()[order], model_rows.column("rest").to_numpy()[order]
-        out: list[list] = [[], []]
-        for page, packed in zip(requests.column("page").to_pylist(), requests.column("keys").to_pylist()) if len(key) else ():
-            wanted = np.frombuffer(packed, "<u8")
+        first = heads(key[order])
+        n, rest = (model_rows.column(c).to_numpy()[order] for c in ("n", "rest"))
+        if len(key):
+            key, n, rest = key[order[first]], n[first], np.maximum.reduceat(rest, first)
+        out: list[list] = [[] for _ in range(5)]
+        for page, bucket, packed in zip(*(requests.column(c).to_pylist() for c in ("page", "bucket", "keys"))) if len(key) else ():
+            wanted = unpack_sorted(packed)
             at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-            at = at[key[at] == wanted]
-            out[0].append(page)
-            out[1].append(pa.compress(np.stack([key[at].view(np.int64), n[at], rest[at]]).tobytes(), codec="zstd", asbytes=True) if len(at) else b"")
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary())], names=["page", "rows"])
+            found = key[at] == wanted
+            at = at[found]
+            for column, x in zip(out, (page, bucket, np.packbits(found).tobytes(), pack(n[at]), pack(rest[at]))):
+                column.append(x)
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.binary()) for c in out[2:]]], names=["page", "bucket", "found", "n", "rest"])
 
     requests = pages.mapInArrow(ask, "bucket int, page long, keys binary")
-    number = (F.shiftrightunsigned("key", 20) % buckets).cast("int")
-    spread = model.rows.select(number.alias("bucket"), "key", "n", F.coalesce("rest", F.lit(-1)).alias("rest"))
-    replies = spread.groupBy("bucket").cogroup(requests.groupBy("bucket")).applyInArrow(answer, "page long, rows binary")
+    number = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * buckets, 32).cast("int")
+    spread = model.rows.select(number.alias("bucket"), "key", "n", "rest")
+    replies = spread.groupBy("bucket").cogroup(requests.groupBy("bucket")).applyInArrow(answer, "page long, bucket int, found binary, n binary, rest binary")
     fields = T.StructType([T.StructField(f"__in{k}", docs.schema[c].dataType) for k, c in enumerate(kept)] + RESULTS.fields)
     arrow = to_arrow_schema(fields)
 
     def fill(page: pa.Table, found: pa.Table) -> pa.Table:
-        rows = [np.frombuffer(_inflated(x), np.int64).reshape(3, -1) for x in found.column("rows").to_pylist() if x]
-        key, n, rest = np.concatenate(rows, axis=1) if rows else np.empty((3, 0), np.int64)
-        ready = Page(key.view(np.uint64), n, rest, train_tokens, distinct, depth)
         made = []
-        for body in page.column("body").to_pylist():
+        for body in page.column("body").to_pylist():  # one
+            key = _wanted(body, depth, shared.value)
+            n, rest = np.zeros(len(key), np.int64), np.full(len(key), -1)
+            place = {b: (x, y) for b, x, y in ranges(key, buckets)}
+            for row in found.to_pylist():
+                x, y = place[row["bucket"]]
+                at = x + np.flatnonzero(np.unpackbits(np.frombuffer(row["found"], np.uint8), count=y - x))
+                n[at], rest[at] = unpack(row["n"], "<i8"), unpack(row["rest"], "<i8")
+            ready = Page(key, n, rest, train_tokens, vocabulary, depth)
             for part, texts in _unpacked(body):
                 scored = ready.score(texts)
                 columns = [*part.columns[:-1], *map(pa.array, scored[:2]), pa.array(np.full(len(texts), train_tokens)), *map(pa.array, scored[2:])]
@@ -407,8 +401,3 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
     done = pages.groupBy("page").cogroup(replies.groupBy("page")).applyInArrow(fill, fields)
     return done.select(*[F.col(f"__in{k}").alias(c) for k, c in enumerate(kept)], *RESULTS.fieldNames())
-
-
-def _inflated(packed: bytes) -> bytes:
-    with pa.CompressedInputStream(pa.BufferReader(packed), "zstd") as whole:
-        return whole.read()
