@@ -43,13 +43,14 @@ def test_names():
     import __spark_entry__ as E
 
     names = [n for n in E.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
 
 
 def test_line_stage_takes_furniture_of_several_lines_and_hot_copies(make):
-    rows = [(k, f"own {k}\nfirst of three\nsecond of three\nthird of three", f"s{k % 12}") for k in range(24)]
-    rows += [(100 + k, f"head {k}\nhot line\ntail {k}", f"s{k}") for k in range(12)]
-    rows += [(200 + k, "one page\nhot line\nits end", f"s{k % 12}") for k in range(60)]
+    own = "a body of its own that is longer than the furniture around it, as pages have"
+    rows = [(k, f"{own} {k}\nfirst of three\nsecond of three\nthird of three", f"s{k % 12}") for k in range(24)]
+    rows += [(100 + k, f"head {own} {k}\nhot line\ntail {k}", f"s{k}") for k in range(12)]
+    rows += [(200 + k, f"one page {own}\nhot line\nits end", f"s{k % 12}") for k in range(60)]
     left = {r["doc_id"]: r["text"] for r in P.lines(None, make(rows, clash=False), "").collect()}
     assert [k for k, text in left.items() if "of three" in text] == [0]
     assert [k for k, text in left.items() if "hot line" in text] == [100]

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TOKENIZERS = "/opt/tokenizers"
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """What is left of every document without the lines that many sites share."""
+    """What is left of every document without the lines that ten sites share."""
     from tidemark.llm.line_dedup import remove_boilerplate
 
     done = remove_boilerplate(table(spark, folder, "documents"), count_cols=("n_lines", "n_removed"))
@@ -82,11 +82,11 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_quality_model(spark: SparkSession, folder: str) -> DataFrame:
-    """Quality score of every document, learnt from the labels that are not held out."""
+    """Quality score of every document, learnt from the labels that are not held out; a null id is held out."""
     from tidemark.llm.quality_model import score, train
 
     docs = table(spark, folder, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     model = train(docs, table(spark, folder, "labels").where(~held_out))
     scored = score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
