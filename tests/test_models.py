@@ -361,17 +361,38 @@ def test_power_at_the_end_of_the_grid_is_told(spark):
         tweedie_power(flat, ["g"])
 
 
-def test_tails_of_large_counts():
-    from tidemark.operators.residuals import _count_tails
+def test_tails_of_large_counts(spark):
+    from tidemark.operators.residuals import count_tails
 
-    y, mu = np.array([3.0, 100_000.0, 0.0, 3.0]), np.array([2.0, 100_000.0, 1.5, 2.0])
-    below, upto = _count_tails(y, mu, np.array([np.inf, np.inf, 2.0, 4.0]))
+    cases = [(2.0, math.inf, 3.0), (100_000.0, math.inf, 100_000.0), (1.5, 2.0, 0.0), (2.0, 4.0, 3.0), (2.0, 1e8, 3.0), (2.0, math.inf, 2.5), (2.0, math.inf, -1.0), (0.0, math.inf, 1.0)]
+    found = {(r["tm_mu"], r["tm_size"], r["tm_y"]): (r["below"], r["upto"]) for r in count_tails(spark.createDataFrame(cases, "tm_mu double, tm_size double, tm_y double")).collect()}
+    below, upto = zip(*[found[c] for c in cases])
     poisson = [math.exp(-2) * 2**k / math.factorial(k) for k in range(4)]
     assert below[0] == pytest.approx(sum(poisson[:3])) and upto[0] == pytest.approx(sum(poisson))
     assert below[1] == pytest.approx(0.5, abs=0.01) and upto[1] > below[1]
     assert below[2] == 0 and upto[2] == pytest.approx((2 / 3.5) ** 2)
     binomial = [math.comb(k + 3, k) * (4 / 6) ** 4 * (2 / 6) ** k for k in range(4)]
     assert below[3] == pytest.approx(sum(binomial[:3])) and upto[3] == pytest.approx(sum(binomial))
+    assert below[4] == pytest.approx(sum(poisson[:3]), rel=1e-6) and upto[4] == pytest.approx(sum(poisson), rel=1e-6)  # nearly a Poisson
+    assert below[5] == upto[5] == pytest.approx(sum(poisson[:3])) and (below[6], upto[6]) == (0, 0) and (below[7], upto[7]) == (1, 1)
+
+
+def test_far_tails():
+    from tidemark.functions.tails import chi2_upper
+
+    assert chi2_upper(100, 1) == pytest.approx(math.erfc(math.sqrt(50)), rel=1e-10)
+    assert chi2_upper(100, 4) == pytest.approx(math.exp(-50) * 51, rel=1e-10)
+    assert chi2_upper(1, 4) == pytest.approx(math.exp(-0.5) * 1.5, rel=1e-10)
+
+
+def test_levels_that_differ_in_signs_only(spark):
+    rows = [("none", 1.0), ("none", 2.0), ("+B", 11.0), ("+B", 12.0), ("-B", 21.0), ("-B", 22.0), ("é", 31.0), ("é", 32.0), ("ü", 41.0), ("ü", 42.0)]
+    design = crossed({"g": ["none", "+B", "-B", "é", "ü"]})
+    fit = fit_glm(model_table(spark.createDataFrame(rows, "g string, y double"), design, "y"), design, Family("gaussian"))
+    found = sorted(round(r["estimate"], 6) for r in coef_table(spark, fit).collect())
+    assert found == [1.5, 10.0, 20.0, 30.0, 40.0]
+    with pytest.raises(ValueError, match="share|several"):
+        design_columns(crossed({"a": ["x", "b_c"], "a_b": ["x", "c"]}))
 
 
 def test_p_values_of_the_one_factor_model(spark):

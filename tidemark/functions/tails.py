@@ -49,7 +49,18 @@ def _beta_regular(a: float, b: float, x: float) -> float:
 
 
 def chi2_upper(x: float, df: float) -> float:
-    return 1.0 if x <= 0 else max(0.0, 1.0 - _gamma_lower(df / 2, x / 2))
+    if x <= 0:
+        return 1.0
+    a, y = df / 2, x / 2
+    return max(0.0, 1.0 - _gamma_lower(a, y)) if y < a + 1 else _gamma_upper(a, y)
+
+
+def _gamma_upper(a: float, x: float) -> float:
+    """Upper incomplete gamma function as a continued fraction, from its end; for x above a."""
+    tail = 0.0
+    for m in range(200, 0, -1):
+        tail = m * (m - a) / (x + 2 * m + 1 - a - tail)
+    return math.exp(a * math.log(x) - x - math.lgamma(a)) / (x + 1 - a - tail)
 
 
 def f_upper(x: float, df1: float, df2: float) -> float:

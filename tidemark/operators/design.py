@@ -58,17 +58,20 @@ def term_name(term: Term) -> str:
     return ":".join(term)
 
 
+def level_names(variable: str, levels: Sequence[str]) -> list[str]:
+    """Column names of levels: other characters than letters and digits become ``_``; names that then are equal get the number of their level."""
+    names = [f"{variable}_{re.sub(r'[^0-9A-Za-z]+', '_', level)}" for level in levels]
+    return [n if names.count(n) == 1 else f"{n}_{k}" for k, n in enumerate(names, 1)]
+
+
 def term_columns(design: Design, term: Term) -> dict[str, Column]:
     """The columns of one term: dummies of all levels but the first, covariates, and their products."""
     parts: list[list[tuple[str, Column]]] = []
     for variable in term:
         if variable in design.factors:
-            parts.append(
-                [
-                    (f"{variable}_{re.sub(r'[^0-9A-Za-z]+', '_', level)}", (F.col(variable) == level).cast("double"))
-                    for level in list(design.factors[variable])[1:]
-                ]
-            )
+            levels = list(design.factors[variable])
+            names = level_names(variable, levels)
+            parts.append([(n, (F.col(variable) == level).cast("double")) for n, level in list(zip(names, levels))[1:]])
         else:
             parts.append([(variable, F.col(variable).cast("double"))])
     columns = [("", F.lit(1.0))]
@@ -78,11 +81,20 @@ def term_columns(design: Design, term: Term) -> dict[str, Column]:
             for name, column in columns
             for n, c in part
         ]
-    return dict(columns)
+    named = dict(columns)
+    if len(named) < len(columns):
+        raise ValueError(f"columns of {term_name(term)} share a name")
+    return named
 
 
 def design_columns(design: Design) -> dict[str, Column]:
-    return {n: c for term in design.terms for n, c in term_columns(design, term).items()}
+    columns: dict[str, Column] = {}
+    for term in design.terms:
+        own = term_columns(design, term)
+        if both := columns.keys() & own.keys():
+            raise ValueError(f"several terms have a column {min(both)}")
+        columns |= own
+    return columns
 
 
 def design_matrix(df: DataFrame, design: Design, keep: Sequence[str] = ()) -> DataFrame:

@@ -57,9 +57,29 @@ def families_to_long(
     )
 
 
+MOST_COLUMNS = 500
+
+
 def to_wide(
-    df: DataFrame, by: Sequence[str], name: str, names: Sequence[str], value: str, how: str = "first"
+    df: DataFrame, by: Sequence[str], name: str, names: Sequence[str] | None, value: str, how: str = "first"
 ) -> DataFrame:
-    """One column per listed name. Naming them saves the pass that would look them up."""
+    """One column per name. ``names`` None: all that the table holds, found first and sorted (missing: ``NA``).
+
+    Names that are given save that pass; rows with other names then go nowhere. More than
+    ``MOST_COLUMNS`` names outgrow a schema: :func:`to_wide_map` keeps them in one column.
+    """
     cell = {"first": F.first, "mean": F.avg, "sum": F.sum, "max": F.max}[how]
+    if names is None:
+        df = df.withColumn(name, F.coalesce(F.col(name).cast("string"), F.lit("NA")))
+        found = [r[0] for r in df.select(name).distinct().limit(MOST_COLUMNS + 1).collect()]
+        if len(found) > MOST_COLUMNS:
+            raise ValueError(f"{name} has more than {MOST_COLUMNS} values; use to_wide_map")
+        names = sorted(found)
     return df.groupBy(*by).pivot(name, list(names)).agg(cell(value))
+
+
+def to_wide_map(df: DataFrame, by: Sequence[str], name: str, value: str, how: str = "first", into: str = "values") -> DataFrame:
+    """One row per group with a map from name to cell, for names without a bound (missing: ``NA``)."""
+    cell = {"first": F.first, "mean": F.avg, "sum": F.sum, "max": F.max}[how]
+    cells = df.groupBy(*by, F.coalesce(F.col(name).cast("string"), F.lit("NA")).alias("tm_name")).agg(cell(value).alias("tm_cell"))
+    return cells.groupBy(*by).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("tm_name", "tm_cell")))).alias(into))

@@ -7,11 +7,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.tails import chi2_upper, f_upper, normal_two_sided
+from tidemark.functions.tails import normal_two_sided
 from tidemark.operators.combine import join_groups
 from tidemark.operators.glm import Fit, fitted_mean
 from tidemark.operators.quantiles import box_summary
@@ -51,29 +51,43 @@ def _share_below(words: np.ndarray, level: np.ndarray) -> np.ndarray:
     return np.count_nonzero(words < bar[:, None], axis=1) / words.shape[1]
 
 
-def _count_tails(y: np.ndarray, mu: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(Y < y) and P(Y <= y) of a negative binomial, or of a Poisson where ``size`` is infinite.
+def count_tails(cases: DataFrame) -> DataFrame:
+    """``below`` = P(Y < y) and ``upto`` = P(Y <= y) next to each distinct case (tm_mu, tm_size, tm_y) of a count.
 
-    Each distinct (count, mean, size) is worked out once, so the cost follows the distinct cases
-    and not the largest count of a batch.
+    Y is a negative binomial of mean tm_mu and size tm_size, or a Poisson where the size is infinite.
+    Tails are running sums over the lattice 0, 1, ... of each distribution, up to its largest count;
+    masses follow each other by their ratio, in logarithms, so neither large means nor large sizes
+    break them. The work follows the distinct distributions and their counts, not the rows.
     """
-    cases, back = np.unique(np.stack([y, mu, size]), axis=1, return_inverse=True)
-    tails = np.array([_tail(*case) for case in cases.T]).reshape(-1, 2)
-    return tails[back.ravel(), 0], tails[back.ravel(), 1]
-
-
-def _tail(y: float, mu: float, size: float) -> tuple[float, float]:
-    """P(Y < y) and P(Y <= y) of one count, by incomplete gamma and beta functions."""
-    if y < 0:
-        return 0.0, 0.0
-    k = math.floor(y)
-
-    def at_most(m: int) -> float:
-        if m < 0:
-            return 0.0
-        return chi2_upper(2 * mu, 2 * (m + 1)) if math.isinf(size) else f_upper(mu / (m + 1), 2 * (m + 1), 2 * size)
-
-    return at_most(k - 1 if k == y else k), at_most(k)
+    mu, size, k = F.col("tm_mu"), F.col("tm_size"), F.col("k")
+    poisson = size == float("inf")
+    tops = cases.where("tm_y >= 0").groupBy("tm_mu", "tm_size").agg(F.floor(F.max("tm_y")).alias("top"))
+    lattice = tops.select("tm_mu", "tm_size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("top"))).alias("k"))
+    first = F.when(poisson, -mu).otherwise(-size * F.log1p(mu / size))
+    ratio = F.when(poisson, F.ln(mu / k)).otherwise(F.ln((k - 1 + size) / k) + F.ln(mu / (mu + size)))
+    upwards = Window.partitionBy("tm_mu", "tm_size").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    logs = lattice.withColumn("step", F.when(k == 0, first).when(mu > 0, ratio).otherwise(float("-inf"))).withColumn("mass", F.exp(F.sum("step").over(upwards)))
+    tails = logs.withColumn("upto", F.least(F.sum("mass").over(upwards), F.lit(1.0))).withColumnsRenamed({"tm_mu": "mu_", "tm_size": "size_"})
+    joined = cases.join(tails, (mu == F.col("mu_")) & (size == F.col("size_")) & (F.floor("tm_y") == k), "left")
+    upto = F.coalesce("upto", F.lit(0.0))
+    whole = F.col("tm_y") == F.floor("tm_y")
+    below = F.when(whole, F.greatest(upto - F.coalesce("mass", F.lit(0.0)), F.lit(0.0))).otherwise(upto)
+    return joined.select("tm_mu", "tm_size", "tm_y", below.alias("below"), upto.alias("upto"))
+
+
+def row_uniform(seed: int, keys: Sequence[str]) -> Column:
+    """A number in (0, 1) from the hash of seed and row key, 52 bits."""
+    named = [F.coalesce(F.col(k).cast("string"), F.lit("NA")) for k in keys]
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *named), 256)
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def _count_residuals(rows: DataFrame, size: Column, columns: Sequence[str], u: Column) -> DataFrame:
+    """``scaled``: the place of each row between the two tails of its count."""
+    sized = rows.withColumns({"tm_size": size, "tm_mu": F.col("mu")})
+    cases = settle(count_tails(sized.select("tm_mu", "tm_size", "tm_y").distinct()), "tails")
+    tailed = sized.join(cases, ["tm_mu", "tm_size", "tm_y"])
+    return tailed.withColumn("scaled", F.col("below") + u * (F.col("upto") - F.col("below"))).select(*columns)
 
 
 def _tweedie_ranks(
@@ -92,7 +106,7 @@ def _tweedie_ranks(
     return less, same
 
 
-def _scaled(pdf: pd.DataFrame, family: str, power: float, theta: float, draws: int) -> np.ndarray:
+def _scaled(pdf: pd.DataFrame, family: str, power: float, draws: int) -> np.ndarray:
     seeds = pdf["tm_seed"].to_numpy(dtype=np.int64)
     y, mu = pdf["tm_y"].to_numpy(dtype=float), pdf["mu"].to_numpy(dtype=float)
     phi = pdf["tm_phi"].to_numpy(dtype=float)
@@ -100,31 +114,22 @@ def _scaled(pdf: pd.DataFrame, family: str, power: float, theta: float, draws: i
     words, tie = words[:, :draws], words[:, draws] / 4294967296.0
     if family == "tweedie":
         less, same = _tweedie_ranks(seeds, y, mu, power, phi, draws)
-    elif family == "gaussian":
+    else:
         z = (y - mu) / np.sqrt(2 * phi)
         less, same = _share_below(words, 0.5 * (1 + np.array([math.erf(v) for v in z]))), 0.0
-    else:
-        size = np.full_like(mu, np.inf)
-        if family == "negbin2":
-            size = np.full_like(mu, theta)
-        elif family == "negbin1":
-            size = np.where(phi > 1, mu / np.maximum(phi - 1, 1e-12), np.inf)
-        below, upto = _count_tails(y, mu, size)
-        # a uniform below P(Y < y) stands for a simulated count below y, and so on
-        less = _share_below(words, below)
-        same = _share_below(words, upto) - less
     return less + tie * same
 
 
 def simulated_residuals(
     df: DataFrame, fit: Fit, response: str, keys: Sequence[str], draws: int = 250, seed: int = 26
 ) -> DataFrame:
-    """Add ``scaled``: the place of each observation among ``draws`` responses simulated from the fit.
+    """Add ``scaled``: the place of each observation in the distribution that the fit gives it.
 
-    Ties of counts and zeros are broken at random (Dunn and Smyth 1996), so residuals of a right
-    model are uniform. Numbers depend on seed and row key only. After a refit by dispersion, each
-    row is simulated with the dispersion of its level. Rows are processed where they lie, in small
-    Arrow batches; nothing is shuffled.
+    A count lies between two exact tails of its distribution, at a place that a hash of seed and row
+    key gives (Dunn and Smyth 1996); this runs as joins and running sums, without Python. Other
+    responses are placed among ``draws`` simulated ones, in small Arrow batches where the rows lie.
+    Residuals of a right model are uniform. Numbers depend on seed and row key only. After a refit by
+    dispersion, each row has the dispersion of its level.
     """
     rows = pearson_rows(df, fit, response)
     phi = F.lit(float(fit.dispersion))
@@ -137,14 +142,21 @@ def simulated_residuals(
     )
     schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in ("mu", "residual", "scaled")]])
     family = fit.family.name
-    power, theta = fit.family.power or 0.0, fit.family.theta or 0.0
+    power = fit.family.power or 0.0
     columns = schema.names
+    if family not in ("tweedie", "gaussian"):
+        size = F.lit(float("inf"))
+        if family == "negbin2":
+            size = F.lit(float(fit.family.theta or 0.0))
+        elif family == "negbin1":
+            size = F.when(F.col("tm_phi") > 1, F.col("mu") / F.greatest(F.col("tm_phi") - 1, F.lit(1e-12))).otherwise(float("inf"))
+        return _count_residuals(rows, size, columns, row_uniform(seed, keys))
 
     def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), CHUNK):
                 part = batch.iloc[start : start + CHUNK]
-                yield part.assign(scaled=_scaled(part, family, power, theta, draws))[columns]
+                yield part.assign(scaled=_scaled(part, family, power, draws))[columns]
 
     return rows.mapInPandas(simulate, schema)
 

@@ -115,9 +115,10 @@ UNION ALL {family} 'l_linenumber', l_linenumber::DOUBLE, NULL FROM lineitem
 UNION ALL {family} 'l_discount', NULL, l_discount FROM lineitem
 UNION ALL {family} 'l_tax', NULL, l_tax FROM lineitem"""
 
-    types = ["click", "error", "purchase", "signup", "view"]
-    wide = ", ".join(f"round(avg(cents) FILTER (event_type = '{t}') / 100, 8) AS {t}" for t in types)
-    sql["pivot_wide"] = f"SELECT user_id, {wide} FROM {READINGS} GROUP BY user_id"
+    sql["pivot_wide"] = f"PIVOT (SELECT user_id, coalesce(event_type, 'NA') AS event_type, cents FROM {READINGS}) ON event_type USING round(avg(cents) / 100, 8) GROUP BY user_id"
+    sql["pivot_wide_map"] = """
+WITH c AS (SELECT p_brand, coalesce(p_size::VARCHAR, 'NA') AS size, max(p_partkey) AS k FROM part GROUP BY ALL)
+SELECT p_brand, string_agg(size || '=' || k, ',' ORDER BY size) AS sizes FROM c GROUP BY 1"""
 
     sql["relabel_ordered"] = """
 SELECT o_orderkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(
@@ -356,4 +357,17 @@ SELECT l_returnflag, ship_year, count(*) AS n, round(any_value(q1), 8) AS q1, ro
        round(max(r) FILTER (inside), 8) AS whisker_high, count(*) FILTER (NOT inside) AS outliers,
        round(avg(r), 8) AS av, round(stddev_samp(r), 8) AS sd
 FROM f GROUP BY ALL"""
+    sql["sim_residuals_cells"] = """
+WITH RECURSIVE c AS (SELECT l_returnflag, l_linestatus, count(*)::DOUBLE AS n, avg(l_quantity) AS mu, var_pop(l_quantity) * count(*) AS ss, max(l_quantity)::BIGINT AS top
+  FROM lineitem GROUP BY ALL),
+d AS (SELECT sum(ss / mu) / (sum(n) - count(*)) AS phi FROM c),
+s AS (SELECT l_returnflag, l_linestatus, mu, top, mu / (phi - 1) AS size FROM c, d),
+lattice AS (SELECT *, unnest(range(top + 1)) AS k FROM s),
+steps AS (SELECT *, CASE WHEN k = 0 THEN -size * ln(1 + mu / size) ELSE ln((k - 1 + size) / k) + ln(mu / (mu + size)) END AS step FROM lattice),
+masses AS (SELECT *, exp(sum(step) OVER w) AS mass FROM steps WINDOW w AS (PARTITION BY l_returnflag, l_linestatus ORDER BY k ROWS UNBOUNDED PRECEDING)),
+tails AS (SELECT *, sum(mass) OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM masses),
+placed AS (SELECT l.l_returnflag, l.l_linestatus, upto - mass
+    + (('0x' || substr(sha256(concat_ws('|', '26', l_orderkey, l_linenumber, l_partkey)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE * mass AS scaled
+  FROM lineitem l JOIN tails t ON t.l_returnflag = l.l_returnflag AND t.l_linestatus = l.l_linestatus AND t.k = l.l_quantity)
+SELECT l_returnflag, l_linestatus, least(floor(scaled * 10), 9)::INT AS tenth, count(*) AS n, round(avg(scaled), 6) AS av FROM placed GROUP BY ALL"""
     return sql

@@ -167,8 +167,17 @@ def two_family_union(spark, sf):
 
 @query("pivot_wide")
 def pivot_wide(spark, sf):
-    wide = R.to_wide(readings(spark, sf), ["user_id"], "event_type", EVENT_TYPES, "cents", "mean")
-    return rounded(wide, 8, *EVENT_TYPES, scale=100.0)
+    wide = R.to_wide(readings(spark, sf), ["user_id"], "event_type", None, "cents", "mean")
+    return rounded(wide, 8, *wide.columns[1:], scale=100.0)
+
+
+@query("pivot_wide_map")
+def pivot_wide_map(spark, sf):
+    """Levels without a bound: purchases by brand and part size, a map per brand."""
+    part = table(spark, sf, "part")
+    wide = R.to_wide_map(part, ["p_brand"], "p_size", "p_partkey", "max", "sizes")
+    entries = F.array_join(F.transform(F.map_entries("sizes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return wide.select("p_brand", entries.alias("sizes"))
 
 
 # --- labels, keys, levels --------------------------------------------------------------------
@@ -595,3 +604,14 @@ def simulated_residual_rows(spark, sf):
     fit = _fit(spark, sf, Family("negbin1"), "l_quantity")
     rows = _model_rows(spark, sf).select(*LINE_KEYS, "l_partkey", "l_returnflag", "l_linestatus", "years", "l_quantity")
     return simulated_residuals(rows, fit, "l_quantity", [*LINE_KEYS, "l_partkey"])
+
+
+@query("sim_residuals_cells")
+def simulated_residual_cells(spark, sf):
+    """Where the residuals of a saturated count model lie: rows per tenth, which a right model fills alike."""
+    fit = _fit(spark, sf, Family("negbin1"), "l_quantity", time=False)
+    rows = lines(spark, sf).select(*LINE_KEYS, "l_partkey", "l_returnflag", "l_linestatus", "l_quantity")
+    scaled = simulated_residuals(rows, fit, "l_quantity", [*LINE_KEYS, "l_partkey"])
+    tenth = F.least(F.floor(F.col("scaled") * 10), F.lit(9)).cast("int").alias("tenth")
+    out = scaled.groupBy("l_returnflag", "l_linestatus", tenth).agg(F.count("*").alias("n"), F.avg("scaled").alias("av"))
+    return rounded(out, 6, "av")
