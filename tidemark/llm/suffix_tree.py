@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tidemark.llm.common import slices
 from tidemark.llm.ngrams import (
-    HELD, SLICE_BYTES, Filter, added, bucket_of, buckets_for, count_keys, distinct, heads, longer, pack, pack_sorted, ranges, room, unpack, unpack_sorted, words_of,
+    SLICE_BYTES, Filter, added, bucket_of, buckets_for, count_keys, distinct, heads, longer, pack, pack_sorted, ranges, room, unpack, unpack_sorted, words_of,
 )
 from tidemark.session import scratch_path, settle
 
@@ -45,8 +45,9 @@ SYMBOL_MIN = 8
 MASS = 4.0
 #: Log-likelihood (nats) that a retained context gains for each word it stores.
 GAIN = 2.0
-PAGE_BYTES = 32 << 20
+PAGE_BYTES = 8 << 20
 MOST_PAGE_BUCKETS = 50_000
+HELD = 1 << 19  # pairs that a task gathers before it sends them
 END = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -201,12 +202,12 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, context_m
     words = settle(_word_counts(texts, buckets), "words")
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     train_tokens = sums["n"] or 0
-    # Of each length, at most tokens / minimum runs are frequent; a token takes some 6 bytes.
+    # Of each length, at most tokens / minimum runs are frequent, texts have far fewer; a token takes some 6 bytes.
     frequent = words.where(F.col("n") >= symbol_min)
-    common = Filter(room(size / 6 / symbol_min)).with_keys(frequent)
+    common = Filter(room(size / 24 / symbol_min)).with_keys(frequent)
     level, counts = frequent, []
     for k in range(1, depth + 1):
-        contexts = Filter(room(size / 6 / context_min)).with_keys(level.where(F.col("n") >= context_min))
+        contexts = Filter(room(size / 24 / context_min)).with_keys(level.where(F.col("n") >= context_min))
         hot = Filter(room(4 * buckets)).with_keys(level.where(F.col("n") >= max(1000, train_tokens // (4 * buckets))))
         level = settle(_lowered(_totals(_deeper(texts, buckets, k, contexts, common, hot), symbol_min), counts[-1] if counts else None), f"runs{k}")
         counts.append(level)
@@ -237,7 +238,7 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, context_m
     retained = _union([x.select(F.col("context").alias("key"), F.col("all").alias("n"), "rest") for x in kept])
     stored = settle(_union([c.join(x.select("context"), "context", "left_semi").select("key", "n") for c, x in zip(counts, kept)]), "stored")
     plain = stored.unionByName(words).withColumn("rest", F.lit(-1).cast("long"))
-    held = Filter(room(size / 6 / symbol_min)).with_keys(stored.select("key").unionByName(retained.select("key")))
+    held = Filter(room(size / 24 / symbol_min)).with_keys(stored.select("key").unionByName(retained.select("key")))
     return Model(plain.unionByName(retained), held, train_tokens, sums["v"], depth)
 
 
