@@ -39,8 +39,8 @@ from tidemark.llm.ngrams import (
 from tidemark.session import scratch_path, settle
 
 BLANKS = b" \t\n\x0b\x0c\r"
-DEPTH = 2
-CONTEXT_MIN = 64
+DEPTH = 3
+CONTEXT_MIN = 32
 SYMBOL_MIN = 8
 MASS = 4.0
 #: Log-likelihood (nats) that a retained context gains for each word it stores.
