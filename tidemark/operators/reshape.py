@@ -37,18 +37,24 @@ def families_to_long(
     families: Mapping[str, Sequence[str]],
     name: str,
     fill: float | None = None,
+    faults: str | None = None,
+    whole: str = "record",
 ) -> DataFrame:
     """Several groups of columns to one name column and one value column per group.
 
     All groups come out of a single scan. A row carries the value of its own group; the value
     columns of the other groups are NULL. ``fill`` replaces missing values in the own group only.
+    Fields that the array column ``faults`` names (entry ``field``; ``whole`` stands for all of them)
+    are not missing but unknown: they stay NULL.
     """
+    spoilt = F.lit(False) if faults is None else F.array_contains(F.col(f"{faults}.field"), whole)
     cells = []
     for family, columns in families.items():
         for column in columns:
             measure = F.col(f"`{column}`").cast("double")
             if fill is not None:
-                measure = F.coalesce(measure, F.lit(float(fill)))
+                unknown = spoilt if faults is None else spoilt | F.array_contains(F.col(f"{faults}.field"), column)
+                measure = F.coalesce(measure, F.when(~unknown, F.lit(float(fill))))
             cells.append(F.lit(column))
             cells += [measure if f == family else F.lit(None).cast("double") for f in families]
     count = sum(len(c) for c in families.values())

@@ -11,7 +11,7 @@ from tidemark.operators.allometry import curve_table
 from tidemark.plans import climate as C
 from tidemark.plans import figures as G
 from tidemark.plans import grazers as Z
-from tidemark.plans.surveys import bio_responses, canopy_clean
+from tidemark.plans.surveys import bio_responses, canopy_clean, unreadable_report
 from tidemark.session import settle
 from tidemark.sources.tables import read_responses, write_responses
 
@@ -40,6 +40,7 @@ def build_products(
 
     write_responses(bio_responses(raw["native"], raw["community"], raw["adults"], raw["start"]), f"{out}/bio_responses")
     responses = done["bio_responses"] = read_responses(spark, f"{out}/bio_responses")
+    keep("unreadable", unreadable_report(raw["native"], raw["community"], raw["adults"], raw["start"]))
     canopy = keep("canopy_clean", canopy_clean(raw["canopy"]))
     humidity = keep("humidity_clean", C.humidity_clean(raw["native_humidity"], raw["invaded_humidity"]))
 

@@ -13,6 +13,7 @@ from tidemark.operators.quality import dictionary_violations, violations
 from tidemark.operators.reshape import families_to_long, to_long_by_prefix
 from tidemark.functions.dates import since_anchor
 from tidemark.sources.schemas import BIO_RESPONSES
+from tidemark.sources.tables import UNREADABLE, unreadable_fields
 
 NATIVE, INVADED = "BP", "PA"
 
@@ -52,26 +53,33 @@ START_COVERS = ["%ephem", "%peren"]
 START_LABELS = {"Dens Siph": "Siphonaria", "%ephem": "Ephemerals", "%peren": "Perennials"}
 
 
+def _faults(df: DataFrame) -> str | None:
+    """The column of faults of a table from :func:`~tidemark.sources.tables.read_csv_checked`."""
+    return UNREADABLE if UNREADABLE in df.columns else None
+
+
 def native_responses(community: DataFrame) -> DataFrame:
-    """Missing measures count as 0; weeks run from the first date of the table."""
+    """Missing measures count as 0, unreadable ones stay missing; weeks run from the first date of the table."""
     long = families_to_long(
         community,
         ["date", "block", "barnacles", "herbivores", "plot"],
         {"count": NATIVE_COUNTS, "percent_cover": NATIVE_COVERS},
         "species",
         fill=0.0,
+        faults=_faults(community),
     ).withColumns({"location": F.lit(NATIVE), "species": relabel(F.col("species"), NATIVE_LABELS)})
     return since_start(long, "date", ["location"])
 
 
 def invaded_responses(community: DataFrame, adults: DataFrame, start: DataFrame) -> DataFrame:
-    """Plots noted as lost are left out and other missing measures count as 0; adult limpets keep theirs."""
+    """Plots noted as lost are left out and other missing measures count as 0; adult limpets and unreadable fields keep theirs."""
     later = families_to_long(
         drop_containing(community, "notes", "lost"),
         ["date", "barnacles", "herbivores", "plot"],
         {"count": INVADED_COUNTS, "percent_cover": INVADED_COVERS},
         "species",
         fill=0.0,
+        faults=_faults(community),
     ).withColumn("species", relabel(F.col("species"), INVADED_LABELS))
     limpets = to_long_by_prefix(adults, ["barnacles", "herbivores", "plot"], "200", "date", "count").withColumn(
         "species", F.lit("Siphonaria")
@@ -82,6 +90,7 @@ def invaded_responses(community: DataFrame, adults: DataFrame, start: DataFrame)
         {"count": START_COUNTS, "percent_cover": START_COVERS},
         "species",
         fill=0.0,
+        faults=_faults(start),
     ).withColumns(
         {"species": relabel(F.col("species"), START_LABELS), "date": iso_date(F.lit(INVADED_FIRST_DATE))}
     )
@@ -105,13 +114,50 @@ def canopy_clean(canopy: DataFrame) -> DataFrame:
     ).drop("location")
 
 
-def survey_report(responses: DataFrame, codes: DataFrame, last_date: str) -> DataFrame:
+REPORT_KEYS = {"location": "string", "plot": "int", "date": "date", "species": "string"}
+
+
+def unreadable_report(native: DataFrame, community: DataFrame, adults: DataFrame, start: DataFrame) -> DataFrame:
+    """Fields of the raw survey tables that are no values of their type, in the form of :func:`survey_report`.
+
+    Tables that were read without a check have none. The counts of adult limpets carry the date in
+    the name of their column.
+    """
+    none = F.lit(None)
+    first = iso_date(F.lit(INVADED_FIRST_DATE))
+    parts = [
+        (native, NATIVE, F.col("date"), NATIVE_LABELS),
+        (community, INVADED, F.col("date"), INVADED_LABELS),
+        (adults, INVADED, F.try_to_date("field", "yyyy-MM-dd"), {}),
+        (start, INVADED, first, START_LABELS),
+    ]
+    found = []
+    for df, site, date, labels in parts:
+        if UNREADABLE not in df.columns:
+            continue
+        fields = unreadable_fields(df, [k for k in ("plot", "date") if k in df.columns])
+        species = relabel(F.col("field"), labels) if labels else F.lit("Siphonaria")
+        found.append(
+            fields.select(
+                F.lit(site).alias("location"), "plot", date.alias("date"),
+                F.when(~F.col("field").isin("date", "plot", "record"), species).alias("species"),
+                "field", F.lit("unreadable").alias("rule"), "value",
+            )
+        )
+    if not found:
+        return native.limit(0).select(*[none.cast(k).alias(c) for c, k in {**REPORT_KEYS, **dict.fromkeys(["field", "rule", "value"], "string")}.items()])
+    return stack_rows(*found)
+
+
+def survey_report(responses: DataFrame, codes: DataFrame, last_date: str, unreadable: DataFrame | None = None) -> DataFrame:
     """Broken codes, covers outside of 0-100, missing plots and impossible dates, by plot and date.
 
-    ``codes`` is a table of fields and their codes (:func:`~tidemark.operators.quality.code_lists`).
+    ``codes`` is a table of fields and their codes (:func:`~tidemark.operators.quality.code_lists`),
+    ``unreadable`` what :func:`unreadable_report` found in the raw tables.
     """
-    keys = ["location", "plot", "date", "species"]
+    keys = list(REPORT_KEYS)
     late: Column = F.col("date") > F.lit(last_date).cast("date")
     rules = violations(responses, keys, ranges={"percent_cover": (0.0, 100.0)}, required=["plot"], rules={"after the study": late})
     fields = [c for c in ("block", "barnacles", "herbivores") if c in responses.columns]
-    return rules.unionByName(dictionary_violations(responses, keys, fields, codes))
+    found = rules.unionByName(dictionary_violations(responses, keys, fields, codes))
+    return found if unreadable is None else found.unionByName(unreadable)
