@@ -79,7 +79,8 @@ class Fit:
     family: Family
     weight: str
     estimates: dict[str, float]
-    unscaled_errors: dict[str, float]
+    #: Covariance of the estimates for a dispersion of one, in their order; None where it was left out.
+    covariance: np.ndarray | None
     rows: float
     dispersion: float
     deviance: float
@@ -92,6 +93,13 @@ class Fit:
     def residual_df(self) -> float:
         return self.rows - len(self.estimates)
 
+    @property
+    def unscaled_errors(self) -> dict[str, float]:
+        if self.covariance is None:
+            return {}
+        with np.errstate(invalid="ignore"):
+            return dict(zip(self.estimates, map(float, np.sqrt(np.diag(self.covariance)))))
+
     @property
     def scale(self) -> float:
         return self.dispersion if self.family.free_dispersion else 1.0
@@ -124,7 +132,7 @@ def _fit_mean(table: DataFrame, design: Design, family: Family, weight: str, err
     level = table.agg((F.sum(w * F.col("mean")) / F.sum(w)).alias("m")).first()["m"]
     mu = F.lit(float(level))
     rows, pearson, deviance = _moments(table, family, mu, weight)
-    unscaled = _unscaled_errors(table, [], family, mu, weight) if errors else {}
+    unscaled = _unscaled_covariance(table, [], family, mu, weight) if errors else None
     estimates = {INTERCEPT: math.log(level) if family.log_link else float(level)}
     return Fit(table, design, family, weight, estimates, unscaled, rows, pearson / (rows - 1), deviance)
 
@@ -145,8 +153,8 @@ def _estimates(model: GeneralizedLinearRegressionModel, names: Sequence[str]) ->
     return {INTERCEPT: model.intercept, **dict(zip(names, map(float, model.coefficients)))}
 
 
-def _unscaled_errors(cells: DataFrame, names: Sequence[str], family: Family, mu: Column, weight: str) -> dict[str, float]:
-    """Standard errors for a dispersion of one: root of the diagonal of the inverse of X'WX.
+def _unscaled_covariance(cells: DataFrame, names: Sequence[str], family: Family, mu: Column, weight: str) -> np.ndarray:
+    """Covariance of the estimates for a dispersion of one: the inverse of X'WX.
 
     The sums of products come from one pass over the cells, a column for each pair of estimates;
     the driver inverts the small matrix. Saturated designs need no dispersion for that.
@@ -161,11 +169,9 @@ def _unscaled_errors(cells: DataFrame, names: Sequence[str], family: Family, mu:
         information[i, j] = information[j, i] = float("nan") if sums[f"s{i}_{j}"] is None else sums[f"s{i}_{j}"]
     scale = np.sqrt(np.diag(information))
     try:
-        inverse = np.linalg.inv(information / np.outer(scale, scale)) / np.outer(scale, scale)
-        errors = np.sqrt(np.diag(inverse))
+        return np.linalg.inv(information / np.outer(scale, scale)) / np.outer(scale, scale)
     except np.linalg.LinAlgError:  # columns that follow from each other
-        errors = np.full(size, np.nan)
-    return dict(zip([INTERCEPT, *names], map(float, errors)))
+        return np.full((size, size), np.nan)
 
 
 def _moments(table: DataFrame, family: Family, mu: Column, weight: str) -> tuple[float, float, float]:
@@ -201,7 +207,7 @@ def fit_glm(
     fitted = model.transform(cells)
     rows, pearson, deviance = _moments(fitted, family, mu, weight)
     estimates = _estimates(model, names)
-    unscaled = _unscaled_errors(fitted, names, family, mu, weight) if errors else {}
+    unscaled = _unscaled_covariance(fitted, names, family, mu, weight) if errors else None
     cells.unpersist()
     return Fit(table, design, family, weight, estimates, unscaled, rows, pearson / (rows - len(estimates)), deviance)
 
@@ -249,7 +255,7 @@ def fit_negbin2(
     fitted = model.transform(cells)
     rows, pearson, deviance = _moments(fitted, family, mu, weight)
     estimates = _estimates(model, names)
-    unscaled = _unscaled_errors(fitted, names, family, mu, weight) if errors else {}
+    unscaled = _unscaled_covariance(fitted, names, family, mu, weight) if errors else None
     cells.unpersist()
     dispersion = pearson / (rows - len(estimates))
     return Fit(table, design, family, weight, estimates, unscaled, rows, dispersion, deviance, done)
@@ -263,6 +269,82 @@ def _negbin2_mean(table: DataFrame, design: Design, weight: str, theta: float |
     return _fit_mean(table, design, Family("negbin2", theta=theta), weight, errors)
 
 
+def value_counts(df: DataFrame, design: Design, response: str) -> DataFrame:
+    """(value, rows) of the response over the rows that :func:`~tidemark.operators.design.model_table` uses."""
+    used = df.na.drop("any", subset=[response, *design.variables])
+    for factor, levels in design.factors.items():
+        used = used.where(F.col(factor).isin(list(levels)))
+    counted = used.groupBy(F.col(response).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    return settle(counted, "counts")
+
+
+def _digamma(x: Column) -> tuple[Column, Column]:
+    """First and second derivative of ln gamma: twelve steps of the recurrence, then the asymptotic series."""
+    z = x + 12
+    r = 1 / (z * z)
+    first = F.ln(z) - 1 / (2 * z) - r * (1 / 12 - r * (1 / 120 - r * (1 / 252 - r * (1 / 240 - r / 132))))
+    second = 1 / z + r / 2 + r / z * (1 / 6 - r * (1 / 30 - r * (1 / 42 - r * (1 / 30 - r * 5 / 66))))
+    for j in range(12):
+        first, second = first - 1 / (x + j), second + 1 / ((x + j) * (x + j))
+    return first, second
+
+
+def theta_score(cells: DataFrame, counts: DataFrame, mu: Column, theta: float) -> tuple[float, float]:
+    """Derivatives of the log-likelihood of a negative binomial in its size: first and second.
+
+    The gamma functions depend on the rows only through the distinct counts and how often each
+    occurs, all else through the cells; both are single aggregations.
+    """
+    t, y, n = F.lit(float(theta)), F.col("mean"), F.col("n")
+    (psi, psi1), (psi_0, psi1_0) = _digamma(F.col("value") + t), _digamma(t)
+    own = counts.agg(F.sum(F.col("rows") * (psi - psi_0)).alias("s"), F.sum(F.col("rows") * (psi1 - psi1_0)).alias("d")).first()
+    rest = cells.agg(
+        F.sum(n * ((mu - y) / (mu + t) - F.log1p(mu / t))).alias("s"),
+        F.sum(n * (mu / (t * (mu + t)) - (mu - y) / ((mu + t) * (mu + t)))).alias("d"),
+    ).first()
+    return own["s"] + rest["s"], own["d"] + rest["d"]
+
+
+MOST_THETA = 1e8
+
+
+def likelihood_theta(cells: DataFrame, counts: DataFrame, mu: Column, start: float, tol: float = 1e-10) -> float:
+    """Size of a negative binomial with given means at the maximum of the likelihood, by Newton steps in its logarithm."""
+    theta = min(max(start, 1e-4), MOST_THETA)
+    for _ in range(100):
+        first, second = theta_score(cells, counts, mu, theta)
+        slope, bend = theta * first, theta * first + theta * theta * second
+        step = -slope / bend if bend < 0 else math.copysign(2.0, slope)
+        step = min(max(step, -2.0), 2.0)
+        theta *= math.exp(step)
+        if theta >= MOST_THETA:
+            warnings.warn("counts spread no more than a Poisson; theta is taken as 1e8", stacklevel=2)
+            return MOST_THETA
+        if abs(step) < tol:
+            return theta
+    warnings.warn("theta still moved after 100 steps", stacklevel=2)
+    return theta
+
+
+def fit_negbin2_likelihood(table: DataFrame, counts: DataFrame, design: Design, rounds: int = 50, tol: float = 1e-8) -> Fit:
+    """Negative binomial with mean and size at the maximum of their joint likelihood.
+
+    Both are found in turn, each given the other, until the size settles; the start is the size from
+    moments. ``counts`` are the :func:`value_counts` of the rows behind the ``table``.
+    """
+    fit = fit_negbin2(table, design, errors=False)
+    start = theta = fit.family.theta or 1.0
+    for _ in range(rounds):
+        new = likelihood_theta(table, counts, fitted_mean(fit), theta)
+        settled = abs(new - theta) <= tol * theta
+        theta = new
+        fit = fit_negbin2(table, design, theta=theta, errors=settled)
+        if settled:
+            return fit
+    warnings.warn(f"theta still moved after {rounds} rounds, from {start} to {theta}", stacklevel=2)
+    return fit_negbin2(table, design, theta=theta)
+
+
 def _moment_theta(fitted: DataFrame, mu: Column, estimates: int) -> float:
     y, n = F.col("mean"), F.col("n")
     row = fitted.agg(

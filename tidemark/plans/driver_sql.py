@@ -69,6 +69,13 @@ SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, l_returnflag, l_
     sql["sink_roundtrip"] = f"""
 SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_returnflag, l_linestatus, ship_date FROM {LINES}"""
 
+    sql["csv_roundtrip"] = f"""
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_linenumber <> 7 THEN l_quantity::INT END AS quantity,
+       nullif(l_tax, 0.08) AS tax, CASE WHEN l_linenumber <> 6 THEN ship_date END AS ship_date, l_returnflag,
+       CASE l_linenumber WHEN 7 THEN 'quantity=' || l_quantity::INT || 'x'
+                         WHEN 6 THEN 'ship_date=' || strftime(ship_date, '%d.%m.%Y') ELSE '' END AS unreadable
+FROM {LINES}"""
+
     sql["quality_codes"] = f"""
 WITH l AS (SELECT * REPLACE (nullif(l_tax, 0.08) AS l_tax) FROM {LINES})
 SELECT l_orderkey, l_linenumber, l_partkey, 'l_returnflag' AS field, 'code' AS rule, l_returnflag AS value
@@ -329,6 +336,38 @@ e AS (SELECT 'intercept' AS term, a0 AS estimate, sqrt(va0) AS se FROM z
       UNION ALL SELECT 'l_returnflag_' || k || '_x_years', b - b0, sqrt(vb + vb0) FROM g, z WHERE k <> 'A')
 SELECT term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(estimate / se, 6) AS statistic FROM e"""
 
+    sql["wald_tests"] = """
+WITH c AS (SELECT l_returnflag AS f, l_linestatus AS s, count(*)::DOUBLE AS n, avg(l_quantity) AS m,
+                  var_pop(l_quantity) * count(*) AS ss FROM lineitem GROUP BY ALL),
+phi AS (SELECT sum(ss / m) / (sum(n) - 6) AS phi FROM c),
+w AS (SELECT f, s, ln(m) AS y, n * m / phi AS w FROM c, phi),
+gap AS (SELECT o.f, o.y - a.y AS d, 1 / (1 / o.w + 1 / a.w) AS w FROM w o JOIN w a ON a.f = o.f AND a.s = 'F' WHERE o.s = 'O'),
+middle AS (SELECT sum(w * d) / sum(w) AS d, sum(w) AS w FROM gap),
+crossing AS (SELECT sum(g.w * (g.d - middle.d) * (g.d - middle.d)) AS x FROM gap g, middle),
+status AS (SELECT s, sum(w * y) / sum(w) AS y FROM w GROUP BY 1),
+flags AS (SELECT sum(w.w * (w.y - status.y) * (w.y - status.y)) AS x FROM w JOIN status USING (s))
+SELECT 'l_returnflag' AS term, 2 AS df, round(flags.x - crossing.x, 6) AS statistic FROM flags, crossing
+UNION ALL SELECT 'l_linestatus', 1, round(w * d * d, 6) FROM middle
+UNION ALL SELECT 'l_returnflag:l_linestatus', 2, round(x, 6) FROM crossing"""
+
+    sql["glm_negbin2_likelihood"] = """
+WITH RECURSIVE c AS (SELECT l_returnflag AS f, count(*)::DOUBLE AS n, avg(l_quantity) AS m FROM lineitem GROUP BY 1),
+lattice AS (SELECT unnest(range((SELECT max(l_quantity)::BIGINT FROM lineitem))) AS k),
+above AS (SELECT k, count(*)::DOUBLE AS n FROM lattice JOIN lineitem ON l_quantity > k GROUP BY 1),
+halves(step, low, high) AS (
+  SELECT 0, ln(1e-3::DOUBLE), ln(1e6::DOUBLE)
+  UNION ALL
+  SELECT step + 1, CASE WHEN score > 0 THEN t ELSE low END, CASE WHEN score > 0 THEN high ELSE t END
+  FROM (SELECT *, (low + high) / 2 AS t,
+               (SELECT sum(n / (exp((low + high) / 2) + k)) FROM above)
+               - (SELECT sum(n * ln(1 + m / exp((low + high) / 2))) FROM c) AS score FROM halves WHERE step < 60)),
+size AS (SELECT exp((low + high) / 2) AS theta FROM halves WHERE step = 60),
+cells AS (SELECT f, ln(m) AS y, (1 / m + 1 / theta) / n AS v, theta FROM c, size),
+e AS (SELECT CASE WHEN f = 'A' THEN 'intercept' ELSE 'l_returnflag_' || f END AS term,
+             CASE WHEN f = 'A' THEN y ELSE y - (SELECT y FROM cells WHERE f = 'A') END AS estimate,
+             sqrt(v + CASE WHEN f = 'A' THEN 0 ELSE (SELECT v FROM cells WHERE f = 'A') END) AS se, theta FROM cells)
+SELECT term, round(estimate, 6) AS estimate, round(se, 6) AS se, round(estimate / se, 6) AS statistic, round(theta, 6) AS theta FROM e"""
+
     sql["dispersion_cells"] = """
 WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS n, avg(l_quantity) AS m, var_pop(l_quantity) * count(*) AS ss
            FROM lineitem GROUP BY ALL)

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.dates import days_to_anchor, us_date
 from tidemark.functions.labels import composite_key, label_of, level_index, recode, relabel, within_levels
@@ -28,8 +29,10 @@ from tidemark.operators.glm import (
     coef_table,
     dispersion_by_level,
     fit_glm,
+    fit_negbin2_likelihood,
     refit_by_dispersion,
     tweedie_power,
+    value_counts,
 )
 from tidemark.operators.oneway import anova_oneway, oneway_ols
 from tidemark.operators.quality import dictionary_violations, violations
@@ -42,9 +45,9 @@ from tidemark.operators.residuals import (
     simulated_residuals,
 )
 from tidemark.operators.summaries import cell_summary, daily_peak_band, histogram, mean_of_daily_peaks, monthly_mean
-from tidemark.operators.terms import drop_table, drop_terms, type2_tests
+from tidemark.operators.terms import drop_table, drop_terms, type2_tests, wald_tests
 from tidemark.session import scratch_path
-from tidemark.sources.tables import write_partitioned
+from tidemark.sources.tables import UNREADABLE, read_csv_checked, write_csv, write_partitioned
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -108,6 +111,27 @@ def sink_roundtrip(spark, sf):
     return spark.read.schema(df.schema).parquet(path).select(*columns)
 
 
+@query("csv_roundtrip")
+def csv_roundtrip(spark, sf):
+    """Line items through CSV files in which fields are missing, or are no values of their type."""
+    quantity, day = F.col("l_quantity").cast("int").cast("string"), F.col("ship_date")
+    line = F.col("l_linenumber")
+    text = lines(spark, sf).select(
+        *LINE_KEYS,
+        "l_partkey",
+        F.when(line == 7, F.concat(quantity, F.lit("x"))).otherwise(quantity).alias("quantity"),
+        F.nullif(F.col("l_tax"), F.lit(0.08)).alias("tax"),
+        F.when(line == 6, F.date_format(day, "dd.MM.yyyy")).otherwise(day.cast("string")).alias("ship_date"),
+        "l_returnflag",
+    )
+    path = scratch_path(spark, "lines_csv")
+    write_csv(text, path)
+    kinds = {"quantity": T.IntegerType(), "tax": T.DoubleType(), "ship_date": T.DateType()}
+    layout = T.StructType([T.StructField(f.name, kinds.get(f.name, f.dataType)) for f in text.schema])
+    faults = F.array_join(F.transform(UNREADABLE, lambda x: F.concat_ws("=", x["field"], x["value"])), ";")
+    return read_csv_checked(spark, path, layout).withColumn(UNREADABLE, faults)
+
+
 @query("quality_codes")
 def quality_codes(spark, sf):
     df = lines(spark, sf).withColumn("l_tax", F.nullif(F.col("l_tax"), F.lit(0.08)))
@@ -562,6 +586,22 @@ def type2_table(spark, sf):
     return type2_tests(spark, _fit(spark, sf, Family("gaussian"), "l_quantity", order=2))
 
 
+@query("wald_tests")
+def wald_table(spark, sf):
+    """Type-II Wald tests of two crossed factors in a count model."""
+    out = wald_tests(spark, _fit(spark, sf, Family("negbin1"), "l_quantity", time=False)).drop("p_value")  # SQL has no such tails
+    return rounded(out, 6, "statistic")
+
+
+@query("glm_negbin2_likelihood")
+def glm_negbin2_likelihood(spark, sf):
+    """A negative binomial by flag, its size at the maximum of the likelihood."""
+    rows, design = lines(spark, sf), crossed({"l_returnflag": FLAGS})
+    fit = fit_negbin2_likelihood(model_table(rows, design, "l_quantity"), value_counts(rows, design, "l_quantity"), design)
+    out = coef_table(spark, fit).drop("p_value").withColumn("theta", F.lit(fit.family.theta))
+    return rounded(out, 6, "estimate", "se", "statistic", "theta")
+
+
 @query("dispersion_cells")
 def dispersion_cells(spark, sf):
     """Pearson dispersion of a count model per level, from design cells."""

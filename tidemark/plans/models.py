@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.logit import with_logit
 from tidemark.operators.design import Design, crossed, model_table
-from tidemark.operators.glm import Family, Fit, fit_glm, refit_by_dispersion, tweedie_power
+from tidemark.operators.glm import Family, Fit, fit_glm, fit_negbin2_likelihood, refit_by_dispersion, tweedie_power, value_counts
 from tidemark.operators.residuals import durbin_watson, residual_summary, simulated_residuals
 from tidemark.operators.terms import drop_table, drop_terms
 from tidemark.session import settle
@@ -77,7 +77,10 @@ def fit_plan(plan: ModelPlan, df: DataFrame, by_dispersion: bool = False) -> Fit
     family = Family(plan.family)
     if plan.family == "tweedie":
         family = Family("tweedie", power=tweedie_power(table, [*plan.factors, "timediff"]))
-    fit = fit_glm(table, design, family)
+    if plan.family == "negbin2":
+        fit = fit_negbin2_likelihood(table, value_counts(df, design, plan.response), design)
+    else:
+        fit = fit_glm(table, design, family)
     if not (by_dispersion and plan.dispersion):
         return fit
     # a dispersion that follows time is a trend, not a level for each date
