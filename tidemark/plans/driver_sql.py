@@ -396,7 +396,7 @@ SELECT l_returnflag, ship_year, count(*) AS n, round(any_value(q1), 8) AS q1, ro
        round(max(r) FILTER (inside), 8) AS whisker_high, count(*) FILTER (NOT inside) AS outliers,
        round(avg(r), 8) AS av, round(stddev_samp(r), 8) AS sd
 FROM f GROUP BY ALL"""
-    sql["sim_residuals_cells"] = """
+    placed = """
 WITH RECURSIVE c AS (SELECT l_returnflag, l_linestatus, count(*)::DOUBLE AS n, avg(l_quantity) AS mu, var_pop(l_quantity) * count(*) AS ss, max(l_quantity)::BIGINT AS top
   FROM lineitem GROUP BY ALL),
 d AS (SELECT sum(ss / mu) / (sum(n) - count(*)) AS phi FROM c),
@@ -407,6 +407,30 @@ masses AS (SELECT *, exp(sum(step) OVER w) AS mass FROM steps WINDOW w AS (PARTI
 tails AS (SELECT *, sum(mass) OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM masses),
 placed AS (SELECT l.l_returnflag, l.l_linestatus, upto - mass
     + (('0x' || substr(sha256(concat_ws('|', '26', l_orderkey, l_linenumber, l_partkey)), 1, 13))::BIGINT + 0.5) / 4503599627370496.0::DOUBLE * mass AS scaled
-  FROM lineitem l JOIN tails t ON t.l_returnflag = l.l_returnflag AND t.l_linestatus = l.l_linestatus AND t.k = l.l_quantity)
+  FROM lineitem l JOIN tails t ON t.l_returnflag = l.l_returnflag AND t.l_linestatus = l.l_linestatus AND t.k = l.l_quantity)"""
+    sql["sim_residuals_cells"] = f"""{placed}
 SELECT l_returnflag, l_linestatus, least(floor(scaled * 10), 9)::INT AS tenth, count(*) AS n, round(avg(scaled), 6) AS av FROM placed GROUP BY ALL"""
+    sql["residual_uniformity"] = f"""{placed},
+ranked AS (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS size FROM placed
+           WINDOW w AS (PARTITION BY l_returnflag, l_linestatus ORDER BY scaled)),
+k AS (SELECT l_returnflag, l_linestatus, count(*) AS n, max(greatest(r / size::DOUBLE - scaled, scaled - (r - 1) / size::DOUBLE)) AS ks,
+             count(*) FILTER (scaled < 1 / 251.0::DOUBLE) AS low_outliers, count(*) FILTER (scaled > 1 - 1 / 251.0::DOUBLE) AS high_outliers,
+             12 * var_pop(scaled) AS spread FROM ranked GROUP BY ALL),
+x AS (SELECT *, ks * (sqrt(n) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n)) AS x FROM k)
+SELECT l_returnflag, l_linestatus, n, round(ks, 6) AS ks,
+       round(CASE WHEN x < 0.2 THEN 1.0::DOUBLE ELSE least(greatest(
+         (SELECT sum(CASE WHEN i % 2 = 1 THEN 2.0::DOUBLE ELSE -2.0::DOUBLE END * exp(-2.0::DOUBLE * i * i * x * x)) FROM range(1, 101) t(i)), 0), 1) END, 6) AS p_value,
+       low_outliers, high_outliers, round(n * 2 / 251.0::DOUBLE, 6) AS expected_outliers, round(spread, 6) AS spread FROM x"""
+    sql["lm_diagnostics"] = f"""
+WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_quantity,
+                  (date_diff('day', DATE '1995-01-01', ship_date) // 91) / 4.0::DOUBLE AS x FROM {LINES}),
+f AS (SELECT l_returnflag, count(*) AS n, avg(x) AS mx, regr_sxx(l_quantity, x) AS sxx, regr_slope(l_quantity, x) AS b,
+             regr_intercept(l_quantity, x) AS a,
+             regr_syy(l_quantity, x) - regr_sxy(l_quantity, x) * regr_sxy(l_quantity, x) / regr_sxx(l_quantity, x) AS rss FROM l GROUP BY 1),
+s AS (SELECT sum(rss) / (sum(n) - 6) AS s2 FROM f),
+d AS (SELECT l.*, a + b * x AS mu, l_quantity - a - b * x AS residual, 1.0::DOUBLE / n + (x - mx) * (x - mx) / sxx AS h, s2
+      FROM l JOIN f USING (l_returnflag), s)
+SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag, l_quantity, round(mu, 6) AS mu, round(residual, 6) AS residual,
+       round(h * 1000, 6) AS leverage, round(residual / sqrt(s2 * (1 - h)), 6) AS standardised,
+       round(residual * residual / (s2 * (1 - h)) * h / (1 - h) / 6 * 1000, 6) AS cook FROM d"""
     return sql

@@ -22,6 +22,7 @@ from tidemark.operators import combine as J
 from tidemark.operators import reshape as R
 from tidemark.operators.allometry import curve_weight, fit_loglog, predict_loglog, regression_band
 from tidemark.operators.design import Design, crossed, design_matrix, model_table
+from tidemark.operators.diagnostics import lm_diagnostics, residual_uniformity
 from tidemark.operators.elapsed import since_start
 from tidemark.operators.glm import (
     Family,
@@ -46,7 +47,7 @@ from tidemark.operators.residuals import (
 )
 from tidemark.operators.summaries import cell_summary, daily_peak_band, histogram, mean_of_daily_peaks, monthly_mean
 from tidemark.operators.terms import drop_table, drop_terms, type2_tests, wald_tests
-from tidemark.session import scratch_path
+from tidemark.session import scratch_path, settle
 from tidemark.sources.tables import UNREADABLE, read_csv_checked, write_csv, write_partitioned
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -646,12 +647,34 @@ def simulated_residual_rows(spark, sf):
     return simulated_residuals(rows, fit, "l_quantity", [*LINE_KEYS, "l_partkey"])
 
 
+def _scaled_cells(spark, sf):
+    """Scaled residuals of a saturated count model."""
+    fit = _fit(spark, sf, Family("negbin1"), "l_quantity", time=False)
+    rows = lines(spark, sf).select(*LINE_KEYS, "l_partkey", "l_returnflag", "l_linestatus", "l_quantity")
+    return simulated_residuals(rows, fit, "l_quantity", [*LINE_KEYS, "l_partkey"])
+
+
 @query("sim_residuals_cells")
 def simulated_residual_cells(spark, sf):
     """Where the residuals of a saturated count model lie: rows per tenth, which a right model fills alike."""
-    fit = _fit(spark, sf, Family("negbin1"), "l_quantity", time=False)
-    rows = lines(spark, sf).select(*LINE_KEYS, "l_partkey", "l_returnflag", "l_linestatus", "l_quantity")
-    scaled = simulated_residuals(rows, fit, "l_quantity", [*LINE_KEYS, "l_partkey"])
+    scaled = _scaled_cells(spark, sf)
     tenth = F.least(F.floor(F.col("scaled") * 10), F.lit(9)).cast("int").alias("tenth")
     out = scaled.groupBy("l_returnflag", "l_linestatus", tenth).agg(F.count("*").alias("n"), F.avg("scaled").alias("av"))
     return rounded(out, 6, "av")
+
+
+@query("residual_uniformity")
+def residual_uniformity_tests(spark, sf):
+    scaled = settle(_scaled_cells(spark, sf).select("l_returnflag", "l_linestatus", "scaled"), "scaled")
+    out = residual_uniformity(scaled, "scaled", ["l_returnflag", "l_linestatus"])
+    return rounded(out, 6, "ks", "p_value", "expected_outliers", "spread")
+
+
+@query("lm_diagnostics")
+def linear_diagnostics(spark, sf):
+    """Leverage and influence of every line in a model with a line in time per flag."""
+    design, rows = crossed({"l_returnflag": FLAGS}, ["years"]), _model_rows(spark, sf)
+    fit = fit_glm(model_table(rows, design, "l_quantity"), design, Family("gaussian"))
+    out = lm_diagnostics(rows.select(*LINE_KEYS, "l_partkey", "l_returnflag", "years", "l_quantity"), fit, "l_quantity")
+    out = out.withColumns({"leverage": F.col("leverage") * 1000, "cook": F.col("cook") * 1000})
+    return rounded(out.drop("years"), 6, "mu", "residual", "leverage", "standardised", "cook")
