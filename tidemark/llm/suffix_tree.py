@@ -12,8 +12,8 @@ A token is scored by the longest retained context that ends before it; the empty
 smoothed word distribution. Every document ends with a token of its own.
 
 Counts, contexts and the model are tables whose rows are spread by 64-bit hashes of word runs. Runs
-of length k + 1 are counted once those of length k are known: a filter of bounded size says which
-contexts and words are frequent enough, and later which rows the model holds. To score, the documents
+of length k + 1 are counted once those of length k are known: filters of bounded size say which
+contexts and which runs after their first word are frequent enough, and later which rows the model holds. To score, the documents
 are dealt to pages; a page asks once for each distinct row that it may need, the rows come back to
 the page, and its texts stream past them. Nothing of the corpus or the model is held by the driver.
 """
@@ -110,9 +110,12 @@ def _packed_pairs(columns: list[np.ndarray], buckets: int, hot: Filter) -> pa.Re
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "context", "length", "word", "n"])
 
 
-def _deeper(texts: DataFrame, buckets: int, k: int, contexts: Filter, words: Filter, hot: Filter) -> DataFrame:
-    """Packed counts of the runs of k + 1 tokens whose first k are a frequent run and whose last is a frequent word."""
-    shared = texts.sparkSession.sparkContext.broadcast((contexts, words, hot))
+def _deeper(texts: DataFrame, buckets: int, k: int, contexts: Filter, ends: Filter, hot: Filter) -> DataFrame:
+    """Packed counts of the runs of k + 1 tokens whose first k are a frequent context and whose last k are a frequent run.
+
+    No run is more frequent than its last k tokens, so no frequent one is left out.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((contexts, ends, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, common, spread = shared.value
@@ -123,7 +126,7 @@ def _deeper(texts: DataFrame, buckets: int, k: int, contexts: Filter, words: Fil
                 before = runs(word, place, k - 1)
                 at = np.flatnonzero(place >= k)
                 at = at[often.holds(before[k - 1][at - 1])]
-                at = at[common.holds(word[at])]
+                at = at[common.holds(before[k - 1][at])]
                 parts.append(_merged([before[k - 1][at - 1], word[at], np.ones(len(at), np.uint32)]))
                 size += len(parts[-1][0])
                 if size >= HELD:
@@ -204,12 +207,12 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, context_m
     train_tokens = sums["n"] or 0
     # Of each length, at most tokens / minimum runs are frequent, texts have far fewer; a token takes some 6 bytes.
     frequent = words.where(F.col("n") >= symbol_min)
-    common = Filter(room(size / 24 / symbol_min)).with_keys(frequent)
     level, counts = frequent, []
     for k in range(1, depth + 1):
+        ends = Filter(room(size / 24 / symbol_min)).with_keys(level)
         contexts = Filter(room(size / 24 / context_min)).with_keys(level.where(F.col("n") >= context_min))
         hot = Filter(room(4 * buckets)).with_keys(level.where(F.col("n") >= max(1000, train_tokens // (4 * buckets))))
-        level = settle(_lowered(_totals(_deeper(texts, buckets, k, contexts, common, hot), symbol_min), counts[-1] if counts else None), f"runs{k}")
+        level = settle(_lowered(_totals(_deeper(texts, buckets, k, contexts, ends, hot), symbol_min), counts[-1] if counts else None), f"runs{k}")
         counts.append(level)
     # Divergence of each context from the shorter one, over the words it stores and all others together.
     tested: list[DataFrame] = []
