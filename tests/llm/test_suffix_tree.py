@@ -83,6 +83,7 @@ def test_against_brute_force(make, monkeypatch, depth, context_min, symbol_min,
     monkeypatch.setattr(N, "BUCKET_BYTES", 3000)
     monkeypatch.setattr(N, "HELD", 300)
     monkeypatch.setattr(M, "HELD", 300)
+    monkeypatch.setattr(M, "MOST_CODES", 6)
     texts = [*corpus(1, 250), None, "", " \n", "x " * 3000, *["the same passage of text that many copies share"] * 40]
     docs = make([*enumerate(texts), (None, texts[0]), (7, texts[7])])
     tree = Tree([*texts, texts[0], texts[7]], depth, context_min, symbol_min, gain)
@@ -107,6 +108,17 @@ def test_contexts_give_distributions():
         assert sum(tree.chance(list(s), w) for w in words) + tree.chance(list(s), "never seen") == pytest.approx(1)
 
 
+def test_codes(spark):
+    import numpy as np
+
+    rows = [(k * 7919 - 40_000, 1 + 1000 // (k + 1)) for k in range(100)]
+    words = spark.createDataFrame(rows, "key long, n long")
+    sent = np.array([k for k, _ in rows] * 3 + [5, -5], np.int64).view(np.uint64)
+    for codes in (M.Codes.of(words), M.Codes.of(words.limit(0))):
+        assert (codes.unpack(*codes.pack(sent)) == sent).all() and len(codes.unpack(*codes.pack(sent[:0]))) == 0
+    assert len(M.Codes.of(words).by_rank) == 100
+
+
 def test_empty_tables_and_unknown_words(make):
     none = make([(1, "a")]).limit(0)
     model = M.learn(none)

@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +47,7 @@ MASS = 4.0
 GAIN = 2.0
 PAGE_BYTES = 8 << 20
 MOST_PAGE_BUCKETS = 50_000
+MOST_CODES = (1 << 16) - 1
 HELD = 1 << 19  # pairs that a task gathers before it sends them
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -88,13 +89,52 @@ def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [*[c[order[at]] for c in columns[:-1]], total]
 
 
-PAIRS = "bucket int, context binary, length binary, word binary, n binary"
-
-
-def _packed_pairs(columns: list[np.ndarray], buckets: int, hot: Filter) -> pa.RecordBatch:
+class Codes:
+    """Two bytes for each of the most frequent words, which most tokens are; other words are sent in full."""
+
+    def __init__(self, by_rank: np.ndarray):
+        self.by_rank, order = by_rank, np.argsort(by_rank)
+        self.sorted, self.rank = by_rank[order], order.astype("<u2")
+
+    @classmethod
+    def of(cls, words: DataFrame) -> Codes:
+        """Of the words above the least count that leaves ``MOST_CODES`` of them at most."""
+        step = F.floor(F.log2("n") * 8).cast("int")
+        taken, least = 0, None
+        for row in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+            taken += row["words"]
+            if taken > MOST_CODES:
+                break
+            least = row["step"]
+        if least is None:
+            return cls(np.empty(0, np.uint64))
+        rows = words.where(step >= least).select("key", "n").collect()
+        return cls(np.array([r["key"] for r in sorted(rows, key=lambda r: (-r["n"], r["key"]))], np.int64).view(np.uint64))
+
+    def pack(self, words: np.ndarray) -> tuple[bytes, bytes]:
+        """Codes in order, and the words that have none."""
+        code, known = np.full(len(words), MOST_CODES, "<u2"), np.zeros(len(words), bool)
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+            known = self.sorted[at] == words
+            code[known] = self.rank[at[known]]
+        return pack(code), pack(words[~known])
+
+    def unpack(self, codes: bytes, others: bytes) -> np.ndarray:
+        code = unpack(codes, "<u2")
+        known = code < MOST_CODES
+        out = np.empty(len(code), np.uint64)
+        out[known], out[~known] = self.by_rank[code[known]], unpack(others, "<u8")
+        return out
+
+
+PAIRS = "bucket int, context binary, length binary, word binary, other binary, n binary"
+
+
+def _packed_pairs(columns: list[np.ndarray], buckets: int, hot: Filter, codes: Codes) -> pa.RecordBatch:
     """(context, word, n) per bucket. A context's pairs lie in its own bucket, or, if it is hot, in those of the pairs."""
     spread = hot.holds(columns[0])
-    rows: list[list] = [[] for _ in range(5)]
+    rows: list[list] = [[] for _ in range(6)]
     for some, place in ((~spread, columns[0]), (spread, longer(columns[0], columns[1]))):
         bucket = bucket_of(place[some], buckets)
         own = [c[some] for c in columns]
@@ -104,13 +144,13 @@ def _packed_pairs(columns: list[np.ndarray], buckets: int, hot: Filter) -> pa.Re
         for a, b in zip(cuts, [*cuts[1:], len(bucket)]):
             context, word, n = (c[a:b] for c in own)
             at = heads(context)
-            made = (int(bucket[a]), pack_sorted(context[at]), pack(np.diff(at, append=b - a).astype("<u4")), pack(word), pack(n.astype("<u4")))
+            made = (int(bucket[a]), pack_sorted(context[at]), pack(np.diff(at, append=b - a).astype("<u4")), *codes.pack(word), pack(n.astype("<u4")))
             for column, x in zip(rows, made):
                 column.append(x)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "context", "length", "word", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(r, pa.binary()) for r in rows[1:]]], names=["bucket", "context", "length", "word", "other", "n"])
 
 
-def _deeper(texts: DataFrame, buckets: int, k: int, contexts: Filter, ends: Filter, hot: Filter) -> DataFrame:
+def _deeper(texts: DataFrame, buckets: int, k: int, contexts: Filter, ends: Filter, hot: Filter, codes: Broadcast) -> DataFrame:
     """Packed counts of the runs of k + 1 tokens whose first k are a frequent context and whose last k are a frequent run.
 
     No run is more frequent than its last k tokens, so no frequent one is left out.
@@ -133,22 +173,22 @@ def _deeper(texts: DataFrame, buckets: int, k: int, contexts: Filter, ends: Filt
                     parts = [_merged([np.concatenate(c) for c in zip(*parts)])]
                     size = len(parts[0][0])
                     if size >= HELD // 2:
-                        yield _packed_pairs(parts.pop(), buckets, spread)
+                        yield _packed_pairs(parts.pop(), buckets, spread, codes.value)
                         size = 0
         if size:
-            yield _packed_pairs(_merged([np.concatenate(c) for c in zip(*parts)]), buckets, spread)
+            yield _packed_pairs(_merged([np.concatenate(c) for c in zip(*parts)]), buckets, spread, codes.value)
 
     return texts.mapInArrow(run, PAIRS)
 
 
-def _totals(gathered: DataFrame, least: int) -> DataFrame:
+def _totals(gathered: DataFrame, least: int, codes: Broadcast) -> DataFrame:
     """(key, context, word, n) of the pairs with ``least`` occurrences; key is the run of context and word."""
 
     def merge(table: pa.Table) -> pa.Table:
         parts = []
         for row in table.to_pylist():
             context = np.repeat(unpack_sorted(row["context"]), unpack(row["length"], "<u4"))
-            parts.append([context, unpack(row["word"], "<u8"), unpack(row["n"], "<u4").astype(np.int64)])
+            parts.append([context, codes.value.unpack(row["word"], row["other"]), unpack(row["n"], "<u4").astype(np.int64)])
         context, word, n = _merged([np.concatenate(c) for c in zip(*parts)])
         often = n >= least
         context, word = context[often], word[often]
@@ -207,12 +247,13 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, context_m
     train_tokens = sums["n"] or 0
     # Of each length, at most tokens / minimum runs are frequent, texts have far fewer; a token takes some 6 bytes.
     frequent = words.where(F.col("n") >= symbol_min)
+    codes = spark.sparkContext.broadcast(Codes.of(frequent))
     level, counts = frequent, []
     for k in range(1, depth + 1):
         ends = Filter(room(size / 24 / symbol_min)).with_keys(level)
         contexts = Filter(room(size / 24 / context_min)).with_keys(level.where(F.col("n") >= context_min))
         hot = Filter(room(4 * buckets)).with_keys(level.where(F.col("n") >= max(1000, train_tokens // (4 * buckets))))
-        level = settle(_lowered(_totals(_deeper(texts, buckets, k, contexts, ends, hot), symbol_min), counts[-1] if counts else None), f"runs{k}")
+        level = settle(_lowered(_totals(_deeper(texts, buckets, k, contexts, ends, hot, codes), symbol_min, codes), counts[-1] if counts else None), f"runs{k}")
         counts.append(level)
     # Divergence of each context from the shorter one, over the words it stores and all others together.
     tested: list[DataFrame] = []
