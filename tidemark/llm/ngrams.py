@@ -18,8 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from tidemark.llm.common import mix, slices
 
@@ -215,21 +214,39 @@ class Filter:
     def with_keys(self, keys: DataFrame, key: str = "key") -> Filter:
         """A filter that holds the keys of a table (a long column) as well.
 
-        Bits are set in groups of 64 KB; what comes to the driver is as large as the filter at most.
+        Each task sends the places of its keys sorted and packed, per group of 64 KB in which bits are
+        set; what comes to the driver is as large as the filter at most.
         """
-        own: Column = F.col(key)
-        places = F.array(F.shiftrightunsigned(own, 3).bitwiseAND(F.lit((1 << self.bits) - 1)), F.shiftrightunsigned(own, 64 - self.bits))
-        each = keys.select(F.explode(places).alias("place"))
-        block = each.select(F.shiftright("place", BLOCK_BITS).cast("int").alias("block"), F.col("place").bitwiseAND(F.lit((1 << BLOCK_BITS) - 1)).cast("int").alias("bit"))
+        bits, inside = self.bits, np.uint64((1 << BLOCK_BITS) - 1)
+
+        def packed(parts: list[np.ndarray]) -> pa.RecordBatch:
+            place = distinct(np.concatenate(parts))
+            block, bit = (place >> np.uint64(BLOCK_BITS)).astype(np.int32), (place & inside).astype("<u4")
+            at = heads(block)
+            bodies = [pack_sorted(bit[x:y]) for x, y in zip(at, [*at[1:], len(bit)])]
+            return pa.RecordBatch.from_arrays([pa.array(block[at]), pa.array(bodies, pa.binary())], names=["block", "bits"])
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, size = [], 0
+            for batch in batches:
+                own = batch.column(0).to_numpy().view(np.uint64)
+                parts += [own >> np.uint64(3) & np.uint64((1 << bits) - 1), own >> np.uint64(64 - bits)]
+                size += 2 * len(own)
+                if size >= HELD:
+                    yield packed(parts)
+                    parts, size = [], 0
+            if size:
+                yield packed(parts)
 
         def fill(table: pa.Table) -> pa.Table:
             flags = np.zeros(1 << BLOCK_BITS, bool)
-            flags[table.column("bit").to_numpy()] = True
+            for body in table.column("bits").to_pylist():
+                flags[np.cumsum(unpack(body, "<u4"))] = True
             return pa.table({"block": table.column("block").slice(0, 1), "body": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
 
         wider = Filter(self.bits)
         wider.words |= self.words
-        for row in block.distinct().groupBy("block").applyInArrow(fill, "block int, body binary").collect():
+        for row in keys.select(key).mapInArrow(places, "block int, bits binary").groupBy("block").applyInArrow(fill, "block int, body binary").collect():
             part = np.frombuffer(row["body"], "<u8")
             wider.words[row["block"] * len(part) : (row["block"] + 1) * len(part)] |= part
         return wider

@@ -294,15 +294,25 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _wanted(body: bytes, depth: int, held: Filter) -> np.ndarray:
-    """Sorted keys of the model rows that a page may need: its words, and the longer runs that the model may hold."""
+    """Sorted keys of the model rows that a page may need: its words, and the longer runs that the model may hold.
+
+    The model holds the last k tokens of every run of k + 1 tokens that it holds, and the first k as
+    well where the run is too long for a context. A run for which a filter denies these is not asked for.
+    """
     found = []
     for _, texts in _unpacked(body):
         word, _, place = tokens(texts)
         every = runs(word, place, depth)
         found.append(distinct(word))
+        maybe = np.ones(len(word), bool)
         for k in range(1, depth + 1):
-            own = every[k][place >= k]
-            found.append(distinct(own[held.holds(own)]))
+            at = np.flatnonzero(maybe & (place >= k))
+            if k == depth:
+                at = at[maybe[at - 1]]
+            at = at[held.holds(every[k][at])]
+            maybe = np.zeros(len(word), bool)
+            maybe[at] = True
+            found.append(distinct(every[k][at]))
     return distinct(np.concatenate(found))
 
 
