@@ -78,6 +78,22 @@ def test_late_phrases_are_counted_in_full(spark):
     assert {(r["phrase"], r["n"]) for r in phrases.where("width > 1").collect()} == {(p, 30) for p in ("a b", "b c", "c d", "d e", "a b c", "b c d", "c d e", "a b c d", "b c d e", "a b c d e")}
 
 
+def test_a_task_sends_a_row_per_bucket_and_language(spark, monkeypatch):
+    """However many slices of texts and phrases it has; where a task may gather little, sums stay the same."""
+    texts = table(spark, [("a b c", "en"), ("a b", "de"), ("b c.", "en")] * 60).coalesce(1)
+    want = {("en", 0, ""): 300, ("de", 0, ""): 120, ("en", 1, "a"): 60, ("en", 1, "b"): 120, ("en", 1, "c"): 120, ("de", 1, "a"): 60, ("de", 1, "b"): 60}
+    want |= {("en", 2, "a b"): 60, ("en", 2, "b c"): 120, ("en", 3, "a b c"): 60, ("de", 2, "a b"): 60}
+    every = Filter(20)
+    every.words[:] = np.uint64(2**64 - 1)
+    monkeypatch.setattr(C, "SLICE_BYTES", 40)
+    assert C._spelt(texts, 5, every, 1).count() == 2
+    monkeypatch.setattr(C, "SPELT", 12)
+    for buckets, least in ((1, 1), (5, 100)):
+        sums = C._spelt(texts, 5, every, buckets).groupBy("bucket", "lang").applyInArrow(C._together(least), C.COUNTED).collect()
+        often = {k: n for k, n in want.items() if n >= least}
+        assert len(sums) == len(often) and {(r["lang"], r["width"], r["phrase"]): r["n"] for r in sums} == often
+
+
 def test_scores_beyond_64_bits(spark):
     huge = spark.createDataFrame([("en", 0, "", 10**15), ("en", 1, "a", 10**15 // 3), ("en", 1, "b", 10**15 // 7), ("en", 2, "a b", 10**14 + 1)], "lang string, width int, phrase string, n long")
     keep = C.frequent_phrases

@@ -13,7 +13,8 @@ positives are counted in vain and change no result.
 
 In the cycle phrases are 64-bit hashes, and their counts are packed columns of a bucket of hashes;
 those that have had their cycle leave them. A last scan spells the frequent phrases and takes their
-counts from the phrases themselves, so that no count rests on a hash.
+counts from the phrases themselves, so that no count rests on a hash: a task sums what it has spelt
+and sends a row per bucket and language.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import mix, slices
-from tidemark.llm.ngrams import SLICE_BYTES, Filter, Words, added, buckets_for, count_keys, heads, longer, pack, pack_sorted, room, unpack, unpack_sorted, words_of
+from tidemark.llm.ngrams import SLICE_BYTES, Filter, Words, added, bucket_of, buckets_for, count_keys, heads, longer, pack, pack_sorted, room, unpack, unpack_sorted, words_of
 from tidemark.session import scratch_path, settle
 
 BLANKS, BREAKS = b" \t", b".,;:!?\n\x0b\x0c\r"
@@ -36,6 +39,7 @@ SHARDS = 3
 #: Rows of a language are ranked within so many groups, then the best of those within fewer.
 RANK_GROUPS = (4096, 64, 1)
 COUNTED = "lang string, width int, phrase string, n long"
+SPELT = 1 << 19  # phrases that a task gathers before it sends them
 _SEEDS: dict[str, int] = {}
 
 
@@ -141,34 +145,88 @@ def _passed(state: DataFrame, widest: int) -> DataFrame:
     return state.select("passed").mapInArrow(run, "key long")
 
 
-def _spelt(texts: DataFrame, longest: int, frequent: Filter) -> DataFrame:
-    """Counts per slice of the phrases that the filter holds: (lang, width, phrase, n); width 0 has the number of words."""
+PHRASES = "bucket int, lang string, phrases binary, n binary"
+
+
+def _summed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Equal phrases (not hashes) drawn together, their counts summed."""
+    keys = parts[0].schema.names[:-1]
+    summed = pa.Table.from_batches(parts).group_by(keys, use_threads=False).aggregate([("n", "sum")])
+    return summed.select([*keys, "n_sum"]).rename_columns([*keys, "n"]).combine_chunks().to_batches()[0]
+
+
+def _packed_phrases(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Phrases and counts in a row per bucket and language. No phrase has a line feed."""
+    part = part.sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+    bucket, lang, phrase = (part.column(c).to_pylist() for c in ("bucket", "lang", "phrase"))
+    n = part.column("n").to_numpy().astype("<u4")
+    at = [k for k in range(len(part)) if k == 0 or (bucket[k], lang[k]) != (bucket[k - 1], lang[k - 1])]
+    cut = list(zip(at, [*at[1:], len(part)]))
+    columns = [[bucket[x] for x in at], [lang[x] for x in at], [zstandard.compress("\n".join(phrase[x:y]).encode(), 1) for x, y in cut], [pack(n[x:y]) for x, y in cut]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["bucket", "lang", "phrases", "n"])
+
+
+def _spelt(texts: DataFrame, longest: int, frequent: Filter, buckets: int) -> DataFrame:
+    """Packed counts per task, bucket and language of the phrases that the filter holds; the phrase '' has the number of words."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
-    names = ["lang", "width", "phrase", "n"]
+    names = ["bucket", "lang", "phrase", "n"]
+
+    def rows(batch: pa.RecordBatch, first: int, part: list[bytes]) -> Iterator[pa.RecordBatch]:
+        langs = batch.column("lang").slice(first, len(part)).to_pylist()
+        words = words_of(part, BLANKS, BREAKS)
+        if not len(words.start):
+            return
+        totals: dict[str, int] = {}
+        for lang, n in zip(langs, np.bincount(words.text, minlength=len(langs)).tolist()):
+            totals[lang] = totals.get(lang, 0) + n
+        yield pa.RecordBatch.from_arrays([pa.array([0] * len(totals), pa.int32()), pa.array(list(totals)), pa.array([""] * len(totals)), pa.array(list(totals.values()), pa.int64())], names=names)
+        for width, at, keys in active_runs(words, langs, longest, shared.value, None, True):
+            held = shared.value.holds(keys)
+            at, keys = at[held], keys[held]
+            if not len(at):
+                continue
+            order = np.argsort(keys)
+            where = heads(keys[order])
+            seen, n = at[order[where]], np.diff(where, append=len(at))
+            bucket = bucket_of(keys[order[where]], buckets).astype(np.int32)
+            lang = pa.DictionaryArray.from_arrays(pa.array(words.text[seen].astype(np.int32)), pa.array(langs)).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), lang, pa.array(words.spelt(seen, width), pa.binary()).cast(pa.string()), pa.array(n)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
         for batch in batches:
             for first, part in slices(batch.column("text"), SLICE_BYTES):
-                langs = batch.column("lang").slice(first, len(part)).to_pylist()
-                words = words_of(part, BLANKS, BREAKS)
-                if not len(words.start):
-                    continue
-                totals: dict[str, int] = {}
-                for lang, n in zip(langs, np.bincount(words.text, minlength=len(langs)).tolist()):
-                    totals[lang] = totals.get(lang, 0) + n
-                yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals)), pa.array(list(totals.values()), pa.int64())], names=names)
-                for width, at, keys in active_runs(words, langs, longest, shared.value, None, True):
-                    held = shared.value.holds(keys)
-                    at, keys = at[held], keys[held]
-                    if not len(at):
-                        continue
-                    order = np.argsort(keys)
-                    where = heads(keys[order])
-                    seen, n = at[order[where]], np.diff(where, append=len(at))
-                    lang = pa.DictionaryArray.from_arrays(pa.array(words.text[seen].astype(np.int32)), pa.array(langs)).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(seen), width, np.int32)), pa.array(words.spelt(seen, width), pa.binary()).cast(pa.string()), pa.array(n)], names=names)
-
-    return texts.select("lang", "text").mapInArrow(run, COUNTED)
+                for made in rows(batch, first, part):
+                    parts.append(made)
+                    size += len(made)
+                if size >= SPELT:
+                    parts = [_summed(parts)]
+                    size = len(parts[0])
+                    if size >= SPELT // 2:
+                        yield _packed_phrases(parts.pop())
+                        size = 0
+        if size:
+            yield _packed_phrases(_summed(parts))
+
+    return texts.select("lang", "text").mapInArrow(run, PHRASES)
+
+
+def _together(threshold: int):
+    """Adds the counts of the phrases of a bucket and language; the frequent ones and '' stay."""
+
+    def run(table: pa.Table) -> pa.Table:
+        phrases: list[bytes] = []
+        for packed in table.column("phrases").to_pylist():
+            phrases += zstandard.decompress(packed).split(b"\n")
+        n = np.concatenate([unpack(x, "<u4") for x in table.column("n").to_pylist()]).astype(np.int64)
+        summed = _summed([pa.RecordBatch.from_arrays([pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n)], names=["phrase", "n"])])
+        stay = summed.filter(pc.or_(pc.greater_equal(summed.column("n"), threshold), pc.equal(summed.column("phrase"), "")))
+        phrase = stay.column("phrase")
+        width = pc.if_else(pc.equal(phrase, ""), 0, pc.add(pc.count_substring(phrase, " "), 1)).cast(pa.int32())
+        lang = pa.array([table.column("lang")[0].as_py()] * len(stay), pa.string())
+        return pa.table([lang, width, phrase, stay.column("n")], names=["lang", "width", "phrase", "n"])
+
+    return run
 
 
 def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, threshold: int, longest: int, shards: int = SHARDS) -> DataFrame:
@@ -202,8 +260,8 @@ def frequent_phrases(docs: DataFrame, text_col: str, lang_col: str, threshold: i
             break
         step += 1
     every = Filter(bits).with_keys(_passed(reduce(DataFrame.unionByName, states), longest))
-    counted = _spelt(stored, longest, every).groupBy("lang", "width", "phrase").agg(F.sum("n").alias("n"))
-    return settle(counted.where((F.col("n") >= threshold) | (F.col("width") == 0)), "phrases")
+    counted = _spelt(stored, longest, every, buckets).groupBy("bucket", "lang").applyInArrow(_together(threshold), COUNTED)
+    return settle(counted, "phrases")
 
 
 def _best(ranked: DataFrame, order: list[Column], top: int) -> DataFrame:
