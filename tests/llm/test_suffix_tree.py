@@ -119,6 +119,35 @@ def test_codes(spark):
     assert len(M.Codes.of(words).by_rank) == 100
 
 
+def test_frequent_pairs_are_asked_for_by_codes():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["a b c a b", "b a zz a b"]
+    word, _, place = M.tokens([t.encode() for t in texts])
+    codes = M.Codes(N.distinct(word[[0, 1, 2]]))
+    every = N.Filter(20)
+    every.words[:] = np.uint64(2**64 - 1)
+    body = M._packed(0, [pa.RecordBatch.from_arrays([pa.array(texts)], names=["__text"])]).column("body")[0].as_py()
+    keys, pairs = M._wanted(body, 2, every, codes)
+    assert pairs.dtype == np.uint32 and len(pairs) == 4  # ab, bc, ca, ba
+    runs = M.runs(word, place, 2)
+    assert len(word) == 12 and set(codes.runs(pairs).tolist()) == {int(runs[1][k]) for k in (1, 2, 3, 7)}
+    asked, order = M._asked(keys, pairs, codes, 5)
+    wanted = {int(r[k]) for depth, r in enumerate(runs) for k in range(12) if place[k] >= depth}
+    assert set(asked.tolist()) == wanted and len(asked) == len(wanted) and sorted(order.tolist()) == list(range(len(asked)))
+
+
+def test_a_reply_spends_a_bit_on_what_is_no_context():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    rest = np.where(rnd.random(20_000) < 0.1, rnd.integers(0, 200, 20_000), -1)
+    for some in (rest, rest[:0], rest[:7], np.full(9, -1), np.array([0, -1, 2**40])):
+        assert (M._unpack_rest(M._pack_rest(some), len(some)) == some).all()
+    assert len(M._pack_rest(rest)) < 0.7 * len(N.pack(rest))
+
+
 def test_empty_tables_and_unknown_words(make):
     none = make([(1, "a")]).limit(0)
     model = M.learn(none)

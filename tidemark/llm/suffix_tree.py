@@ -14,7 +14,8 @@ smoothed word distribution. Every document ends with a token of its own.
 Counts, contexts and the model are tables whose rows are spread by 64-bit hashes of word runs. Runs
 of length k + 1 are counted once those of length k are known: filters of bounded size say which
 contexts and which runs after their first word are frequent enough, and later which rows the model holds. To score, the documents
-are dealt to pages; a page asks once for each distinct row that it may need, the rows come back to
+are dealt to pages; a page asks once for each distinct row that it may need (by two codes, where the
+row is of two frequent words, else by its hash), the rows come back to
 the page, and its texts stream past them. Nothing of the corpus or the model is held by the driver.
 """
 
@@ -46,6 +47,7 @@ MASS = 4.0
 #: Log-likelihood (nats) that a retained context gains for each word it stores.
 GAIN = 2.0
 PAGE_BYTES = 8 << 20
+PAGE_LEVEL = 3
 MOST_PAGE_BUCKETS = 50_000
 MOST_CODES = (1 << 16) - 1
 HELD = 1 << 19  # pairs that a task gathers before it sends them
@@ -111,14 +113,23 @@ class Codes:
         rows = words.where(step >= least).select("key", "n").collect()
         return cls(np.array([r["key"] for r in sorted(rows, key=lambda r: (-r["n"], r["key"]))], np.int64).view(np.uint64))
 
-    def pack(self, words: np.ndarray) -> tuple[bytes, bytes]:
-        """Codes in order, and the words that have none."""
-        code, known = np.full(len(words), MOST_CODES, "<u2"), np.zeros(len(words), bool)
+    def number(self, words: np.ndarray) -> np.ndarray:
+        """The code of each word, ``MOST_CODES`` where it has none."""
+        code = np.full(len(words), MOST_CODES, "<u2")
         if len(self.sorted):
             at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
             known = self.sorted[at] == words
             code[known] = self.rank[at[known]]
-        return pack(code), pack(words[~known])
+        return code
+
+    def pack(self, words: np.ndarray) -> tuple[bytes, bytes]:
+        """Codes in order, and the words that have none."""
+        code = self.number(words)
+        return pack(code), pack(words[code == MOST_CODES])
+
+    def runs(self, pairs: np.ndarray) -> np.ndarray:
+        """Hashes of the runs of two words given as first code * 2**16 + second code."""
+        return longer(self.by_rank[pairs >> 16], self.by_rank[pairs & 0xFFFF])
 
     def unpack(self, codes: bytes, others: bytes) -> np.ndarray:
         code = unpack(codes, "<u2")
@@ -221,6 +232,7 @@ class Model:
     train_tokens: int
     distinct: int
     depth: int
+    codes: Broadcast
 
 
 def _word_counts(texts: DataFrame, buckets: int) -> DataFrame:
@@ -283,7 +295,7 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, context_m
     stored = settle(_union([c.join(x.select("context"), "context", "left_semi").select("key", "n") for c, x in zip(counts, kept)]), "stored")
     plain = stored.unionByName(words).withColumn("rest", F.lit(-1).cast("long"))
     held = Filter(room(size / 24 / symbol_min)).with_keys(stored.select("key").unionByName(retained.select("key")))
-    return Model(plain.unionByName(retained), held, train_tokens, sums["v"], depth)
+    return Model(plain.unionByName(retained), held, train_tokens, sums["v"], depth, codes)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -293,13 +305,14 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _wanted(body: bytes, depth: int, held: Filter) -> np.ndarray:
-    """Sorted keys of the model rows that a page may need: its words, and the longer runs that the model may hold.
+def _wanted(body: bytes, depth: int, held: Filter, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """What a page may need of the model: its words, and the longer runs that the model may hold.
 
-    The model holds the last k tokens of every run of k + 1 tokens that it holds, and the first k as
-    well where the run is too long for a context. A run for which a filter denies these is not asked for.
+    Sorted keys, and, of runs of two words that have codes, sorted pairs of codes. The model holds
+    the last k tokens of every run of k + 1 tokens that it holds, and the first k as well where the
+    run is too long for a context. A run for which a filter denies these is not asked for.
     """
-    found = []
+    found, pairs = [], []
     for _, texts in _unpacked(body):
         word, _, place = tokens(texts)
         every = runs(word, place, depth)
@@ -312,8 +325,20 @@ def _wanted(body: bytes, depth: int, held: Filter) -> np.ndarray:
             at = at[held.holds(every[k][at])]
             maybe = np.zeros(len(word), bool)
             maybe[at] = True
+            if k == 1:
+                code = codes.number(word)
+                coded = (code[at - 1] < MOST_CODES) & (code[at] < MOST_CODES)
+                pairs.append(distinct(code[at[coded] - 1].astype(np.uint32) << np.uint32(16) | code[at[coded]]))
+                at = at[~coded]
             found.append(distinct(every[k][at]))
-    return distinct(np.concatenate(found))
+    return distinct(np.concatenate(found)), distinct(np.concatenate(pairs))
+
+
+def _asked(keys: np.ndarray, pairs: np.ndarray, codes: Codes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """All keys that a page asks for by bucket, within it those of its pairs last, and the place of each in keys and pairs together."""
+    every = np.concatenate([keys, codes.runs(pairs)])
+    order = np.argsort(bucket_of(every, buckets), kind="stable")
+    return every[order], order
 
 
 class Page:
@@ -351,6 +376,20 @@ class Page:
         return [sums[0].astype(np.int64), sums[1].astype(np.int64), *sums[2:]]
 
 
+def _pack_rest(rest: np.ndarray) -> bytes:
+    """A bit for each number that is not -1, then those numbers."""
+    some = rest >= 0
+    return np.packbits(some).tobytes() + pack(rest[some])
+
+
+def _unpack_rest(packed: bytes, size: int) -> np.ndarray:
+    bits = -(-size // 8)
+    some = np.unpackbits(np.frombuffer(packed[:bits], np.uint8), count=size).astype(bool)
+    rest = np.full(size, -1)
+    rest[some] = unpack(packed[bits:], "<i8")
+    return rest
+
+
 def _pages(rows: DataFrame, buckets: int) -> DataFrame:
     """(page, body): consecutive rows with some ``PAGE_BYTES`` of texts in one compressed body."""
 
@@ -375,7 +414,7 @@ def _pages(rows: DataFrame, buckets: int) -> DataFrame:
 
 def _packed(page: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=PAGE_LEVEL))) as out:
         for batch in held:
             out.write_batch(batch)
     return pa.RecordBatch.from_arrays([pa.array([page]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["page", "body"])
@@ -404,14 +443,20 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     buckets = buckets_for(size)
     pages = _pages(docs.select(*[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(kept)], text.alias("__text")), min(buckets, MOST_PAGE_BUCKETS))
     shared = spark.sparkContext.broadcast(model.held)
-    depth, train_tokens, vocabulary = model.depth, model.train_tokens, model.distinct
+    depth, train_tokens, vocabulary, codes = model.depth, model.train_tokens, model.distinct, model.codes
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, body in zip(batch.column("page").to_pylist(), batch.column("body")):
-                keys = _wanted(body.as_py(), depth, shared.value)
-                cut = ranges(keys, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in cut], pa.int32()), pa.array([page] * len(cut), pa.int64()), pa.array([pack_sorted(keys[x:y]) for _, x, y in cut], pa.binary())], names=["bucket", "page", "keys"])
+                keys, pairs = _wanted(body.as_py(), depth, shared.value, codes.value)
+                every, order = _asked(keys, pairs, codes.value, buckets)
+                rows: list[list] = [[] for _ in range(4)]
+                for b, x, y in ranges(every, buckets):
+                    own = order[x:y]
+                    plain = int(np.count_nonzero(own < len(keys)))
+                    for column, made in zip(rows, (b, page, pack_sorted(every[x : x + plain]), pack_sorted(pairs[own[plain:] - len(keys)]))):
+                        column.append(made)
+                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *[pa.array(r, pa.binary()) for r in rows[2:]]], names=["bucket", "page", "keys", "pairs"])
 
     def answer(model_rows: pa.Table, requests: pa.Table) -> pa.Table:
         key = model_rows.column("key").to_numpy().view(np.uint64)
@@ -421,16 +466,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         if len(key):
             key, n, rest = key[order[first]], n[first], np.maximum.reduceat(rest, first)
         out: list[list] = [[] for _ in range(5)]
-        for page, bucket, packed in zip(*(requests.column(c).to_pylist() for c in ("page", "bucket", "keys"))) if len(key) else ():
-            wanted = unpack_sorted(packed)
+        for page, bucket, packed, pairs in zip(*(requests.column(c).to_pylist() for c in ("page", "bucket", "keys", "pairs"))) if len(key) else ():
+            wanted = np.concatenate([unpack_sorted(packed), codes.value.runs(np.cumsum(unpack(pairs, "<u4"), dtype=np.int64))])
             at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
             found = key[at] == wanted
             at = at[found]
-            for column, x in zip(out, (page, bucket, np.packbits(found).tobytes(), pack(n[at]), pack(rest[at]))):
+            for column, x in zip(out, (page, bucket, np.packbits(found).tobytes(), pack(n[at]), _pack_rest(rest[at]))):
                 column.append(x)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.binary()) for c in out[2:]]], names=["page", "bucket", "found", "n", "rest"])
 
-    requests = pages.mapInArrow(ask, "bucket int, page long, keys binary")
+    requests = pages.mapInArrow(ask, "bucket int, page long, keys binary, pairs binary")
     number = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * buckets, 32).cast("int")
     spread = model.rows.select(number.alias("bucket"), "key", "n", "rest")
     replies = spread.groupBy("bucket").cogroup(requests.groupBy("bucket")).applyInArrow(answer, "page long, bucket int, found binary, n binary, rest binary")
@@ -440,14 +485,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     def fill(page: pa.Table, found: pa.Table) -> pa.Table:
         made = []
         for body in page.column("body").to_pylist():  # one
-            key = _wanted(body, depth, shared.value)
+            key, _ = _asked(*_wanted(body, depth, shared.value, codes.value), codes.value, buckets)
             n, rest = np.zeros(len(key), np.int64), np.full(len(key), -1)
             place = {b: (x, y) for b, x, y in ranges(key, buckets)}
             for row in found.to_pylist():
                 x, y = place[row["bucket"]]
                 at = x + np.flatnonzero(np.unpackbits(np.frombuffer(row["found"], np.uint8), count=y - x))
-                n[at], rest[at] = unpack(row["n"], "<i8"), unpack(row["rest"], "<i8")
-            ready = Page(key, n, rest, train_tokens, vocabulary, depth)
+                n[at], rest[at] = unpack(row["n"], "<i8"), _unpack_rest(row["rest"], len(at))
+            order = np.argsort(key)
+            ready = Page(key[order], n[order], rest[order], train_tokens, vocabulary, depth)
             for part, texts in _unpacked(body):
                 scored = ready.score(texts)
                 columns = [*part.columns[:-1], *map(pa.array, scored[:2]), pa.array(np.full(len(texts), train_tokens)), *map(pa.array, scored[2:])]
