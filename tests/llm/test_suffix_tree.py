@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import session
 from tidemark.llm import ngrams as N
 from tidemark.llm import suffix_tree as M
 
@@ -148,6 +149,50 @@ def test_a_reply_spends_a_bit_on_what_is_no_context():
     assert len(M._pack_rest(rest)) < 0.7 * len(N.pack(rest))
 
 
+def test_rows_of_frequent_words_are_sent_once_and_not_asked_for(make, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(M, "MOST_KNOWN", 20)
+    texts = corpus(7, 300)
+    tree = Tree(texts, 3, 12, 3, 1.0)
+    model = M.learn(make([*enumerate(texts)], clash=False), context_min=12, symbol_min=3, gain=1.0)
+    known, words = model.known.value, [w for (w,) in (k for k in tree.count if len(k) == 1)]
+    hashes = {int(M.tokens([w.encode()])[0][0]): (w,) for w in words if w is not END} | {int(M.END): (END,)}
+    assert 8 < len(known.key) <= 20 and (np.diff(known.key) > 0).all()
+    for key, n, rest in zip(known.key.tolist(), known.n.tolist(), known.rest.tolist()):
+        word = hashes[key]
+        assert n == tree.count[word] and rest == (n - sum(tree.kept[word].values()) if word in tree.kept else -1)
+    assert min(known.n) > max(tree.count[w] for h, w in hashes.items() if h not in set(known.key.tolist()))
+    body = M._packed(0, [pa.RecordBatch.from_arrays([pa.array(texts)], names=["__text"])]).column("body")[0].as_py()
+    (every, pairs), (keys, same) = (M._wanted(body, 3, model.held, model.codes.value, x) for x in (None, known))
+    assert set(every.tolist()) - set(keys.tolist()) == set(known.key.tolist()) and (pairs == same).all()
+    for row in M.score(make([*enumerate(texts)], clash=False), model).collect():
+        want = tree.score(texts[row["doc_id"]])
+        assert (row["n_tokens"], row["n_known"]) == want[:2] and (row["base_score"], row["score"]) == pytest.approx(want[2:], abs=1e-8)
+
+
+def test_counts_of_runs_go_when_the_model_is_written(make, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "scratch_root", lambda spark: str(tmp_path))
+    model = M.learn(make([*enumerate(corpus(9, 100))], clash=False), context_min=12, symbol_min=3)
+    assert {p.name.split("-")[0] for p in tmp_path.iterdir()} == {"words", "retained", "stored"}
+    assert model.rows.where("rest >= 0").count() > 3
+
+
+def test_keys_are_looked_up_in_order(monkeypatch):
+    import numpy as np
+
+    table = np.array([3, 5, 9, 2**63], np.uint64)
+    keys = np.array([9, 2**64 - 1, 3, 4, 2**63, 0, 5, 9], np.uint64)
+    at = M._nearest(table, keys)
+    assert (table[at] == keys).tolist() == [True, False, True, False, True, False, True, True] and len(M._nearest(table, keys[:0])) == 0
+    page, looked_up = M.Page(N.distinct(M.tokens([b"a b"])[0]), np.array([5, 4, 3]), np.full(3, -1), 12, 3, 3), []
+    find = page.find
+    monkeypatch.setattr(page, "find", lambda keys: looked_up.append(len(keys)) or find(keys))
+    page.score([b"a b", b"b a"])
+    assert looked_up == [6, 0, 0, 0]  # no word is a context, so no longer run is held
+
+
 def test_empty_tables_and_unknown_words(make):
     none = make([(1, "a")]).limit(0)
     model = M.learn(none)

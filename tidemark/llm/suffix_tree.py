@@ -16,7 +16,9 @@ of length k + 1 are counted once those of length k are known: filters of bounded
 contexts and which runs after their first word are frequent enough, and later which rows the model holds. To score, the documents
 are dealt to pages; a page asks once for each distinct row that it may need (by two codes, where the
 row is of two frequent words, else by its hash), the rows come back to
-the page, and its texts stream past them. Nothing of the corpus or the model is held by the driver.
+the page, and its texts stream past them. The rows of the most frequent words, which most pages need,
+are sent to all tasks instead (``MOST_KNOWN`` at most). Nothing else of the corpus or the model is held
+by the driver.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -37,7 +39,7 @@ from tidemark.llm.common import slices
 from tidemark.llm.ngrams import (
     SLICE_BYTES, Filter, added, bucket_of, buckets_for, count_keys, distinct, heads, longer, pack, pack_sorted, ranges, room, unpack, unpack_sorted, words_of,
 )
-from tidemark.session import scratch_path, settle
+from tidemark.session import scratch_path, scratch_scope, settle
 
 BLANKS = b" \t\n\x0b\x0c\r"
 DEPTH = 3
@@ -46,10 +48,11 @@ SYMBOL_MIN = 8
 MASS = 4.0
 #: Log-likelihood (nats) that a retained context gains for each word it stores.
 GAIN = 2.0
-PAGE_BYTES = 8 << 20
-PAGE_LEVEL = 3
+PAGE_BYTES = 16 << 20
+PAGE_LEVEL = 6
 MOST_PAGE_BUCKETS = 50_000
 MOST_CODES = (1 << 16) - 1
+MOST_KNOWN = 1 << 18
 HELD = 1 << 19  # pairs that a task gathers before it sends them
 END = np.uint64(0x5851F42D4C957F2D)
 
@@ -91,6 +94,29 @@ def _merged(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [*[c[order[at]] for c in columns[:-1]], total]
 
 
+def _step(n: str) -> Column:
+    return F.floor(F.log2(n) * 8).cast("int")
+
+
+def _least_step(words: DataFrame, most: int) -> int | None:
+    """The least step of counts that leaves ``most`` words at most; None if the last step has more."""
+    taken, least = 0, None
+    for row in sorted(words.groupBy(_step("n").alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        taken += row["words"]
+        if taken > most:
+            break
+        least = row["step"]
+    return least
+
+
+def _nearest(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key is in a sorted table, if it is there. Keys are looked up in order, which stays in a cache that a search per key would leave."""
+    order = np.argsort(keys)
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.searchsorted(table, keys[order])
+    return np.minimum(at, len(table) - 1)
+
+
 class Codes:
     """Two bytes for each of the most frequent words, which most tokens are; other words are sent in full."""
 
@@ -101,23 +127,17 @@ class Codes:
     @classmethod
     def of(cls, words: DataFrame) -> Codes:
         """Of the words above the least count that leaves ``MOST_CODES`` of them at most."""
-        step = F.floor(F.log2("n") * 8).cast("int")
-        taken, least = 0, None
-        for row in sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("words")).collect(), reverse=True):
-            taken += row["words"]
-            if taken > MOST_CODES:
-                break
-            least = row["step"]
+        least = _least_step(words, MOST_CODES)
         if least is None:
             return cls(np.empty(0, np.uint64))
-        rows = words.where(step >= least).select("key", "n").collect()
+        rows = words.where(_step("n") >= least).select("key", "n").collect()
         return cls(np.array([r["key"] for r in sorted(rows, key=lambda r: (-r["n"], r["key"]))], np.int64).view(np.uint64))
 
     def number(self, words: np.ndarray) -> np.ndarray:
         """The code of each word, ``MOST_CODES`` where it has none."""
         code = np.full(len(words), MOST_CODES, "<u2")
         if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, words), len(self.sorted) - 1)
+            at = _nearest(self.sorted, words)
             known = self.sorted[at] == words
             code[known] = self.rank[at[known]]
         return code
@@ -139,6 +159,33 @@ class Codes:
         return out
 
 
+class Known:
+    """The model's rows of the most frequent words, sorted by key. Pages need not ask for them."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, rest: np.ndarray):
+        self.key, self.n, self.rest = key, n, rest
+
+    @classmethod
+    def of(cls, words: DataFrame, retained: DataFrame) -> Known:
+        """Of the words above the least count that leaves ``MOST_KNOWN`` of them at most; ``retained`` has the contexts of one word."""
+        least = _least_step(words, MOST_KNOWN)
+        if least is None:
+            return cls(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        rows = words.where(_step("n") >= least).select("key", "n").toArrow()
+        key, n = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+        order = np.argsort(key)
+        known = cls(key[order], n[order], np.full(len(key), -1))
+        rows = retained.where(_step("all") >= least).select("context", "rest").toArrow()
+        known.rest[np.searchsorted(known.key, rows.column("context").to_numpy().view(np.uint64))] = rows.column("rest").to_numpy()
+        return known
+
+    def lacks(self, words: np.ndarray) -> np.ndarray:
+        """The words that are not among them."""
+        if not len(self.key):
+            return words
+        return words[self.key[np.minimum(np.searchsorted(self.key, words), len(self.key) - 1)] != words]
+
+
 PAIRS = "bucket int, context binary, length binary, word binary, other binary, n binary"
 
 
@@ -233,6 +280,7 @@ class Model:
     distinct: int
     depth: int
     codes: Broadcast
+    known: Broadcast
 
 
 def _word_counts(texts: DataFrame, buckets: int) -> DataFrame:
@@ -260,42 +308,44 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, context_m
     # Of each length, at most tokens / minimum runs are frequent, texts have far fewer; a token takes some 6 bytes.
     frequent = words.where(F.col("n") >= symbol_min)
     codes = spark.sparkContext.broadcast(Codes.of(frequent))
-    level, counts = frequent, []
-    for k in range(1, depth + 1):
-        ends = Filter(room(size / 24 / symbol_min)).with_keys(level)
-        contexts = Filter(room(size / 24 / context_min)).with_keys(level.where(F.col("n") >= context_min))
-        hot = Filter(room(4 * buckets)).with_keys(level.where(F.col("n") >= max(1000, train_tokens // (4 * buckets))))
-        level = settle(_lowered(_totals(_deeper(texts, buckets, k, contexts, ends, hot, codes), symbol_min, codes), counts[-1] if counts else None), f"runs{k}")
-        counts.append(level)
-    # Divergence of each context from the shorter one, over the words it stores and all others together.
-    tested: list[DataFrame] = []
-    for k, level in enumerate(counts, 1):
-        below = frequent if k == 1 else counts[k - 2]
-        lower = below.select(F.col("key").alias("lower"), F.col("n").alias("lower_n"))
-        whole = below.where(F.col("n") >= context_min).select(F.col("key").alias("context"), F.col("n").alias("all"))
-        gained = F.sum(F.col("n") * F.ln(F.col("n") / F.col("lower_n"))).alias("gained")
-        sides = level.join(lower, "lower").groupBy("context", "shorter").agg(F.sum("n").alias("stored"), F.sum("lower_n").alias("lower_stored"), F.count("*").alias("symbols"), gained).join(whole, "context")
-        if k == 1:
-            sides = sides.withColumn("shorter_all", F.lit(float(train_tokens)))
-        else:
-            short = frequent if k == 2 else counts[k - 3]
-            sides = sides.join(short.select(F.col("key").alias("shorter"), F.col("n").cast("double").alias("shorter_all")), "shorter")
-        rest = F.col("all") - F.col("stored")
-        lower_rest = F.greatest(F.col("shorter_all") - F.col("lower_stored"), F.lit(0.5))
-        others = F.when(rest > 0, rest * F.ln(rest / lower_rest)).otherwise(0.0)
-        divergence = F.col("gained") + others - F.col("all") * F.ln(F.col("all") / F.col("shorter_all"))
-        tested.append(settle(sides.select("context", "shorter", "all", rest.alias("rest"), (divergence >= gain * F.col("symbols")).alias("kept")), f"contexts{k}"))
-    kept: list[DataFrame] = []
-    for own in reversed(tested):  # what a longer retained context ends in is retained as well
-        if kept:
-            ends = kept[0].select(F.col("shorter").alias("context"), F.lit(True).alias("ends")).distinct()
-            own = own.join(ends, "context", "left").withColumn("kept", F.col("kept") | F.coalesce("ends", F.lit(False)))
-        kept.insert(0, settle(own.where("kept").select("context", "shorter", "all", "rest"), "retained"))
+    with scratch_scope(spark):  # counts and tests of the runs go as soon as what is kept of them is written
+        level, counts = frequent, []
+        for k in range(1, depth + 1):
+            ends = Filter(room(size / 24 / symbol_min)).with_keys(level)
+            contexts = Filter(room(size / 24 / context_min)).with_keys(level.where(F.col("n") >= context_min))
+            hot = Filter(room(4 * buckets)).with_keys(level.where(F.col("n") >= max(1000, train_tokens // (4 * buckets))))
+            level = settle(_lowered(_totals(_deeper(texts, buckets, k, contexts, ends, hot, codes), symbol_min, codes), counts[-1] if counts else None), f"runs{k}")
+            counts.append(level)
+        # Divergence of each context from the shorter one, over the words it stores and all others together.
+        tested: list[DataFrame] = []
+        for k, level in enumerate(counts, 1):
+            below = frequent if k == 1 else counts[k - 2]
+            lower = below.select(F.col("key").alias("lower"), F.col("n").alias("lower_n"))
+            whole = below.where(F.col("n") >= context_min).select(F.col("key").alias("context"), F.col("n").alias("all"))
+            gained = F.sum(F.col("n") * F.ln(F.col("n") / F.col("lower_n"))).alias("gained")
+            sides = level.join(lower, "lower").groupBy("context", "shorter").agg(F.sum("n").alias("stored"), F.sum("lower_n").alias("lower_stored"), F.count("*").alias("symbols"), gained).join(whole, "context")
+            if k == 1:
+                sides = sides.withColumn("shorter_all", F.lit(float(train_tokens)))
+            else:
+                short = frequent if k == 2 else counts[k - 3]
+                sides = sides.join(short.select(F.col("key").alias("shorter"), F.col("n").cast("double").alias("shorter_all")), "shorter")
+            rest = F.col("all") - F.col("stored")
+            lower_rest = F.greatest(F.col("shorter_all") - F.col("lower_stored"), F.lit(0.5))
+            others = F.when(rest > 0, rest * F.ln(rest / lower_rest)).otherwise(0.0)
+            divergence = F.col("gained") + others - F.col("all") * F.ln(F.col("all") / F.col("shorter_all"))
+            tested.append(settle(sides.select("context", "shorter", "all", rest.alias("rest"), (divergence >= gain * F.col("symbols")).alias("kept")), f"contexts{k}"))
+        kept: list[DataFrame] = []
+        for own in reversed(tested):  # what a longer retained context ends in is retained as well
+            if kept:
+                ends = kept[0].select(F.col("shorter").alias("context"), F.lit(True).alias("ends")).distinct()
+                own = own.join(ends, "context", "left").withColumn("kept", F.col("kept") | F.coalesce("ends", F.lit(False)))
+            kept.insert(0, settle(own.where("kept").select("context", "shorter", "all", "rest"), "retained", outer=True))
+        stored = settle(_union([c.join(x.select("context"), "context", "left_semi").select("key", "n") for c, x in zip(counts, kept)]), "stored", outer=True)
     retained = _union([x.select(F.col("context").alias("key"), F.col("all").alias("n"), "rest") for x in kept])
-    stored = settle(_union([c.join(x.select("context"), "context", "left_semi").select("key", "n") for c, x in zip(counts, kept)]), "stored")
     plain = stored.unionByName(words).withColumn("rest", F.lit(-1).cast("long"))
     held = Filter(room(size / 24 / symbol_min)).with_keys(stored.select("key").unionByName(retained.select("key")))
-    return Model(plain.unionByName(retained), held, train_tokens, sums["v"], depth, codes)
+    known = spark.sparkContext.broadcast(Known.of(words, kept[0]))
+    return Model(plain.unionByName(retained), held, train_tokens, sums["v"], depth, codes, known)
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -305,8 +355,8 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _wanted(body: bytes, depth: int, held: Filter, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
-    """What a page may need of the model: its words, and the longer runs that the model may hold.
+def _wanted(body: bytes, depth: int, held: Filter, codes: Codes, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What a page may need of the model: its words but the known ones, and the longer runs that the model may hold.
 
     Sorted keys, and, of runs of two words that have codes, sorted pairs of codes. The model holds
     the last k tokens of every run of k + 1 tokens that it holds, and the first k as well where the
@@ -316,7 +366,7 @@ def _wanted(body: bytes, depth: int, held: Filter, codes: Codes) -> tuple[np.nda
     for _, texts in _unpacked(body):
         word, _, place = tokens(texts)
         every = runs(word, place, depth)
-        found.append(distinct(word))
+        found.append(distinct(word) if known is None else known.lacks(distinct(word)))
         maybe = np.ones(len(word), bool)
         for k in range(1, depth + 1):
             at = np.flatnonzero(maybe & (place >= k))
@@ -342,7 +392,7 @@ def _asked(keys: np.ndarray, pairs: np.ndarray, codes: Codes, buckets: int) -> t
 
 
 class Page:
-    """The model rows that a page has asked for, sorted by key."""
+    """The model rows that a page has asked for and the known ones, sorted by key."""
 
     def __init__(self, key: np.ndarray, n: np.ndarray, rest: np.ndarray, model_tokens: int, distinct: int, depth: int):
         self.key, self.n, self.rest = key, n, rest
@@ -352,7 +402,7 @@ class Page:
         """(n, rest) of each key: 0 and -1 where there is no row."""
         if not len(self.key):
             return np.zeros(len(keys), np.int64), np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+        at = _nearest(self.key, keys)
         same = self.key[at] == keys
         return np.where(same, self.n[at], 0), np.where(same, self.rest[at], -1)
 
@@ -365,11 +415,13 @@ class Page:
         every = runs(word, place, self.depth)
         whole = count  # occurrences of the run of k tokens that ends in each token; rest: of its next words not stored
         for k in range(1, self.depth + 1):
-            n, left = self.find(every[k])
-            n[place < k], left[place < k] = 0, -1
             before, open_ = np.zeros(len(word), np.int64), np.full(len(word), -1)
             before[1:], open_[1:] = whole[:-1], rest[:-1]
             used = (place >= k) & (open_ >= 0)
+            # Runs are stored under retained contexts, and a retained context ends in a retained one.
+            at = np.flatnonzero(used | (place >= k) & (rest >= 0) if k < self.depth else used)
+            n, left = np.zeros(len(word), np.int64), np.full(len(word), -1)
+            n[at], left[at] = self.find(every[k][at])
             chance[used] = (n[used] + (MASS + open_[used]) * chance[used]) / (before[used] + MASS)
             whole, rest = n, left
         sums = [np.bincount(text, weights=x, minlength=len(texts)) for x in (np.ones(len(word)), count > 0, base, np.log10(chance))]
@@ -443,12 +495,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     buckets = buckets_for(size)
     pages = _pages(docs.select(*[F.col(f"`{c}`").alias(f"__in{k}") for k, c in enumerate(kept)], text.alias("__text")), min(buckets, MOST_PAGE_BUCKETS))
     shared = spark.sparkContext.broadcast(model.held)
-    depth, train_tokens, vocabulary, codes = model.depth, model.train_tokens, model.distinct, model.codes
+    depth, train_tokens, vocabulary, codes, known = model.depth, model.train_tokens, model.distinct, model.codes, model.known
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for page, body in zip(batch.column("page").to_pylist(), batch.column("body")):
-                keys, pairs = _wanted(body.as_py(), depth, shared.value, codes.value)
+                keys, pairs = _wanted(body.as_py(), depth, shared.value, codes.value, known.value)
                 every, order = _asked(keys, pairs, codes.value, buckets)
                 rows: list[list] = [[] for _ in range(4)]
                 for b, x, y in ranges(every, buckets):
@@ -468,7 +520,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
         out: list[list] = [[] for _ in range(5)]
         for page, bucket, packed, pairs in zip(*(requests.column(c).to_pylist() for c in ("page", "bucket", "keys", "pairs"))) if len(key) else ():
             wanted = np.concatenate([unpack_sorted(packed), codes.value.runs(np.cumsum(unpack(pairs, "<u4"), dtype=np.int64))])
-            at = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+            at = _nearest(key, wanted)
             found = key[at] == wanted
             at = at[found]
             for column, x in zip(out, (page, bucket, np.packbits(found).tobytes(), pack(n[at]), _pack_rest(rest[at]))):
@@ -485,15 +537,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     def fill(page: pa.Table, found: pa.Table) -> pa.Table:
         made = []
         for body in page.column("body").to_pylist():  # one
-            key, _ = _asked(*_wanted(body, depth, shared.value, codes.value), codes.value, buckets)
+            key, _ = _asked(*_wanted(body, depth, shared.value, codes.value, known.value), codes.value, buckets)
             n, rest = np.zeros(len(key), np.int64), np.full(len(key), -1)
             place = {b: (x, y) for b, x, y in ranges(key, buckets)}
             for row in found.to_pylist():
                 x, y = place[row["bucket"]]
                 at = x + np.flatnonzero(np.unpackbits(np.frombuffer(row["found"], np.uint8), count=y - x))
                 n[at], rest[at] = unpack(row["n"], "<i8"), _unpack_rest(row["rest"], len(at))
+            key, n, rest = (np.concatenate(c) for c in zip((key, n, rest), (known.value.key, known.value.n, known.value.rest)))
             order = np.argsort(key)
-            ready = Page(key[order], n[order], rest[order], train_tokens, vocabulary, depth)
+            key, n, rest = key[order], n[order], rest[order]
+            ready = Page(key, n, rest, train_tokens, vocabulary, depth)
             for part, texts in _unpacked(body):
                 scored = ready.score(texts)
                 columns = [*part.columns[:-1], *map(pa.array, scored[:2]), pa.array(np.full(len(texts), train_tokens)), *map(pa.array, scored[2:])]
