@@ -206,3 +206,54 @@ def test_held_out_texts_gain(make):
     model = M.learn(make([*enumerate(texts[:500])], clash=False), context_min=20, symbol_min=4)
     sums = M.score(make([*enumerate(texts[500:])], clash=False), model, keep=[]).agg(F.sum("base_score"), F.sum("score")).first()
     assert sums[1] > sums[0] + 200
+
+
+def test_pages_are_written_in_parts(make, monkeypatch):
+    monkeypatch.setattr(M, "PAGE_BYTES", 4000)
+    monkeypatch.setattr(M, "SLICE_BYTES", 500)
+    texts = [*corpus(11, 300), None, "", "x " * 1000]
+    tree = Tree(texts, 3, 12, 3, 1.0)
+    docs = make([*enumerate(texts)], clash=False)
+    parts: dict[int, list[int]] = {}
+    for row in M._pages(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("__text")), 3).collect():
+        parts.setdefault(row["page"], []).append(sum(len(t) for _, part in M._unpacked(row["body"]) for t in part))
+    assert sum(map(sum, parts.values())) == sum(len((t or "").encode()) for t in texts)
+    assert max(map(len, parts.values())) > 3 and sorted(n for own in parts.values() for n in own)[-2] <= 500
+    scored = M.score(docs, M.learn(docs, context_min=12, symbol_min=3, gain=1.0)).collect()
+    assert len(scored) == len(texts)
+    for row in scored:
+        want = tree.score(texts[row["doc_id"]])
+        assert (row["n_tokens"], row["n_known"]) == want[:2] and (row["base_score"], row["score"]) == pytest.approx(want[2:], abs=1e-8)
+
+
+def test_texts_are_copied_a_slice_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    from tidemark.llm import common
+
+    copied, copy = [], common.texts_of
+    monkeypatch.setattr(common, "texts_of", lambda column: copied.append(len(column)) or copy(column))
+    texts = ["ab", None, "é", "x" * 9, "", "c", None, "dd"]
+    for column in (pa.array(["zz", *texts]).slice(1), pa.array(texts, pa.large_string()), pa.array([t and t.encode() for t in texts])):
+        copied.clear()
+        cut = list(common.slices(column, 4))
+        assert cut == [(0, [b"ab", b"", "é".encode()]), (3, [b"x" * 9]), (4, [b"", b"c", b"", b"dd"])] and copied == [3, 1, 4]
+    assert list(common.slices(pa.array([], pa.string()))) == []
+
+
+def test_tasks_get_small_batches(spark, make, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    before = spark.conf.get(session.BATCH_CONF)
+    texts = spark.range(0, 200, 1, 1).select(F.expr("repeat('x', 1000)").alias("text"))
+    with session.small_batches(spark, 20_000):
+        assert max(r["n"] for r in texts.mapInArrow(sizes, "n long").collect()) <= 25
+    assert spark.conf.get(session.BATCH_CONF) == before
+    seen, settle = [], M.settle
+    monkeypatch.setattr(M, "settle", lambda *a, **b: seen.append(spark.conf.get(session.BATCH_CONF)) or settle(*a, **b))
+    M.learn(make([*enumerate(corpus(13, 50))], clash=False), context_min=12, symbol_min=3)
+    assert len(seen) > 5 and set(seen) == {str(4 << 20)} and spark.conf.get(session.BATCH_CONF) == before

@@ -14,9 +14,9 @@ smoothed word distribution. Every document ends with a token of its own.
 Counts, contexts and the model are tables whose rows are spread by 64-bit hashes of word runs. Runs
 of length k + 1 are counted once those of length k are known: filters of bounded size say which
 contexts and which runs after their first word are frequent enough, and later which rows the model holds. To score, the documents
-are dealt to pages; a page asks once for each distinct row that it may need (by two codes, where the
-row is of two frequent words, else by its hash), the rows come back to
-the page, and its texts stream past them. The rows of the most frequent words, which most pages need,
+are dealt to pages, each written in parts of some 2 MB of text; a page asks once for each distinct row
+that it may need (by two codes, where the row is of two frequent words, else by its hash), the rows
+come back to the page, and its parts stream past them. The rows of the most frequent words, which most pages need,
 are sent to all tasks instead (``MOST_KNOWN`` at most). Nothing else of the corpus or the model is held
 by the driver.
 """
@@ -39,7 +39,7 @@ from tidemark.llm.common import slices
 from tidemark.llm.ngrams import (
     SLICE_BYTES, Filter, added, bucket_of, buckets_for, count_keys, distinct, heads, longer, pack, pack_sorted, ranges, room, unpack, unpack_sorted, words_of,
 )
-from tidemark.session import scratch_path, scratch_scope, settle
+from tidemark.session import scratch_path, scratch_scope, settle, small_batches
 
 BLANKS = b" \t\n\x0b\x0c\r"
 DEPTH = 3
@@ -302,13 +302,14 @@ def learn(docs: DataFrame, text_col: str = "text", depth: int = DEPTH, context_m
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = buckets_for(size)
-    words = settle(_word_counts(texts, buckets), "words")
+    with small_batches(spark):
+        words = settle(_word_counts(texts, buckets), "words")
     sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     train_tokens = sums["n"] or 0
     # Of each length, at most tokens / minimum runs are frequent, texts have far fewer; a token takes some 6 bytes.
     frequent = words.where(F.col("n") >= symbol_min)
     codes = spark.sparkContext.broadcast(Codes.of(frequent))
-    with scratch_scope(spark):  # counts and tests of the runs go as soon as what is kept of them is written
+    with scratch_scope(spark), small_batches(spark):  # counts and tests of the runs go as soon as what is kept of them is written
         level, counts = frequent, []
         for k in range(1, depth + 1):
             ends = Filter(room(size / 24 / symbol_min)).with_keys(level)
@@ -356,7 +357,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _wanted(body: bytes, depth: int, held: Filter, codes: Codes, known: Known | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """What a page may need of the model: its words but the known ones, and the longer runs that the model may hold.
+    """What a part of a page may need of the model: its words but the known ones, and the longer runs that the model may hold.
 
     Sorted keys, and, of runs of two words that have codes, sorted pairs of codes. The model holds
     the last k tokens of every run of k + 1 tokens that it holds, and the first k as well where the
@@ -384,6 +385,14 @@ def _wanted(body: bytes, depth: int, held: Filter, codes: Codes, known: Known |
     return distinct(np.concatenate(found)), distinct(np.concatenate(pairs))
 
 
+def _wanted_of(bodies: pa.ChunkedArray, depth: int, held: Filter, codes: Codes, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """What all parts of a page want together."""
+    every = (np.empty(0, np.uint64), np.empty(0, np.uint32))
+    for body in bodies:  # drawn together part by part, as most parts want much the same
+        every = tuple(distinct(np.concatenate(x)) for x in zip(every, _wanted(body.as_py(), depth, held, codes, known)))
+    return every
+
+
 def _asked(keys: np.ndarray, pairs: np.ndarray, codes: Codes, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """All keys that a page asks for by bucket, within it those of its pairs last, and the place of each in keys and pairs together."""
     every = np.concatenate([keys, codes.runs(pairs)])
@@ -443,24 +452,22 @@ def _unpack_rest(packed: bytes, size: int) -> np.ndarray:
 
 
 def _pages(rows: DataFrame, buckets: int) -> DataFrame:
-    """(page, body): consecutive rows with some ``PAGE_BYTES`` of texts in one compressed body."""
+    """(page, body): consecutive rows with some ``PAGE_BYTES`` of texts are a page, a compressed body holds a slice of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        page, held, size = TaskContext.get().partitionId() << 32, [], 0
+        page, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
             for first, texts in slices(batch.column("__text"), SLICE_BYTES):
-                held.append(batch.slice(first, len(texts)))
+                yield _packed(page, [batch.slice(first, len(texts))])
                 size += sum(map(len, texts))
                 if size >= PAGE_BYTES:
-                    yield _packed(page, held)
-                    page, held, size = page + 1, [], 0
-        if held:
-            yield _packed(page, held)
+                    page, size = page + 1, 0
 
     # Bucketed by page, so that the replies come to the pages and no text is shuffled.
     path, name = scratch_path(rows.sparkSession, "pages"), f"pages_{uuid.uuid4().hex}"
     paged = rows.mapInArrow(run, "page long, body binary")
-    paged.write.option("path", path).bucketBy(buckets, "page").saveAsTable(name)
+    with small_batches(rows.sparkSession):
+        paged.write.options(path=path, compression="uncompressed").bucketBy(buckets, "page").saveAsTable(name)  # bodies are compressed already
     return rows.sparkSession.table(name)
 
 
@@ -473,9 +480,9 @@ def _packed(page: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
 
 
 def _unpacked(body: bytes) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the rows of a page, and their texts."""
+    """Slices of the rows of a part of a page, and their texts."""
     for batch in pa.ipc.open_stream(body):
-        for first, texts in slices(batch.column("__text"), SLICE_BYTES):
+        for first, texts in slices(batch.column("__text"), SLICE_BYTES // 2):  # the page's rows are held beside them
             yield batch.slice(first, len(texts)), texts
 
 
@@ -497,18 +504,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
     shared = spark.sparkContext.broadcast(model.held)
     depth, train_tokens, vocabulary, codes, known = model.depth, model.train_tokens, model.distinct, model.codes, model.known
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for page, body in zip(batch.column("page").to_pylist(), batch.column("body")):
-                keys, pairs = _wanted(body.as_py(), depth, shared.value, codes.value, known.value)
-                every, order = _asked(keys, pairs, codes.value, buckets)
-                rows: list[list] = [[] for _ in range(4)]
-                for b, x, y in ranges(every, buckets):
-                    own = order[x:y]
-                    plain = int(np.count_nonzero(own < len(keys)))
-                    for column, made in zip(rows, (b, page, pack_sorted(every[x : x + plain]), pack_sorted(pairs[own[plain:] - len(keys)]))):
-                        column.append(made)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *[pa.array(r, pa.binary()) for r in rows[2:]]], names=["bucket", "page", "keys", "pairs"])
+    def ask(parts: pa.Table) -> pa.Table:
+        page = parts.column("page")[0].as_py()
+        keys, pairs = _wanted_of(parts.column("body"), depth, shared.value, codes.value, known.value)
+        every, order = _asked(keys, pairs, codes.value, buckets)
+        rows: list[list] = [[] for _ in range(4)]
+        for b, x, y in ranges(every, buckets):
+            own = order[x:y]
+            plain = int(np.count_nonzero(own < len(keys)))
+            for column, made in zip(rows, (b, page, pack_sorted(every[x : x + plain]), pack_sorted(pairs[own[plain:] - len(keys)]))):
+                column.append(made)
+        return pa.table([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int64()), *[pa.array(r, pa.binary()) for r in rows[2:]]], names=["bucket", "page", "keys", "pairs"])
 
     def answer(model_rows: pa.Table, requests: pa.Table) -> pa.Table:
         key = model_rows.column("key").to_numpy().view(np.uint64)
@@ -527,28 +533,28 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
                 column.append(x)
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), *[pa.array(c, pa.binary()) for c in out[2:]]], names=["page", "bucket", "found", "n", "rest"])
 
-    requests = pages.mapInArrow(ask, "bucket int, page long, keys binary, pairs binary")
+    requests = pages.groupBy("page").applyInArrow(ask, "bucket int, page long, keys binary, pairs binary")
     number = F.shiftrightunsigned(F.shiftrightunsigned("key", 32) * buckets, 32).cast("int")
     spread = model.rows.select(number.alias("bucket"), "key", "n", "rest")
     replies = spread.groupBy("bucket").cogroup(requests.groupBy("bucket")).applyInArrow(answer, "page long, bucket int, found binary, n binary, rest binary")
     fields = T.StructType([T.StructField(f"__in{k}", docs.schema[c].dataType) for k, c in enumerate(kept)] + RESULTS.fields)
     arrow = to_arrow_schema(fields)
 
-    def fill(page: pa.Table, found: pa.Table) -> pa.Table:
-        made = []
-        for body in page.column("body").to_pylist():  # one
-            key, _ = _asked(*_wanted(body, depth, shared.value, codes.value, known.value), codes.value, buckets)
-            n, rest = np.zeros(len(key), np.int64), np.full(len(key), -1)
-            place = {b: (x, y) for b, x, y in ranges(key, buckets)}
-            for row in found.to_pylist():
-                x, y = place[row["bucket"]]
-                at = x + np.flatnonzero(np.unpackbits(np.frombuffer(row["found"], np.uint8), count=y - x))
-                n[at], rest[at] = unpack(row["n"], "<i8"), _unpack_rest(row["rest"], len(at))
-            key, n, rest = (np.concatenate(c) for c in zip((key, n, rest), (known.value.key, known.value.n, known.value.rest)))
-            order = np.argsort(key)
-            key, n, rest = key[order], n[order], rest[order]
-            ready = Page(key, n, rest, train_tokens, vocabulary, depth)
-            for part, texts in _unpacked(body):
+    def fill(parts: pa.Table, found: pa.Table) -> pa.Table:
+        made, bodies = [], parts.column("body")
+        key, _ = _asked(*_wanted_of(bodies, depth, shared.value, codes.value, known.value), codes.value, buckets)
+        n, rest = np.zeros(len(key), np.int64), np.full(len(key), -1)
+        place = {b: (x, y) for b, x, y in ranges(key, buckets)}
+        for row in found.to_pylist():
+            x, y = place[row["bucket"]]
+            at = x + np.flatnonzero(np.unpackbits(np.frombuffer(row["found"], np.uint8), count=y - x))
+            n[at], rest[at] = unpack(row["n"], "<i8"), _unpack_rest(row["rest"], len(at))
+        key, n, rest = (np.concatenate(c) for c in zip((key, n, rest), (known.value.key, known.value.n, known.value.rest)))
+        order = np.argsort(key)
+        ready = Page(key[order], n[order], rest[order], train_tokens, vocabulary, depth)
+        del key, n, rest, order
+        for body in bodies:
+            for part, texts in _unpacked(body.as_py()):
                 scored = ready.score(texts)
                 columns = [*part.columns[:-1], *map(pa.array, scored[:2]), pa.array(np.full(len(texts), train_tokens)), *map(pa.array, scored[2:])]
                 made.append(pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow))
